@@ -2,35 +2,26 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column, functions as F
 
 from revlume.functions.text import strip_text
 
 MIN_STARS, MAX_STARS = 1, 5
 
-# Every Unicode decimal digit, in blocks 0..9, so that a full-width 4 reads as 4.
-_ZEROS = [c for c in range(0x20000) if unicodedata.decimal(chr(c), None) == 0]
-_ANY_DIGITS = "".join(chr(z + d) for z in _ZEROS for d in range(10))
-_ASCII_DIGITS = "0123456789" * len(_ZEROS)
+# Whole number as a reader of free text accepts it: any decimal digits, single
+# underscores between them, an optional sign.
+_WHOLE_NUMBER = r"(?U)\A[+-]?\d+(_\d+)*\z"
 
 
 def clamp_star_rating(col: Column) -> Column:
-    """Integer text clamped to 1..5, null when it is not an integer.
-
-    Decided on the digits alone, so a number of any length is exact without
-    a numeric cast that could overflow.
-    """
-    text = F.translate(strip_text(col.cast("string")), _ANY_DIGITS, _ASCII_DIGITS)
-    magnitude = F.regexp_replace(text, r"^[+-]?[0_]*|_", "")
-    clamped = (
-        F.when(text.startswith("-") | (magnitude == ""), F.lit(MIN_STARS))
-        .when(F.length(magnitude) > 1, F.lit(MAX_STARS))
-        .otherwise(F.least(F.lit(MAX_STARS), magnitude.try_cast("int")))
-    )
-    is_integer = text.rlike(r"\A[+-]?[0-9]+(_[0-9]+)*\z")
-    return F.when(col.isNotNull() & is_integer, clamped).cast("int")
+    """Integer text clamped to 1..5, null when it is not an integer."""
+    text = strip_text(col.cast("string"))
+    number = F.replace(text, F.lit("_"), F.lit("")).try_cast("decimal(38,0)")
+    # too long for the cast: the sign alone decides
+    beyond = F.when(text.startswith("-"), MIN_STARS).otherwise(MAX_STARS)
+    inside = F.least(F.lit(MAX_STARS), F.greatest(F.lit(MIN_STARS), number))
+    clamped = F.when(number.isNull(), beyond).otherwise(inside).cast("int")
+    return F.when(col.isNotNull() & text.rlike(_WHOLE_NUMBER), clamped)
 
 
 def whole_score(col: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from revlume.functions import text_hash
+from revlume.operators.ordering import with_text_hash
 
 # Who wrote a review and in which country store are not part of the key.
 DEDUP_KEY = ["platform", "app_id", "review_date", "star_rating", "text_hash"]
@@ -31,8 +31,8 @@ def dedup_first_seen(
     each task forwards at most one row per key, so a text that makes up a third
     of the table does not gather in one place.
     """
-    if "text_hash" in key and "text_hash" not in reviews.columns:
-        reviews = reviews.withColumn("text_hash", text_hash(F.col("review_text")))
+    if "text_hash" in key:
+        reviews = with_text_hash(reviews)
     first = Window.partitionBy(*key).orderBy(*ingest_order)
     return (
         reviews.withColumn("_rank", F.row_number().over(first))

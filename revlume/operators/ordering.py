@@ -7,17 +7,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 from revlume.functions import text_hash
 
 
+def with_text_hash(reviews: DataFrame) -> DataFrame:
+    """Hash held as a column: a sort would work out an expression per comparison."""
+    if "text_hash" in reviews.columns:
+        return reviews
+    return reviews.withColumn("text_hash", text_hash(F.col("review_text")))
+
+
 def output_order(reviews: DataFrame) -> list[Column]:
     """Newest first, then most stars; the rest only breaks ties.
 
     The tie-breakers make the order total.  They also let a range exchange
     split a date that holds a large share of all rows.
     """
-    has_hash = "text_hash" in reviews.columns
-    ties = [F.col("text_hash") if has_hash else text_hash(F.col("review_text"))]
-    ties += [F.col(c) for c in ("platform", "app_id") if c in reviews.columns]
-    return [F.desc("review_date"), F.desc("star_rating"), *ties]
+    ties = [F.col(c) for c in ("platform", "app_id") if c in reviews.columns]
+    return [F.desc("review_date"), F.desc("star_rating"), F.col("text_hash"), *ties]
 
 
 def sort_reviews(reviews: DataFrame) -> DataFrame:
-    return reviews.orderBy(*output_order(reviews))
+    """Reviews in output order, with their ``text_hash``."""
+    hashed = with_text_hash(reviews)
+    return hashed.orderBy(*output_order(hashed))

@@ -203,11 +203,11 @@ def _contribution(marks: Column, i: Column, mixed_case: Column, rules: Rules) ->
     return F.aggregate(before, own["v"] + shout, apply)
 
 
-def _compound(text: Column, marks: Column, rules: Rules) -> Column:
+def _compound(
+    text: Column, marks: Column, mixed_case: Column, turn: Column, rules: Rules
+) -> Column:
     """Sum of all contributions, punctuation added, normalised and rounded."""
     zero = F.lit(0.0)
-    mixed_case = F.exists(marks, lambda m: m["u"]) & F.exists(marks, lambda m: ~m["u"])
-    turn = F.array_position(F.transform(marks, lambda m: m["k"]), F.lit(True))
     hits = F.filter(
         F.transform(marks, lambda m, i: F.when(m["v"].isNotNull(), i)),
         lambda i: i.isNotNull(),
@@ -278,10 +278,19 @@ def lexicon_score(
         marked = reviews.join(
             marks.withColumnRenamed("marks", "_marks"), key, "left"
         )
-    score = F.when(F.size("_marks") > 0, _compound(body, F.col("_marks"), rules))
-    return marked.withColumn(
-        "sentiment_score", F.coalesce(score, F.lit(0.0))
-    ).drop("_marks")
+    # facts about the whole text, worked out once and not again per word
+    marks = F.col("_marks")
+    known = marked.withColumns(
+        {
+            "_mixed": F.exists(marks, lambda m: m["u"]) & F.exists(marks, lambda m: ~m["u"]),
+            "_turn": F.array_position(F.transform(marks, lambda m: m["k"]), F.lit(True)),
+        }
+    )
+    compound = _compound(body, marks, F.col("_mixed"), F.col("_turn"), rules)
+    score = F.when(F.size(marks) > 0, compound)
+    return known.withColumn("sentiment_score", F.coalesce(score, F.lit(0.0))).drop(
+        "_marks", "_mixed", "_turn"
+    )
 
 
 def with_label(scored: DataFrame) -> DataFrame:

@@ -169,7 +169,7 @@ emph AS (
 loud AS (
   SELECT emph.k, CASE WHEN s > 0 THEN s + e WHEN s < 0 THEN s - e ELSE 0.0 END AS s
   FROM emph LEFT JOIN total USING (k)),
-scores AS (SELECT k AS {key}, round(s / sqrt(s * s + 15.0::DOUBLE), 4) AS sentiment_score FROM loud)
+scores AS (SELECT k AS {key}, round(s / sqrt(s * s + 15.0::DOUBLE), 4) + 0.0 AS sentiment_score FROM loud)
 """
 
 

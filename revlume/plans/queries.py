@@ -56,7 +56,7 @@ def day(name: str) -> Column:
 
 def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``reviews_src`` with text, rating and name rules of its platform applied."""
-    src = views.reviews_src(spark, sf_dir)
+    src = views.reviews_src(spark, sf_dir).where(strip_text(F.col("text")) != "")
     app_store = F.col("platform") == "App Store"
     rating = F.col("raw_rating")
     rows = src.select(
@@ -72,7 +72,7 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(app_store, clean_text(F.col("title"))).alias("review_title"),
         F.when(~app_store, F.length("title")).alias("thumbs_up_count"),
     )
-    return rows.where(is_star(F.col("star_rating")) & (F.col("review_text") != ""))
+    return rows.where(is_star(F.col("star_rating")))
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,7 +316,7 @@ def _over_texts(name: str, function: Callable[[Column], Column]):
     """Apply a text function to every text of documents and conversations."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = table(spark, sf_dir, "documents").select(
+        docs = views.documents(spark, sf_dir).select(
             F.col("doc_id").alias("id"), F.lit(-1).cast("long").alias("part"), "text"
         )
         turns = table(spark, sf_dir, "conversations").select(
@@ -368,7 +368,7 @@ def _initials(function: Callable[[Column], Column]):
         parts = table(spark, sf_dir, "part").select(
             F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), _name().alias("name")
         )
-        docs = table(spark, sf_dir, "documents").select(
+        docs = views.documents(spark, sf_dir).select(
             F.lit("document").alias("kind"), F.col("doc_id").alias("id"),
             F.col("text").alias("name"),
         )
@@ -418,7 +418,7 @@ def coalesce_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def title_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.expr("IF(doc_id % 3 = 0, text, source)")
-    return table(spark, sf_dir, "documents").select(
+    return views.documents(spark, sf_dir).select(
         "doc_id", shown(title_if_differs(title, F.col("text"))).alias("title")
     )
 
@@ -443,7 +443,7 @@ def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- sentiment ------------------------------------------------------------
 
 def lexicon_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = views.documents(spark, sf_dir).select("doc_id", "text")
     scored = lexicon_score(
         docs, views.word_lexicon(spark, sf_dir), "text", TEST_RULES, ["doc_id"]
     )
@@ -454,7 +454,7 @@ def lexicon_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same scores by the word join that a very large lexicon takes."""
     from dataclasses import replace
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = views.documents(spark, sf_dir).select("doc_id", "text")
     scored = lexicon_score(
         docs, views.word_lexicon(spark, sf_dir), "text",
         replace(TEST_RULES, max_inline_words=0), ["doc_id"],
@@ -475,7 +475,7 @@ def model_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return predict
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = views.documents(spark, sf_dir).select("doc_id", "text")
     scored = model_score(docs, load, "text")
     return scored.select(
         "doc_id", F.round("sentiment_score", 4).alias("sentiment_score")

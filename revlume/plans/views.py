@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revlume.functions.dates import naive_as_utc
 from revlume.schema import GOOGLE_PLAY_REVIEW
+from revlume.session import spread
 
 AS_OF = datetime(2024, 12, 31, tzinfo=timezone.utc)
 EVENTS_AS_OF = datetime(2025, 1, 16, tzinfo=timezone.utc)
@@ -25,10 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def reviews_src(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as flat, not yet cleaned reviews of both platforms."""
     end = int(AS_OF.timestamp())
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("seq"),
         F.expr("concat('app-', n_chars div 100)").alias("app_id"),
         F.expr("IF(doc_id % 2 = 0, 'App Store', 'Google Play Store')").alias("platform"),
@@ -80,7 +85,7 @@ def app_store_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
              element_at(array('Z', '-07:00', '+05:30', ''), cast(doc_id % 4 + 1 as int)))
     """
     entries = (
-        table(spark, sf_dir, "documents")
+        documents(spark, sf_dir)
         .select(
             *_page_numbers(), F.col("lang").alias("country"), "doc_id", "text",
             "source", "lang", "n_chars", F.expr(stamp).alias("stamp"),
@@ -126,7 +131,7 @@ def google_play_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
                         timestamp_seconds({end} - (n_chars % 60) * {_DAY})))
     """
     by_page = (
-        table(spark, sf_dir, "documents")
+        documents(spark, sf_dir)
         .select(*_page_numbers(), "doc_id", F.expr(item).alias("item"))
         .groupBy("app_id", "page")
         .agg(

@@ -31,3 +31,15 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     path = scratch_path(df.sparkSession, name)
     df.write.mode("error").partitionBy(*(partition_by or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use every core on a table that was read in fewer splits than there are cores.
+
+    A large table has more splits than cores and is returned as it is, so
+    nothing is shuffled where that would cost anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DateType, StructType
 
 from revlume.functions import output_name, platform_key
-from revlume.operators.ordering import output_order
+from revlume.operators.ordering import output_order, with_text_hash
 
 # Header, every field quoted, a quote doubled inside quotes.
 CSV_OPTIONS = {
@@ -58,4 +58,5 @@ def sorted_by_output(named: DataFrame) -> DataFrame:
     Small outputs share a task and a large one is split over many, whose part
     files follow one another in order.
     """
-    return named.orderBy("output_name", *output_order(named))
+    hashed = with_text_hash(named)
+    return hashed.orderBy("output_name", *output_order(hashed))

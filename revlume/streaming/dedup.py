@@ -8,9 +8,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from revlume.functions import text_hash
 from revlume.functions.dates import WINDOW_DAYS
 from revlume.operators.filters import within_window
+from revlume.operators.ordering import with_text_hash
 
 STREAM_KEY = ["platform", "app_id", "review_day", "star_rating", "text_hash"]
 # A review's own day may lie one day off its instant, and rows exactly on the
@@ -35,9 +35,7 @@ def stream_dedup(
     Copies are first removed within salts taken from their ``position``, then
     across salts, so one text that makes up much of the input is spread out.
     """
-    recent = within_window(reviews, as_of)
-    if "text_hash" not in recent.columns:
-        recent = recent.withColumn("text_hash", text_hash(F.col("review_text")))
+    recent = with_text_hash(within_window(reviews, as_of))
     day = F.least(F.col("review_date"), F.lit(as_of.date()))
     keyed = recent.withColumn("review_day", day.cast("timestamp"))
     timed = keyed.withWatermark("review_day", f"{STATE_DAYS} days")
