@@ -44,13 +44,17 @@ def exit_code(status: Column) -> Column:
 
 
 def run_summary(
-    catalog: DataFrame, reviews: DataFrame, interrupted: Column | None = None
+    catalog: DataFrame,
+    reviews: DataFrame,
+    interrupted: Column | None = None,
+    *extra: Column | str,
 ) -> DataFrame:
     """One row per app of the catalog: totals, failures, status and code.
 
     ``catalog`` needs ``app_id`` and ``platforms`` (slugs, in selection order).
     Reviews are pre-aggregated to one row per app and platform before the join;
-    each app then has at most one row per platform.
+    each app then has at most one row per platform.  ``extra`` columns may use
+    ``app_id``, the counts ``app_store`` and ``google_play``, and the total.
     """
     interrupted = F.lit(False) if interrupted is None else interrupted
     selected = catalog.select(
@@ -90,6 +94,7 @@ def run_summary(
         F.to_json(F.struct(*SLUG_OF_KEY)).alias("by_platform"),
         failed.alias("platforms_failed"),
         "interrupted",
+        *extra,
     )
 
 

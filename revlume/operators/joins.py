@@ -25,3 +25,24 @@ def without(
     if fits(keys, max_broadcast_rows):
         keys = F.broadcast(keys)
     return rows.join(keys, on, "left_anti")
+
+
+def only(
+    rows: DataFrame, listed: DataFrame, on: list[str],
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """Rows whose key is in ``listed``; broadcasts as ``without`` does."""
+    keys = listed.select(*on)
+    if fits(keys, max_broadcast_rows):
+        keys = F.broadcast(keys)
+    return rows.join(keys, on, "left_semi")
+
+
+def with_attributes(
+    rows: DataFrame, attributes: DataFrame, on: list[str],
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """Rows with the columns of ``attributes``, which has one row per key."""
+    if fits(attributes, max_broadcast_rows):
+        attributes = F.broadcast(attributes)
+    return rows.join(attributes, on, "left")

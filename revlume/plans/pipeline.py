@@ -1,0 +1,231 @@
+"""A full run: landed raw pages in, clean, scored and sorted reviews out."""
+
+from __future__ import annotations
+
+import logging
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from revlume.functions import output_name
+from revlume.functions.naming import SLUG_OF_KEY
+from revlume.operators.aggregates import run_summary, throughput
+from revlume.operators.analysis import Scorer, analyze_reviews
+from revlume.operators.combine import union_all
+from revlume.operators.dedup import country_order, dedup_first_seen
+from revlume.operators.filters import in_countries, up_to_page, within_window
+from revlume.operators.joins import only, with_attributes
+from revlume.operators.projections import (
+    extended_columns, standard_columns, with_platform_key,
+)
+from revlume.operators.walk import (
+    MAX_PAGES_APP_STORE, MAX_PAGES_GOOGLE_PLAY, batch_stats, keep_reached, mark_reached,
+)
+from revlume.session import staged
+from revlume.sources.app_store import (
+    page_reviews, page_stats, read_pages, with_page_stats,
+)
+from revlume.sources.catalog import catalog_errors
+from revlume.sources.google_play import parse_google_play
+from revlume.sources.sinks import named_outputs, sorted_by_output, write_csv
+
+log = logging.getLogger(__name__)
+
+OUTPUT_MODES = ("reviews", "analysis", "both")
+
+
+@dataclass(frozen=True)
+class RunConfig:
+    """Settings of a run; ``as_of`` stands for "now"."""
+
+    as_of: datetime
+    platforms: tuple[str, ...] = ("app-store", "google-play")
+    countries: tuple[str, ...] = ("us",)
+    max_pages_app_store: int = MAX_PAGES_APP_STORE
+    max_pages_google_play: int = MAX_PAGES_GOOGLE_PLAY
+    output_mode: str = "analysis"
+    single_file: bool = True
+    extended_fields: bool = False
+    strict_page: bool = False
+    interrupted: bool = False
+
+    def __post_init__(self):
+        if self.output_mode not in OUTPUT_MODES:
+            raise ValueError(f"output_mode must be one of {OUTPUT_MODES}")
+
+    @property
+    def write_raw(self) -> bool:
+        return self.output_mode in ("reviews", "both")
+
+    @property
+    def write_analysis(self) -> bool:
+        return self.output_mode in ("analysis", "both")
+
+
+@dataclass(frozen=True)
+class RunResult:
+    reviews: DataFrame
+    summary: DataFrame
+    rejected: DataFrame
+    paths: tuple[str, ...]
+
+
+def _clean(rows: DataFrame, marked: DataFrame, cap: int, config: RunConfig) -> DataFrame:
+    reached = within_window(keep_reached(rows, marked, cap), config.as_of)
+    ordered = reached.withColumn("country_order", country_order(config.countries))
+    return with_platform_key(dedup_first_seen(ordered))
+
+
+def clean_app_store(pages: DataFrame, config: RunConfig) -> DataFrame:
+    """Pages of the selected countries to clean reviews.
+
+    Bodies are parsed once, into a staged table; the walk then reads only the
+    figures of each page.
+    """
+    wanted = up_to_page(in_countries(pages, config.countries), config.max_pages_app_store)
+    read = staged(with_page_stats(read_pages(wanted, config.strict_page)), "app-store")
+    marked = mark_reached(page_stats(read), config.as_of, config.max_pages_app_store)
+    return _clean(page_reviews(read), marked, config.max_pages_app_store, config)
+
+
+def clean_google_play(batches: DataFrame, config: RunConfig) -> DataFrame:
+    """Batches to clean reviews; the walk reads only times and tokens."""
+    marked = mark_reached(
+        batch_stats(batches), config.as_of, config.max_pages_google_play,
+        is_last=F.col("is_last"),
+    )
+    rows = parse_google_play(batches)
+    return _clean(rows, marked, config.max_pages_google_play, config)
+
+
+def _collect(
+    name: str, clean: Callable[[DataFrame, RunConfig], DataFrame],
+    landed: DataFrame, apps: DataFrame, config: RunConfig,
+) -> DataFrame | None:
+    """Clean reviews of one platform, staged; None when the platform fails.
+
+    One platform must not take the other down with it.
+    """
+    selected = apps.where(F.array_contains("platforms", name))
+    try:
+        return staged(clean(only(landed, selected, ["app_id"]), config), name)
+    except Exception:
+        log.exception("collecting %s failed; going on without it", name)
+        return None
+
+
+def _files_written(config: RunConfig) -> Column:
+    """Names of the outputs that hold rows of an app."""
+    kinds = [k for k, on in ((False, config.write_raw), (True, config.write_analysis)) if on]
+    name = F.col("app_name")
+    if config.single_file:
+        made = [
+            F.when(F.col("total_reviews") > 0, output_name(name, None, F.lit(k)))
+            for k in kinds
+        ]
+    else:
+        made = [
+            F.when(F.col(key) > 0, output_name(name, F.lit(key), F.lit(k)))
+            for key in SLUG_OF_KEY
+            for k in kinds
+        ]
+    return F.array_compact(F.array(*made)).alias("files_written")
+
+
+def _write(
+    reviews: DataFrame, path: str, config: RunConfig, scorer: Scorer | None
+) -> bool:
+    """One sorted CSV dataset with a folder per output name.
+
+    Rows are scored after the sort: a range sort reads its input twice, and
+    scores do not change the order.
+    """
+    named = named_outputs(
+        reviews, F.col("app_name"), config.single_file, analysis=scorer is not None
+    )
+    ordered = sorted_by_output(named)
+    pick = extended_columns if config.extended_fields else standard_columns
+    keep = ["output_name"]
+    if scorer is not None:
+        ordered = analyze_reviews(ordered, scorer)
+        keep += ["sentiment_score", "sentiment_label"]
+    columns = pick(ordered, *keep)
+    if scorer is not None:
+        scores = ["sentiment_score", "sentiment_label"]
+        others = [c for c in columns.columns if c not in scores]
+        columns = columns.select(*others, *scores)
+    return write_csv(columns, path, ["output_name"])
+
+
+def run(
+    catalog: DataFrame,
+    app_store_pages: DataFrame,
+    google_play_batches: DataFrame,
+    out_dir: str,
+    config: RunConfig,
+    scorer: Scorer | None = None,
+    run_id: str = "run",
+) -> RunResult:
+    """Validate, collect, write and summarise.
+
+    ``scorer`` comes from ``choose_scorer`` and is needed for the analysis
+    output.  Outputs go to ``{out_dir}/reviews`` and ``{out_dir}/analysis``, the
+    summary is appended to ``{out_dir}/run_summary``.
+    """
+    if config.write_analysis and scorer is None:
+        raise ValueError("the analysis output needs a scorer")
+    started = time.monotonic()
+    selected = F.array(*[F.lit(p) for p in config.platforms]).cast("array<string>")
+    asked = catalog.withColumn(
+        "platforms", F.filter("platforms", lambda p: F.array_contains(selected, p))
+    )
+    checked = catalog_errors(asked)
+    rejected = checked.where(F.size("errors") > 0)
+    apps = checked.where(F.size("errors") == 0).drop("errors")
+
+    sources = {
+        "app-store": (clean_app_store, app_store_pages),
+        "google-play": (clean_google_play, google_play_batches),
+    }
+    parts = [
+        _collect(name, *sources[name], apps, config)
+        for name in sources
+        if name in config.platforms
+    ]
+    found = [p for p in parts if p is not None]
+    collected = time.monotonic()
+    paths: list[str] = []
+    if found:
+        names = apps.select("app_id", "app_name")
+        reviews = with_attributes(union_all(*found), names, ["app_id"])
+        for kind, wanted, with_scorer in (
+            ("reviews", config.write_raw, None),
+            ("analysis", config.write_analysis, scorer),
+        ):
+            path = f"{out_dir}/{kind}"
+            if wanted and _write(reviews, path, config, with_scorer):
+                paths.append(path)
+        counted = reviews.select("app_id", "platform")
+    else:
+        reviews = None
+        counted = apps.sparkSession.createDataFrame([], "app_id string, platform string")
+    finished = time.monotonic()
+
+    summary = with_attributes(
+        run_summary(apps, counted, F.lit(config.interrupted), *SLUG_OF_KEY),
+        apps.select("app_id", "app_name"), ["app_id"],
+    ).select(
+        F.lit(run_id).alias("run_id"),
+        "app_id", "status", "exit_code", "total_reviews", "by_platform",
+        _files_written(config),
+        F.lit(round(finished - started, 2)).alias("duration_seconds"),
+        F.lit(round(collected - started, 2)).alias("collecting_seconds"),
+        throughput(F.col("total_reviews"), F.lit(collected - started)).alias("reviews_per_second"),
+        "platforms_failed", "interrupted",
+    )
+    summary = staged(summary, "summary")
+    summary.write.mode("append").json(f"{out_dir}/run_summary")
+    return RunResult(reviews, summary, rejected, tuple(paths))

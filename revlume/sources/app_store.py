@@ -157,25 +157,33 @@ def read_pages(pages: DataFrame, strict_page: bool = False) -> DataFrame:
     return read
 
 
-def page_stats(read: DataFrame) -> DataFrame:
-    """One row per page: its oldest valid review, and how many are valid or bad."""
-    keys = [c for c in read.columns if c != "entries"]
-    times = F.transform(
-        F.filter("entries", lambda e: e["status"] == "ok"), lambda e: e["review_ts"]
-    )
+def with_page_stats(read: DataFrame) -> DataFrame:
+    """Add per page its oldest valid review, and how many are valid or bad.
+
+    Kept beside the entries, so that a staged table gives the figures of a page
+    from three narrow columns.
+    """
+    ok = F.filter("entries", lambda e: e["status"] == "ok")
+    times = F.transform(ok, lambda e: e["review_ts"])
     bad = F.filter("entries", lambda e: e["status"] == "bad")
-    counted = read.select(*keys, times.alias("times"), F.size(bad).alias("n_bad"))
-    return counted.select(
-        *keys,
-        F.array_min("times").alias("oldest_ts"),
-        F.greatest(F.size("times"), F.lit(0)).cast("long").alias("n_rows"),
-        F.greatest("n_bad", F.lit(0)).cast("long").alias("n_bad"),
+    return read.withColumns(
+        {
+            "oldest_ts": F.array_min(times),
+            "n_rows": F.greatest(F.size(ok), F.lit(0)).cast("long"),
+            "n_bad": F.greatest(F.size(bad), F.lit(0)).cast("long"),
+        }
     )
 
 
+def page_stats(read: DataFrame) -> DataFrame:
+    """One row per page with its figures."""
+    counted = read if "n_rows" in read.columns else with_page_stats(read)
+    return counted.drop("entries")
+
+
 def page_reviews(read: DataFrame, only_ok: bool = True) -> DataFrame:
     """One row per entry of pages read by ``read_pages``."""
-    keys = [c for c in read.columns if c != "entries"]
+    keys = [c for c in read.columns if c not in ("entries", "oldest_ts", "n_rows", "n_bad")]
     wanted = F.filter("entries", lambda e: (e["status"] == "ok") | F.lit(not only_ok))
     rows = read.select(*keys, F.explode(wanted).alias("e"))
     return rows.select(
