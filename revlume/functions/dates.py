@@ -18,11 +18,17 @@ _ZONE_TAIL = r"(?i) ?%s\z" % _ZONE
 _NO_SECONDS = r"\A(\S{10}[T ]\d{2}:\d{2})(?!:)"
 _WEEKDAY = r"\A[A-Za-z]{3,9}, "
 
-# Spellings besides ISO 8601, tried in this order; the time is optional.
-OTHER_DATES = (
-    "yyyy/M/d", "M/d/yyyy", "d/M/yyyy",
-    "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy",
-)
+# Spellings besides ISO 8601, each with the shape that calls for it; the time
+# is optional.
+OTHER_DATES = {
+    "yyyy/M/d": r"\A\d{4}/",
+    "M/d/yyyy": r"\A\d{1,2}/",
+    "d/M/yyyy": r"\A(1[3-9]|2\d|3[01])/",
+    "MMM d, yyyy": r"\A[A-Za-z]{3} ",
+    "MMMM d, yyyy": r"\A[A-Za-z]{4,} ",
+    "d MMM yyyy": r"\A\d{1,2} [A-Za-z]{3} ",
+    "d MMMM yyyy": r"\A\d{1,2} [A-Za-z]{4,} ",
+}
 _OTHER_TIME = "[ h:mm[:ss] a][ H:mm[:ss]] X"
 
 
@@ -47,9 +53,16 @@ def _iso_instant(text: Column) -> Column:
 def _other_wall_clock(text: Column) -> Column:
     """Wall-clock reading of a non-ISO text, held as if it were UTC."""
     bare = F.when(_has_zone(text), F.regexp_replace(text, _ZONE_TAIL, "")).otherwise(text)
-    stamped = F.concat(F.regexp_replace(bare, _WEEKDAY, ""), F.lit(" Z"))
+    date_first = F.regexp_replace(bare, _WEEKDAY, "")
+    stamped = F.concat(date_first, F.lit(" Z"))
     return F.coalesce(
-        *[F.try_to_timestamp(stamped, F.lit(d + _OTHER_TIME)) for d in OTHER_DATES]
+        *[
+            F.when(
+                date_first.rlike(shape),
+                F.try_to_timestamp(stamped, F.lit(spelling + _OTHER_TIME)),
+            )
+            for spelling, shape in OTHER_DATES.items()
+        ]
     )
 
 

@@ -35,7 +35,7 @@ NEGATIONS = (
     "werent without wont wouldnt"
 ).split()
 
-_PUNCTUATION = r"""[!-/:-@\[-`{-~]"""
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # A mark that may be cut off one end of a word that has no other punctuation.
 _MARK = r"""(?:[!?]{2,4}|[.!?,;:'"-])"""
 _BARE = r"""[^!-/:-@\[-`{-~]{2,}"""
@@ -76,30 +76,35 @@ def words(text: Column) -> Column:
         F.split(strip_text(text), WHITESPACE_CLASS + "+"), lambda t: F.length(t) > 1
     )
     marked = rf"\A{_MARK}({_BARE})\z|\A({_BARE}){_MARK}\z"
+    # most words have no outer punctuation and never meet the pattern
     return F.transform(
         tokens,
         lambda t: F.when(
-            t.rlike(_PUNCTUATION), F.regexp_replace(t, marked, "$1$2")
+            F.btrim(t, F.lit(_PUNCTUATION)) != t, F.regexp_replace(t, marked, "$1$2")
         ).otherwise(t),
     )
 
 
 def dictionary(lexicon: DataFrame, rules: Rules) -> DataFrame:
     """``tok, v, b, g``: valence, degree and negation of each known word."""
-    spark = lexicon.sparkSession
-    degree = [(w, rules.degree, False) for w in rules.intensifiers]
-    degree += [(w, -rules.degree, False) for w in rules.diminishers]
-    negative = [(w, None, True) for w in rules.negations]
-    listed = spark.createDataFrame(degree + negative, "tok string, b double, g boolean")
-    listed = listed.groupBy("tok").agg(F.max("b").alias("b"), F.max("g").alias("g"))
-    # a word listed twice has the mean of its valences
-    valences = lexicon.groupBy(F.lower("tok").alias("tok")).agg(
-        F.avg(F.col("val").cast("double")).alias("v")
+    degree = dict.fromkeys(rules.diminishers, -rules.degree)
+    degree |= dict.fromkeys(rules.intensifiers, rules.degree)
+    listed = [
+        (w, None, degree.get(w), w in rules.negations)
+        for w in sorted({*degree, *rules.negations})
+    ]
+    known = lexicon.sparkSession.createDataFrame(
+        listed, "tok string, v double, b double, g boolean"
     )
-    return (
-        valences.where(F.col("v").isNotNull())
-        .join(listed, "tok", "full_outer")
-        .select("tok", "v", "b", F.coalesce("g", F.lit(False)).alias("g"))
+    valences = lexicon.select(
+        F.lower("tok").alias("tok"),
+        F.col("val").cast("double").alias("v"),
+        F.lit(None).cast("double").alias("b"),
+        F.lit(False).alias("g"),
+    ).where(F.col("v").isNotNull())
+    # a word listed twice has the mean of its valences
+    return valences.unionByName(known).groupBy("tok").agg(
+        F.avg("v").alias("v"), F.max("b").alias("b"), F.max("g").alias("g")
     )
 
 

@@ -157,7 +157,7 @@ def _write(
         scores = ["sentiment_score", "sentiment_label"]
         others = [c for c in columns.columns if c not in scores]
         columns = columns.select(*others, *scores)
-    return write_csv(columns, path, ["output_name"])
+    return write_csv(columns, path, ["output_name"], same_rows=reviews)
 
 
 def run(

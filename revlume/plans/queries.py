@@ -27,8 +27,8 @@ from revlume.operators.walk import (
 )
 from revlume.plans import views
 from revlume.plans.views import AS_OF, COUNTRIES, EVENTS_AS_OF, table
-from revlume.session import scratch_path
-from revlume.sources.app_store import page_reviews, page_stats, parse_app_store, read_pages
+from revlume.session import scratch_path, staged
+from revlume.sources.app_store import page_reviews, page_stats, parse_app_store, read_pages, with_page_stats
 from revlume.sources.catalog import catalog_errors, request_frontier
 from revlume.sources.google_play import parse_google_play
 from revlume.sources.sinks import read_csv, write_csv
@@ -109,7 +109,9 @@ def _collected(rows: DataFrame, stats: DataFrame, cap: int, **kw):
 
 def collect_app_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw App Store pages to clean reviews: parse, walk, window, dedup."""
-    read = read_pages(views.app_store_pages(spark, sf_dir))
+    read = staged(
+        with_page_stats(read_pages(views.app_store_pages(spark, sf_dir))), "app-store"
+    )
     found = _collected(page_reviews(read), page_stats(read), 5)
     return found.select(
         "app_id", "country", "page", "entry_pos", day("review_date"), "star_rating",
@@ -169,8 +171,8 @@ def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write sorted reviews as quoted CSV and read them back."""
     path = scratch_path(spark, "csv")
-    ordered = standard_columns(sort_reviews(clean(spark, sf_dir)))
-    write_csv(ordered, path)
+    reviews = staged(clean(spark, sf_dir), "clean")
+    write_csv(standard_columns(sort_reviews(reviews)), path, same_rows=reviews)
     return read_csv(
         spark, path,
         "review_date string, star_rating int, reviewer_anonymized string, "
@@ -342,7 +344,8 @@ def clamp_star(spark: SparkSession, sf_dir: str) -> DataFrame:
            WHEN 7 THEN l_returnflag
            ELSE concat('00', cast(l_quantity as int) % 8) END"""
     )
-    return table(spark, sf_dir, "lineitem").select(
+    lines = views.spread_table(spark, sf_dir, "lineitem", "l_orderkey")
+    return lines.select(
         "l_orderkey", "l_linenumber", shown(clamp_star_rating(raw)).alias("star_rating")
     )
 
@@ -393,7 +396,8 @@ def _order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
             WHEN 7 THEN {stamp % "MM/dd/yyyy"}
             ELSE concat({stamp % "yyyy"}, '-13-45') END"""
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    orders = views.spread_table(spark, sf_dir, "orders", "o_orderkey")
+    return orders.select("o_orderkey", text.alias("text"))
 
 
 def parse_ts(spark: SparkSession, sf_dir: str) -> DataFrame:

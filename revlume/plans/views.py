@@ -26,8 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table that heavy expressions run on, on every core however small."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return spread_table(spark, sf_dir, "documents", "doc_id")
 
 
 def reviews_src(spark: SparkSession, sf_dir: str) -> DataFrame:
