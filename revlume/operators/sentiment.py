@@ -38,7 +38,8 @@ NEGATIONS = (
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # A mark that may be cut off one end of a word that has no other punctuation.
 _MARK = r"""(?:[!?]{2,4}|[.!?,;:'"-])"""
-_BARE = r"""[^!-/:-@\[-`{-~]{2,}"""
+_BARE = r"""([^!-/:-@\[-`{-~]{2,}+)"""
+_MARKED_WORD = rf"\A{_MARK}{_BARE}\z|\A{_BARE}{_MARK}\z"
 
 
 @dataclass(frozen=True)
@@ -75,12 +76,12 @@ def words(text: Column) -> Column:
     tokens = F.filter(
         F.split(strip_text(text), WHITESPACE_CLASS + "+"), lambda t: F.length(t) > 1
     )
-    marked = rf"\A{_MARK}({_BARE})\z|\A({_BARE}){_MARK}\z"
     # most words have no outer punctuation and never meet the pattern
     return F.transform(
         tokens,
         lambda t: F.when(
-            F.btrim(t, F.lit(_PUNCTUATION)) != t, F.regexp_replace(t, marked, "$1$2")
+            F.btrim(t, F.lit(_PUNCTUATION)) != t,
+            F.regexp_replace(t, _MARKED_WORD, "$1$2"),
         ).otherwise(t),
     )
 
@@ -135,17 +136,17 @@ def _mark(raw: Column, lower: Column, known: Column, rules: Rules) -> Column:
         known["v"].alias("v"),
         known["b"].alias("b"),
         (F.coalesce(known["g"], F.lit(False)) | lower.contains("n't")).alias("g"),
-        ((raw == F.upper(raw)) & (raw != lower)).alias("u"),
+        ((raw != lower) & (raw == F.upper(raw))).alias("u"),
         (lower == rules.contrast).alias("k"),
     )
 
 
 def _marks_inline(text: Column, lookup, rules: Rules) -> Column:
-    pairs = F.transform(
-        words(text), lambda t: F.struct(t.alias("t"), F.lower(t).alias("l"))
-    )
     found = F.transform(
-        pairs, lambda p: F.struct(p["t"].alias("t"), p["l"].alias("l"), lookup(p["l"]).alias("e"))
+        words(text),
+        lambda t: F.struct(
+            t.alias("t"), F.lower(t).alias("l"), lookup(F.lower(t)).alias("e")
+        ),
     )
     return F.transform(found, lambda f: _mark(f["t"], f["l"], f["e"], rules))
 
