@@ -256,7 +256,7 @@ estats AS (
 
 CATALOG = """
 cat AS (
-  SELECT 'app-' || c_custkey AS app_id, c_custkey AS c,
+  SELECT 'app-' || c_custkey AS app_id, c_custkey AS c, lower(replace(c_name, '#', '_')) AS app_name,
     CASE c_custkey % 9 WHEN 0 THEN '123456789' WHEN 1 THEN '' WHEN 2 THEN 'id' || c_custkey
       WHEN 3 THEN '  ' ELSE CAST(500000000 + c_custkey AS VARCHAR) END AS a,
     c_custkey % 4 IN (0, 1) AS on_a, c_custkey % 4 IN (0, 2) AS on_g
@@ -301,6 +301,31 @@ CODE = "CASE {0} WHEN 'interrupted' THEN 130 WHEN 'failed' THEN 3 WHEN 'partial'
 
 _LEX_DOCS = f"WITH {scored('documents', 'doc_id', 'text')} SELECT doc_id, coalesce(sentiment_score, 0.0) AS sentiment_score FROM scores"
 
+_FULL_RUN = f"""{APPLE},
+astats AS (SELECT app_id, country, page, min(review_epoch) < epoch({CUTOFF}) AS stale FROM apple GROUP BY ALL),
+{walk("astats", 20)}, {GOOGLE}, {CATALOG},
+kept_a AS (
+  SELECT app_id, country, page, entry_pos, CAST(day AS VARCHAR) AS review_date, star_rating,
+    {initials("name", "")} AS reviewer_anonymized, review_text, 'App Store' AS platform,
+    NULL::INT AS thumbs_up_count, NULL::VARCHAR AS reply
+  FROM apple JOIN walked USING (app_id, country, page)
+  WHERE reached AND review_epoch >= epoch({CUTOFF})
+    AND app_id IN (SELECT app_id FROM checked WHERE errors = '' AND on_a)
+  QUALIFY row_number() OVER (PARTITION BY app_id, day, star_rating, {hash16("review_text")}
+                             ORDER BY {PLACE}, page, entry_pos) = 1),
+kept_g AS (
+  SELECT app_id, 'us' AS country, page, entry_pos, CAST(CAST(made AS DATE) AS VARCHAR) AS review_date,
+    star_rating, {initials_google("name")} AS reviewer_anonymized, review_text,
+    'Google Play Store' AS platform, thumbs_up_count, reply
+  FROM google JOIN gwalk USING (app_id, page)
+  WHERE reached AND made >= {CUTOFF}
+    AND app_id IN (SELECT app_id FROM checked WHERE errors = '' AND on_g)
+  QUALIFY row_number() OVER (PARTITION BY app_id, CAST(made AS DATE), star_rating, {hash16("review_text")}
+                             ORDER BY page, entry_pos) = 1),
+kept AS (
+  SELECT *, concat_ws('/', platform, app_id, country, page, entry_pos) AS uid
+  FROM (SELECT * FROM kept_a UNION ALL SELECT * FROM kept_g))"""
+
 ORACLE: dict[str, str] = {
     "clean_review_table": f"""WITH {CLEAN}, {scored("clean", "seq", "review_text")}
         SELECT seq, app_id, platform, review_date, star_rating, reviewer_anonymized, text_hash,
@@ -325,6 +350,13 @@ ORACLE: dict[str, str] = {
         WHERE reached AND made >= {CUTOFF}
         QUALIFY row_number() OVER (PARTITION BY app_id, CAST(made AS DATE), star_rating, {hash16("review_text")}
                                    ORDER BY page, entry_pos) = 1""",
+    "full_run": f"""WITH {_FULL_RUN}, {scored("kept", "uid", "review_text")}
+        SELECT app_name || '_reviews_analysis' AS output_name, review_date, star_rating,
+          reviewer_anonymized, platform, {hash16("review_text")} AS text_hash,
+          {shown("thumbs_up_count")} AS thumbs_up_count, {shown("reply")} AS developer_reply,
+          sentiment_score, {LABEL.format("sentiment_score")} AS sentiment_label
+        FROM (SELECT kept.*, app_name, coalesce(scores.sentiment_score, 0.0) AS sentiment_score
+              FROM kept JOIN scores USING (uid) JOIN checked USING (app_id))""",
     "app_store_parse": f"""WITH {APPLE}
         SELECT app_id, country, page, entry_pos, review_epoch, CAST(day AS VARCHAR) AS review_date,
           star_rating, {initials("name", "")} AS reviewer_anonymized, 'App Store' AS platform,
@@ -381,6 +413,11 @@ ORACLE: dict[str, str] = {
     "page_walk": f"""WITH {EVENT_PAGES}, {walk("estats", 12)}
         SELECT app_id, page, n_rows, stale, reached FROM walked""",
     "batch_walk": f"WITH {GOOGLE} SELECT app_id, page, n_rows, is_last, stale, reached FROM gwalk",
+    "page_order": f"""WITH {APPLE},
+        ends AS (SELECT app_id, country, page, max(review_epoch) AS newest, min(review_epoch) AS oldest
+                 FROM apple GROUP BY ALL),
+        prev AS (SELECT *, lag(oldest) OVER (PARTITION BY app_id, country ORDER BY page) AS previous_oldest FROM ends)
+        SELECT app_id, country, page, newest, previous_oldest FROM prev WHERE newest > previous_oldest""",
     "count_by_platform": f"""WITH {CLEAN}
         SELECT 'app_store' AS platform_key, count(*) AS n_reviews FROM clean WHERE platform = 'App Store'
         UNION ALL SELECT 'google_play', 0""",

@@ -9,23 +9,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from revlume.functions import (
     clamp_star_rating, clean_text, first_non_empty, initials_app_store,
     initials_google_play, is_star, local_date, output_name, parse_timestamp,
-    sentiment_label, strip_text, text_hash, title_if_differs, whole_score,
+    sentiment_label, strip_text, text_hash, title_if_differs, utc_date,
+    whole_score,
 )
 from revlume.operators.aggregates import (
     count_by_platform, exit_code, run_status, run_summary,
 )
 from revlume.operators.analysis import analyze_reviews, choose_scorer
 from revlume.operators.combine import union_all
-from revlume.operators.dedup import country_order, dedup_first_seen
+from revlume.operators.dedup import DEDUP_KEY, country_order, dedup_first_seen
 from revlume.operators.filters import in_countries, on_platforms, within_window
 from revlume.operators.model import model_score
 from revlume.operators.ordering import sort_reviews
 from revlume.operators.projections import extended_columns, standard_columns
 from revlume.operators.sentiment import Rules, lexicon_score
 from revlume.operators.walk import (
-    batch_stats, keep_reached, mark_reached, oldest_per_page,
+    batch_stats, keep_reached, mark_reached, oldest_per_page, order_breaks,
 )
 from revlume.plans import views
+from revlume.plans.pipeline import RunConfig, run
 from revlume.plans.views import AS_OF, COUNTRIES, EVENTS_AS_OF, table
 from revlume.session import scratch_path, staged
 from revlume.sources.app_store import page_reviews, page_stats, parse_app_store, read_pages, with_page_stats
@@ -62,7 +64,7 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = src.select(
         "seq", "app_id", "platform", "country", "page", "entry_pos", "review_ts",
         country_order(COUNTRIES).alias("country_order"),
-        F.to_date("review_ts").alias("review_date"),
+        utc_date(F.col("review_ts")).alias("review_date"),
         F.when(app_store, clamp_star_rating(rating))
         .otherwise(whole_score(rating)).alias("star_rating"),
         F.when(app_store, initials_app_store(F.col("author")))
@@ -132,6 +134,31 @@ def collect_google_play(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run with all its outputs; the analysis files read back."""
+    out = scratch_path(spark, "run")
+    config = RunConfig(as_of=AS_OF, countries=tuple(COUNTRIES), extended_fields=True)
+    run(
+        views.app_catalog(spark, sf_dir), views.app_store_pages(spark, sf_dir),
+        views.google_play_batches(spark, sf_dir), out, config,
+        lexicon_scorer(spark, sf_dir, DEDUP_KEY),
+    )
+    written = read_csv(
+        spark, f"{out}/analysis",
+        "review_date string, star_rating int, reviewer_anonymized string, "
+        "review_text string, platform string, review_title string, thumbs_up_count int, "
+        "developer_reply string, developer_reply_date string, sentiment_score double, "
+        "sentiment_label string, output_name string",
+    )
+    return written.select(
+        "output_name", "review_date", "star_rating", "reviewer_anonymized", "platform",
+        text_hash(F.col("review_text")).alias("text_hash"),
+        shown(F.col("thumbs_up_count")).alias("thumbs_up_count"),
+        shown(F.col("developer_reply")).alias("developer_reply"),
+        "sentiment_score", "sentiment_label",
+    )
+
+
 # ---- sources and sinks ----------------------------------------------------
 
 def app_store_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,6 +278,18 @@ def page_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("app_id", "page", "n_rows", "stale", "reached")
 
 
+def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages out of order in the derived App Store pages (a diagnostic)."""
+    reviews = parse_app_store(views.app_store_pages(spark, sf_dir))
+    ends = reviews.groupBy("app_id", "country", "page").agg(
+        F.max("review_ts").alias("newest_ts"), F.min("review_ts").alias("oldest_ts")
+    )
+    return order_breaks(ends).select(
+        "app_id", "country", "page", F.unix_seconds("newest_ts").alias("newest"),
+        F.unix_seconds("previous_oldest_ts").alias("previous_oldest"),
+    )
+
+
 def batch_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = batch_stats(views.google_play_batches(spark, sf_dir))
     marked = mark_reached(stats, AS_OF, 50, is_last=F.col("is_last"))
@@ -516,7 +555,7 @@ def stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("review_ts"),
         clamp_star_rating(F.expr("n_chars % 8")).alias("star_rating"),
         clean_text(F.col("text")).alias("review_text"),
-    ).withColumn("review_date", F.to_date("review_ts"))
+    ).withColumn("review_date", utc_date(F.col("review_ts")))
     path, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
     kept = stream_dedup(rows, AS_OF).select(
         "platform", "app_id", day("review_date"), "star_rating", "text_hash"
@@ -529,6 +568,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_review_table": clean_review_table,
     "collect_app_store": collect_app_store,
     "collect_google_play": collect_google_play,
+    "full_run": full_run,
     "app_store_parse": app_store_parse,
     "app_store_parse_strict": app_store_parse_strict,
     "google_play_parse": google_play_parse,
@@ -546,6 +586,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "oldest_per_page": oldest_page,
     "page_walk": page_walk,
     "batch_walk": batch_walk,
+    "page_order": newest_first,
     "count_by_platform": platform_counts,
     "run_status": status_by_country,
     "sorted_output": sorted_output,
