@@ -257,16 +257,16 @@ estats AS (
 CATALOG = """
 cat AS (
   SELECT 'app-' || c_custkey AS app_id, c_custkey AS c, lower(replace(c_name, '#', '_')) AS app_name,
-    CASE c_custkey % 9 WHEN 0 THEN '123456789' WHEN 1 THEN '' WHEN 2 THEN 'id' || c_custkey
+    CASE (c_custkey + 4) % 9 WHEN 0 THEN '123456789' WHEN 1 THEN '' WHEN 2 THEN 'id' || c_custkey
       WHEN 3 THEN '  ' ELSE CAST(500000000 + c_custkey AS VARCHAR) END AS a,
     c_custkey % 4 IN (0, 1) AS on_a, c_custkey % 4 IN (0, 2) AS on_g
   FROM customer),
 errs AS (
   SELECT *,
-    CASE WHEN on_a THEN CASE WHEN c % 9 = 0 THEN 'app_store_id_placeholder'
-      WHEN c % 9 IN (1, 3) THEN 'app_store_id_empty' WHEN c % 9 = 2 THEN 'app_store_id_malformed' END END AS ea,
-    CASE WHEN on_g THEN CASE WHEN c % 7 = 0 THEN 'google_play_id_placeholder'
-      WHEN c % 7 = 3 THEN 'google_play_id_empty' WHEN c % 7 IN (1, 2) THEN 'google_play_id_malformed' END END AS eg,
+    CASE WHEN on_a THEN CASE WHEN (c + 4) % 9 = 0 THEN 'app_store_id_placeholder'
+      WHEN (c + 4) % 9 IN (1, 3) THEN 'app_store_id_empty' WHEN (c + 4) % 9 = 2 THEN 'app_store_id_malformed' END END AS ea,
+    CASE WHEN on_g THEN CASE WHEN (c + 4) % 7 = 0 THEN 'google_play_id_placeholder'
+      WHEN (c + 4) % 7 = 3 THEN 'google_play_id_empty' WHEN (c + 4) % 7 IN (1, 2) THEN 'google_play_id_malformed' END END AS eg,
     CASE WHEN NOT on_a AND NOT on_g THEN 'no_platform' END AS ep
   FROM cat),
 checked AS (SELECT *, concat_ws(',', ea, eg, ep) AS errors FROM errs)

@@ -138,17 +138,21 @@ def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole run with all its outputs; the analysis files read back."""
     out = scratch_path(spark, "run")
     config = RunConfig(as_of=AS_OF, countries=tuple(COUNTRIES), extended_fields=True)
-    run(
+    result = run(
         views.app_catalog(spark, sf_dir), views.app_store_pages(spark, sf_dir),
         views.google_play_batches(spark, sf_dir), out, config,
         lexicon_scorer(spark, sf_dir, DEDUP_KEY),
     )
-    written = read_csv(
-        spark, f"{out}/analysis",
+    columns = (
         "review_date string, star_rating int, reviewer_anonymized string, "
         "review_text string, platform string, review_title string, thumbs_up_count int, "
         "developer_reply string, developer_reply_date string, sentiment_score double, "
-        "sentiment_label string, output_name string",
+        "sentiment_label string, output_name string"
+    )
+    written = (
+        read_csv(spark, f"{out}/analysis", columns)
+        if result.paths
+        else spark.createDataFrame([], columns)
     )
     return written.select(
         "output_name", "review_date", "star_rating", "reviewer_anonymized", "platform",

@@ -176,12 +176,12 @@ def app_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("concat('app-', c_custkey)").alias("app_id"),
         F.expr("lower(replace(c_name, '#', '_'))").alias("app_name"),
         F.expr(
-            """CASE c_custkey % 9 WHEN 0 THEN '123456789' WHEN 1 THEN ''
+            """CASE (c_custkey + 4) % 9 WHEN 0 THEN '123456789' WHEN 1 THEN ''
                WHEN 2 THEN concat('id', c_custkey) WHEN 3 THEN '  '
                ELSE cast(500000000 + c_custkey as string) END"""
         ).alias("app_store_id"),
         F.expr(
-            """CASE c_custkey % 7 WHEN 0 THEN 'com.example'
+            """CASE (c_custkey + 4) % 7 WHEN 0 THEN 'com.example'
                WHEN 1 THEN concat('1com.app.n', c_custkey)
                WHEN 2 THEN lower(c_mktsegment) WHEN 3 THEN NULL
                ELSE concat('com.', lower(c_mktsegment), '.app', c_custkey) END"""
