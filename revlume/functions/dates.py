@@ -116,6 +116,11 @@ def cutoff_literal(as_of: datetime, dtype: str = "timestamp") -> Column:
     return F.lit(bound)
 
 
+def as_instant(col: Column, dtype: str) -> Column:
+    """A time column as an instant, whether or not it was landed with a zone."""
+    return naive_as_utc(col) if dtype == "timestamp_ntz" else col
+
+
 def naive_as_utc(col: Column) -> Column:
     """Instant of a time without zone, read as UTC in any session zone."""
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")

@@ -12,7 +12,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from revlume.functions.dates import cutoff_literal
+from revlume.functions.dates import as_instant, cutoff_literal
 from revlume.operators.filters import up_to_page
 from revlume.operators.joins import MAX_BROADCAST_ROWS, without
 from revlume.schema import PAGE_KEY, WALK_KEY
@@ -38,9 +38,11 @@ def batch_stats(batches: DataFrame) -> DataFrame:
     text.  Worked out inside the row from one leaf of the array.
     """
     keys = [c for c in batches.columns if c not in ("batch", "next_token")]
+    oldest = F.array_min("batch.at")
+    dtype = batches.select(oldest.alias("t")).dtypes[0][1]
     return batches.select(
         *keys,
-        F.array_min("batch.at").alias("oldest_ts"),
+        as_instant(oldest, dtype).alias("oldest_ts"),
         F.coalesce(F.size("batch.at"), F.lit(0)).cast("long").alias("n_rows"),
         F.col("next_token").isNull().alias("is_last"),
     )

@@ -27,7 +27,7 @@ from revlume.operators.walk import (
     batch_stats, keep_reached, mark_reached, oldest_per_page, order_breaks,
 )
 from revlume.plans import views
-from revlume.plans.pipeline import RunConfig, run
+from revlume.plans.full_run import RunConfig, run
 from revlume.plans.views import AS_OF, COUNTRIES, EVENTS_AS_OF, table
 from revlume.session import scratch_path, staged
 from revlume.sources.app_store import page_reviews, page_stats, parse_app_store, read_pages, with_page_stats

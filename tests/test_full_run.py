@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from revlume import schema
 from revlume.functions.naming import APP_STORE
 from revlume.operators.analysis import choose_scorer
-from revlume.plans.pipeline import RunConfig, run
+from revlume.plans.full_run import RunConfig, run
 from revlume.session import shared_dir, staged
 from revlume.sources.sinks import read_csv, write_csv
 from revlume.streaming.dedup import run_available, stream_dedup

@@ -270,3 +270,22 @@ def test_frontier(spark):
     ]
     assert rows[1].url.endswith("/us/rss/customerreviews/page=2/id=42/sortby=mostrecent/json")
     assert request_frontier(frame, ["us"], 0).count() == 0
+
+
+def test_google_times_without_zone_are_utc(spark):
+    from revlume.operators.walk import batch_stats
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        naive = schema.GOOGLE_PLAY_BATCHES.simpleString().replace("timestamp", "timestamp_ntz")
+        moment = datetime.datetime(2024, 6, 1, 23, 30)
+        frame = spark.createDataFrame([("a", "us", 1, None, [item(at=moment, replied=moment)])], naive)
+        row = parse_google_play(frame).select(
+            F.unix_seconds("review_ts"), F.col("review_date").cast("string"),
+            F.col("developer_reply_date").cast("string"),
+        ).first()
+        oldest = batch_stats(frame).select(F.unix_seconds("oldest_ts")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert tuple(row) == (1717284600, "2024-06-01", "2024-06-01") and oldest == 1717284600
