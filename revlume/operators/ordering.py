@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from revlume.functions import text_hash
 
 
+TIE_BREAKERS = ["platform", "app_id", "country", "page", "entry_pos"]
+
+
 def with_text_hash(reviews: DataFrame) -> DataFrame:
     """Hash held as a column: a sort would work out an expression per comparison."""
     if "text_hash" in reviews.columns:
@@ -18,9 +21,9 @@ def output_order(reviews: DataFrame) -> list[Column]:
     """Newest first, then most stars; the rest only breaks ties.
 
     The tie-breakers make the order total.  They also let a range exchange
-    split a date that holds a large share of all rows.
+    split a date, or a text, that holds a large share of all rows.
     """
-    ties = [F.col(c) for c in ("platform", "app_id") if c in reviews.columns]
+    ties = [F.col(c) for c in TIE_BREAKERS if c in reviews.columns]
     return [F.desc("review_date"), F.desc("star_rating"), F.col("text_hash"), *ties]
 
 

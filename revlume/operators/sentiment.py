@@ -13,8 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
-from revlume.functions import sentiment_label, strip_text
-from revlume.functions.text import WHITESPACE_CLASS
+from revlume.functions import sentiment_label
 
 # Degree words and negations of English.
 INTENSIFIERS = (
@@ -35,11 +34,16 @@ NEGATIONS = (
     "werent without wont wouldnt"
 ).split()
 
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# White space that Java's \\s leaves out; the first part rules letters out at once.
+_RARE_BLANK = (
+    r"[\x1c-\x1f\x85-\u3000&&"
+    r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+)
 # A mark that may be cut off one end of a word that has no other punctuation.
-_MARK = r"""(?:[!?]{2,4}|[.!?,;:'"-])"""
+_MARK = r"""(?:!{1,3}|\?{1,3}|\?!\?!?|!\?!\??|[.,;:'"-])"""
 _BARE = r"""([^!-/:-@\[-`{-~]{2,}+)"""
 _MARKED_WORD = rf"\A{_MARK}{_BARE}\z|\A{_BARE}{_MARK}\z"
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @dataclass(frozen=True)
@@ -73,9 +77,10 @@ ENGLISH = Rules()
 
 def words(text: Column) -> Column:
     """Words of two or more characters, one outer punctuation mark cut off."""
-    tokens = F.filter(
-        F.split(strip_text(text), WHITESPACE_CLASS + "+"), lambda t: F.length(t) > 1
-    )
+    plain = F.when(
+        text.rlike(_RARE_BLANK), F.regexp_replace(text, _RARE_BLANK, " ")
+    ).otherwise(text)
+    tokens = F.filter(F.split(plain, r"\s+"), lambda t: F.length(t) > 1)
     # most words have no outer punctuation and never meet the pattern
     return F.transform(
         tokens,
@@ -131,8 +136,10 @@ def _inline_lookup(rows: list[Row]):
     return lookup
 
 
-def _mark(raw: Column, lower: Column, known: Column, rules: Rules) -> Column:
+def _mark(position: Column, raw: Column, lower: Column, known: Column, rules: Rules) -> Column:
+    """A word as the rules see it: place, valence, degree, negation, capitals, contrast."""
     return F.struct(
+        position.alias("i"),
         known["v"].alias("v"),
         known["b"].alias("b"),
         (F.coalesce(known["g"], F.lit(False)) | lower.contains("n't")).alias("g"),
@@ -148,14 +155,14 @@ def _marks_inline(text: Column, lookup, rules: Rules) -> Column:
             t.alias("t"), F.lower(t).alias("l"), lookup(F.lower(t)).alias("e")
         ),
     )
-    return F.transform(found, lambda f: _mark(f["t"], f["l"], f["e"], rules))
+    return F.transform(found, lambda f, i: _mark(i, f["t"], f["l"], f["e"], rules))
 
 
 def _marks_joined(
     reviews: DataFrame, text: str, key: list[str], entries: DataFrame,
     rules: Rules, salts: int = 64,
 ) -> DataFrame:
-    """``key`` and ``marks`` by joins, for a dictionary too large for the plan.
+    """``key`` and ``_words`` by joins, for a dictionary too large for the plan.
 
     The most frequent word may make up a large part of all words, so words are
     spread over salts and the dictionary is repeated once per salt.
@@ -168,67 +175,64 @@ def _marks_joined(
     copies = entries.withColumn("salt", F.explode(every_salt))
     known = F.struct("v", "b", "g")
     joined = tokens.join(copies.withColumnRenamed("tok", "l"), ["l", "salt"], "left")
-    marks = _mark(F.col("t"), F.col("l"), known, rules)
+    mark = _mark(F.col("pos"), F.col("t"), F.col("l"), known, rules)
     # one group is one text, so its size is that of the text itself
-    grouped = joined.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", marks.alias("m")))).alias("marks")
-    )
-    return grouped.select(*key, F.transform("marks", lambda x: x["m"]).alias("marks"))
+    return joined.groupBy(*key).agg(F.array_sort(F.collect_list(mark)).alias("_words"))
 
 
-def _contribution(marks: Column, i: Column, mixed_case: Column, rules: Rules) -> Column:
-    """Valence of word ``i`` after capitals, degree words and negation."""
-    own = F.get(marks, i)
+def _contribution(marks: Column, j: Column, mixed_case: Column, rules: Rules) -> Column:
+    """Valence of mark ``j`` after capitals, degree words and negation."""
+    own = F.get(marks, j)
     zero = F.lit(0.0)
     shout = F.when(
         own["u"] & mixed_case,
         F.when(own["v"] > 0, rules.capitals).otherwise(-rules.capitals),
     ).otherwise(zero)
-    before = F.array(
-        *[
-            F.struct(
-                F.get(marks, i - F.lit(k + 1)).alias("m"),
-                F.lit(weight).alias("w"),
-            )
-            for k, weight in enumerate(rules.distance)
-        ]
-    )
+    start = own["v"] + shout
+    reach = len(rules.distance)
+    weights = F.array(*[F.lit(w) for w in rules.distance])
 
-    def apply(valence: Column, p: Column) -> Column:
-        m = p["m"]
+    def apply(valence: Column, m: Column) -> Column:
+        weight = F.get(weights, own["i"] - m["i"] - 1)
         degree = F.when(valence < 0, -m["b"]).otherwise(m["b"])
         loud = F.when(
             m["u"] & mixed_case,
             F.when(valence > 0, rules.capitals).otherwise(-rules.capitals),
         ).otherwise(zero)
-        shifted = valence + F.coalesce((degree + loud) * p["w"], zero)
+        shifted = valence + F.coalesce((degree + loud) * weight, zero)
         turned = F.when(m["g"], shifted * rules.negation).otherwise(shifted)
         # a word with a valence of its own modifies nothing
-        return F.when(m.isNull() | m["v"].isNotNull(), valence).otherwise(turned)
+        skipped = m.isNull() | m["v"].isNotNull() | (own["i"] - m["i"] > reach)
+        return F.when(skipped, valence).otherwise(turned)
 
-    return F.aggregate(before, own["v"] + shout, apply)
+    nearest = F.get(marks, j - 1)
+    before = F.array(*[F.get(marks, j - F.lit(k + 1)) for k in range(reach)])
+    alone = nearest.isNull() | (own["i"] - nearest["i"] > reach)
+    return F.when(alone, start).otherwise(F.aggregate(before, start, apply))
 
 
 def _compound(
     text: Column, marks: Column, mixed_case: Column, turn: Column, rules: Rules
 ) -> Column:
-    """Sum of all contributions, punctuation added, normalised and rounded."""
+    """Sum of all contributions, punctuation added, normalised and rounded.
+
+    ``turn`` is the place of the first contrast word, null if there is none.
+    """
     zero = F.lit(0.0)
-    hits = F.filter(
-        F.transform(marks, lambda m, i: F.when(m["v"].isNotNull(), i)),
-        lambda i: i.isNotNull(),
-    )
 
-    def add(total: Column, i: Column) -> Column:
+    def add(total: Column, j: Column) -> Column:
+        place = F.get(marks, j)["i"]
         weight = (
-            F.when(turn == 0, 1.0)
-            .when(i + 1 < turn, rules.before_contrast)
-            .when(i + 1 > turn, rules.after_contrast)
+            F.when(place < turn, rules.before_contrast)
+            .when(place > turn, rules.after_contrast)
             .otherwise(1.0)
         )
-        return total + weight * _contribution(marks, i, mixed_case, rules)
+        contribution = weight * _contribution(marks, j, mixed_case, rules)
+        has_valence = F.get(marks, j)["v"].isNotNull()
+        return F.when(has_valence, total + contribution).otherwise(total)
 
-    total = F.aggregate(hits, zero, add)
+    places = F.transform(marks, lambda m, j: j)
+    total = F.aggregate(places, zero, add)
     emphasis = _emphasis(text, rules)
     loud = F.transform(
         F.array(total),
@@ -275,26 +279,33 @@ def lexicon_score(
     few = entries.withColumn("hash", F.xxhash64("tok")).take(rules.max_inline_words + 1)
     if len(few) <= rules.max_inline_words:
         marked = reviews.withColumn(
-            "_marks", _marks_inline(body, _inline_lookup(few), rules)
+            "_words", _marks_inline(body, _inline_lookup(few), rules)
         )
     else:
         if not key:
             raise ValueError("a lexicon of this size needs the key of a review")
         marks = _marks_joined(reviews, text, key, entries, rules)
-        marked = reviews.join(
-            marks.withColumnRenamed("marks", "_marks"), key, "left"
-        )
-    # facts about the whole text, worked out once and not again per word
-    marks = F.col("_marks")
+        marked = reviews.join(marks, key, "left")
+    # Facts about the whole text, worked out once and not again per word, and
+    # those few words that the rules act on.
+    all_words = F.col("_words")
+    acting = F.filter(
+        all_words,
+        lambda m: m["v"].isNotNull() | m["b"].isNotNull() | m["g"] | m["k"],
+    )
     known = marked.withColumns(
         {
-            "_mixed": F.exists(marks, lambda m: m["u"]) & F.exists(marks, lambda m: ~m["u"]),
-            "_turn": F.array_position(F.transform(marks, lambda m: m["k"]), F.lit(True)),
+            "_mixed": F.exists(all_words, lambda m: m["u"])
+            & F.exists(all_words, lambda m: ~m["u"]),
+            "_marks": acting,
         }
+    ).drop("_words")
+    turned = known.withColumn(
+        "_turn", F.get(F.filter("_marks", lambda m: m["k"]), F.lit(0))["i"]
     )
-    compound = _compound(body, marks, F.col("_mixed"), F.col("_turn"), rules)
-    score = F.when(F.size(marks) > 0, compound)
-    return known.withColumn("sentiment_score", F.coalesce(score, F.lit(0.0))).drop(
+    compound = _compound(body, F.col("_marks"), F.col("_mixed"), F.col("_turn"), rules)
+    score = F.when(F.size("_marks") > 0, compound)
+    return turned.withColumn("sentiment_score", F.coalesce(score, F.lit(0.0))).drop(
         "_marks", "_mixed", "_turn"
     )
 

@@ -28,7 +28,7 @@ from revlume.session import staged
 from revlume.sources.app_store import (
     page_reviews, page_stats, read_pages, with_page_stats,
 )
-from revlume.sources.catalog import catalog_errors
+from revlume.sources.catalog import CONFIG_ERROR_CODE, catalog_errors
 from revlume.sources.google_play import parse_google_play
 from revlume.sources.sinks import named_outputs, sorted_by_output, write_csv
 
@@ -183,7 +183,9 @@ def run(
         "platforms", F.filter("platforms", lambda p: F.array_contains(selected, p))
     )
     checked = catalog_errors(asked)
-    rejected = checked.where(F.size("errors") > 0)
+    rejected = checked.where(F.size("errors") > 0).withColumn(
+        "exit_code", F.lit(CONFIG_ERROR_CODE)
+    )
     apps = checked.where(F.size("errors") == 0).drop("errors")
 
     sources = {

@@ -103,7 +103,7 @@ clean AS (
 # ---- sentiment: rules of the word-by-word description, relationally --------
 
 _PUNCT = r"!-/:-@\[-`{-~"
-_MARK = r"""(?:[!?]{2,4}|[.!?,;:''"-])"""
+_MARK = r"""(?:!{1,3}|\?{1,3}|\?!\?!?|!\?!\??|[.,;:''"-])"""
 
 
 def scored(source: str, key: str, text: str) -> str:

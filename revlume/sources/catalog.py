@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from revlume.functions import strip_text
 
-# The unfilled ids, the id shapes, and the feed address.
+# The unfilled ids, the code of a settings error, the id shapes, and
+# the feed address.
 PLACEHOLDER_APP_STORE_ID = "123456789"
 PLACEHOLDER_GOOGLE_PLAY_ID = "com.example"
+CONFIG_ERROR_CODE = 1
 DIGITS_ONLY = r"(?U)\A\d+\z"
 PACKAGE_NAME = r"(?d)^[a-zA-Z][a-zA-Z0-9_]*(\.[a-zA-Z][a-zA-Z0-9_]*)+$"
 FEED_URL = (

@@ -14,7 +14,8 @@ from revlume.operators.sentiment import ENGLISH, lexicon_score, words
 
 LEXICON = {"good": 1.9, "great": 3.1, "bad": -2.5, "awful": -2.0, "kind": 2.4, "wow": 2.8, "meh": -0.3}
 PUNCT = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-MARK = r"(?:[!?]{2,4}|[.!?,;:'\"-])"
+MARKS = [".", "!", "?", ",", ";", ":", "-", "'", '"', "!!", "!!!", "??", "???", "?!?", "!?!", "?!?!", "!?!?"]
+MARK = "(?:" + "|".join(re.escape(m) for m in MARKS) + ")"
 
 
 def split_words(text):
@@ -76,6 +77,7 @@ TEXTS = [
     "not good", "don't think it is good", "not very good", "so good but awful", "good good", "very bad!!!",
     "(good) \"good\" 'good good' !!good", "barely good", "is it good??", "what? good? why? good?", "Wow!!!! GREAT app",
     "never so kind", "good app　bad", "BUT good", "good -- bad", "isn't it AWFUL", "hardly EXTREMELY bad",
+    "good!!!! good?! good!?! good?!?! ''good it's- -good- ?good", "a" * 300 + " very good", "\x1cgood\x85bad\xa0",
 ]
 
 
