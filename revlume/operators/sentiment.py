@@ -41,7 +41,7 @@ _RARE_BLANK = (
 )
 # A mark that may be cut off one end of a word that has no other punctuation.
 _MARK = r"""(?:!{1,3}|\?{1,3}|\?!\?!?|!\?!\??|[.,;:'"-])"""
-_BARE = r"""([^!-/:-@\[-`{-~]{2,}+)"""
+_BARE = r"""[^!-/:-@\[-`{-~]{2,}+"""
 _MARKED_WORD = rf"\A{_MARK}{_BARE}\z|\A{_BARE}{_MARK}\z"
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -81,13 +81,12 @@ def words(text: Column) -> Column:
         text.rlike(_RARE_BLANK), F.regexp_replace(text, _RARE_BLANK, " ")
     ).otherwise(text)
     tokens = F.filter(F.split(plain, r"\s+"), lambda t: F.length(t) > 1)
-    # most words have no outer punctuation and never meet the pattern
+    # Most words have no outer punctuation and never meet the pattern; one that
+    # meets it has a mark at one end only, so trimming leaves the word.
+    bare = lambda t: F.btrim(t, F.lit(_PUNCTUATION))
     return F.transform(
         tokens,
-        lambda t: F.when(
-            F.btrim(t, F.lit(_PUNCTUATION)) != t,
-            F.regexp_replace(t, _MARKED_WORD, "$1$2"),
-        ).otherwise(t),
+        lambda t: F.when((bare(t) != t) & t.rlike(_MARKED_WORD), bare(t)).otherwise(t),
     )
 
 
