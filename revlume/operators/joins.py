@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 MAX_BROADCAST_ROWS = 500_000
+# Partitions that the rows of one hot key are spread over in a shuffle join.
+SALTS = 64
 
 
 def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
@@ -12,37 +14,46 @@ def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def _join(
+    rows: DataFrame, listed: DataFrame, on: list[str], how: str,
+    spread_by: list[str], max_broadcast_rows: int,
+) -> DataFrame:
+    """``rows`` joined to a list with at most one row per key.
+
+    A short list is broadcast, so ``rows`` is not shuffled.  A longer one is
+    repeated once per salt and joined by a shuffle on key and salt; the salt
+    comes from the ``spread_by`` columns, so a key that holds a large share of
+    all rows does not end up in one task.
+    """
+    if fits(listed, max_broadcast_rows):
+        return rows.join(F.broadcast(listed), on, how)
+    if not spread_by:
+        return rows.join(listed, on, how)
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS))
+    every_salt = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    copies = listed.withColumn("_salt", F.explode(every_salt))
+    return rows.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def without(
     rows: DataFrame, listed: DataFrame, on: list[str],
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Rows whose key is not in ``listed``.
-
-    A short list is broadcast, so ``rows`` is not shuffled; a longer one is
-    joined by a shuffle on the whole key.
-    """
-    keys = listed.select(*on)
-    if fits(keys, max_broadcast_rows):
-        keys = F.broadcast(keys)
-    return rows.join(keys, on, "left_anti")
+    """Rows whose key is not in ``listed``; the key is spread as it is."""
+    return _join(rows, listed.select(*on), on, "left_anti", [], max_broadcast_rows)
 
 
 def only(
-    rows: DataFrame, listed: DataFrame, on: list[str],
+    rows: DataFrame, listed: DataFrame, on: list[str], spread_by: list[str],
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Rows whose key is in ``listed``; broadcasts as ``without`` does."""
-    keys = listed.select(*on)
-    if fits(keys, max_broadcast_rows):
-        keys = F.broadcast(keys)
-    return rows.join(keys, on, "left_semi")
+    """Rows whose key is in ``listed``."""
+    return _join(rows, listed.select(*on), on, "left_semi", spread_by, max_broadcast_rows)
 
 
 def with_attributes(
-    rows: DataFrame, attributes: DataFrame, on: list[str],
+    rows: DataFrame, attributes: DataFrame, on: list[str], spread_by: list[str],
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Rows with the columns of ``attributes``, which has one row per key."""
-    if fits(attributes, max_broadcast_rows):
-        attributes = F.broadcast(attributes)
-    return rows.join(attributes, on, "left")
+    return _join(rows, attributes, on, "left", spread_by, max_broadcast_rows)

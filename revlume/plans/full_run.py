@@ -39,13 +39,17 @@ OUTPUT_MODES = ("reviews", "analysis", "both")
 
 @dataclass(frozen=True)
 class RunConfig:
-    """Settings of a run; ``as_of`` stands for "now"."""
+    """Settings of a run; ``as_of`` stands for "now".
+
+    ``max_pages`` overrides the page cap of both stores.
+    """
 
     as_of: datetime
     platforms: tuple[str, ...] = ("app-store", "google-play")
     countries: tuple[str, ...] = ("us",)
     max_pages_app_store: int = MAX_PAGES_APP_STORE
     max_pages_google_play: int = MAX_PAGES_GOOGLE_PLAY
+    max_pages: int | None = None
     output_mode: str = "analysis"
     single_file: bool = True
     extended_fields: bool = False
@@ -56,6 +60,14 @@ class RunConfig:
         if self.output_mode not in OUTPUT_MODES:
             raise ValueError(f"output_mode must be one of {OUTPUT_MODES}")
 
+    @property
+    def app_store_cap(self) -> int:
+        return self.max_pages_app_store if self.max_pages is None else self.max_pages
+
+    @property
+    def google_play_cap(self) -> int:
+        return self.max_pages_google_play if self.max_pages is None else self.max_pages
+
     @property
     def write_raw(self) -> bool:
         return self.output_mode in ("reviews", "both")
@@ -85,20 +97,20 @@ def clean_app_store(pages: DataFrame, config: RunConfig) -> DataFrame:
     Bodies are parsed once, into a staged table; the walk then reads only the
     figures of each page.
     """
-    wanted = up_to_page(in_countries(pages, config.countries), config.max_pages_app_store)
+    wanted = up_to_page(in_countries(pages, config.countries), config.app_store_cap)
     read = staged(with_page_stats(read_pages(wanted, config.strict_page)), "app-store")
-    marked = mark_reached(page_stats(read), config.as_of, config.max_pages_app_store)
-    return _clean(page_reviews(read), marked, config.max_pages_app_store, config)
+    marked = mark_reached(page_stats(read), config.as_of, config.app_store_cap)
+    return _clean(page_reviews(read), marked, config.app_store_cap, config)
 
 
 def clean_google_play(batches: DataFrame, config: RunConfig) -> DataFrame:
     """Batches to clean reviews; the walk reads only times and tokens."""
     marked = mark_reached(
-        batch_stats(batches), config.as_of, config.max_pages_google_play,
+        batch_stats(batches), config.as_of, config.google_play_cap,
         is_last=F.col("is_last"),
     )
     rows = parse_google_play(batches)
-    return _clean(rows, marked, config.max_pages_google_play, config)
+    return _clean(rows, marked, config.google_play_cap, config)
 
 
 def _collect(
@@ -111,7 +123,8 @@ def _collect(
     """
     selected = apps.where(F.array_contains("platforms", name))
     try:
-        return staged(clean(only(landed, selected, ["app_id"]), config), name)
+        wanted = only(landed, selected, ["app_id"], spread_by=["country", "page"])
+        return staged(clean(wanted, config), name)
     except Exception:
         log.exception("collecting %s failed; going on without it", name)
         return None
@@ -202,7 +215,7 @@ def run(
     paths: list[str] = []
     if found:
         names = apps.select("app_id", "app_name")
-        reviews = with_attributes(union_all(*found), names, ["app_id"])
+        reviews = with_attributes(union_all(*found), names, ["app_id"], spread_by=["text_hash"])
         for kind, wanted, with_scorer in (
             ("reviews", config.write_raw, None),
             ("analysis", config.write_analysis, scorer),
@@ -218,7 +231,7 @@ def run(
 
     summary = with_attributes(
         run_summary(apps, counted, F.lit(config.interrupted), *SLUG_OF_KEY),
-        apps.select("app_id", "app_name"), ["app_id"],
+        apps.select("app_id", "app_name"), ["app_id"], spread_by=[],
     ).select(
         F.lit(run_id).alias("run_id"),
         "app_id", "status", "exit_code", "total_reviews", "by_platform",

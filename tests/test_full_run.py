@@ -131,6 +131,14 @@ def test_run_split_and_extended(spark, scorer, tmp_out):
     assert files["2"] == ["two_app_store_reviews_analysis"]
 
 
+def test_page_cap_override(spark, tmp_out):
+    config = RunConfig(**(CONFIG | dict(output_mode="reviews", max_pages=1)))
+    result = run(*landed(spark), tmp_out, config)
+    counts = {r.app_id: r.by_platform for r in result.summary.collect()}
+    assert counts["1"] == '{"app_store":3,"google_play":1}'
+    assert result.rejected.first().exit_code == 1
+
+
 def test_run_one_platform_and_strict(spark, tmp_out):
     config = RunConfig(**(CONFIG | dict(platforms=("app-store",), output_mode="reviews", strict_page=True)))
     result = run(*landed(spark), tmp_out, config)

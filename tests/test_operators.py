@@ -198,11 +198,23 @@ def test_joins_by_broadcast_and_by_shuffle(spark):
     assert fits(listed, 2) and not fits(listed, 1)
     for bound in (0, 10):
         assert without(rows, listed, ["id"], bound).count() == 8
-        assert only(rows, listed, ["id"], bound).count() == 2
-        named = with_attributes(rows, names, ["id"], bound)
+        assert only(rows, listed, ["id"], [], bound).count() == 2
+        named = with_attributes(rows, names, ["id"], [], bound)
         assert named.count() == 10 and named.where("name = 'c'").count() == 1
 
 
+def test_hot_keys_are_salted_beyond_the_bound(spark):
+    rows = spark.range(300).selectExpr("IF(id % 3 = 0, 7, id) AS k", "id AS place")
+    listed = spark.createDataFrame([(7, "hot"), (8, "b")], "k long, name string")
+    for bound in (0, 10):
+        kept = only(rows, listed, ["k"], ["place"], bound)
+        assert kept.columns == ["k", "place"] and kept.count() == 102
+        named = with_attributes(rows, listed, ["k"], ["place"], bound)
+        assert named.count() == 300 and named.where("name = 'hot'").count() == 101
+    plan = only(rows, listed, ["k"], ["place"], 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
+
+
 def test_counts_have_a_row_per_selected_platform(spark):
     frame = spark.createDataFrame([(APP_STORE,)] * 3, "platform string")
     got = {r.platform_key: r.n_reviews for r in count_by_platform(frame, ["app-store", "google-play"]).collect()}
