@@ -32,10 +32,16 @@ WHOLE_OR_TEXT = r"\A(STRING|BIGINT|DECIMAL\((19|[23]\d),0\))\z"
 
 def feed_entries(body: Column) -> Column:
     """``feed.entry`` as an array: a lone object becomes one element."""
-    feed = F.try_parse_json(body)
-    many = F.try_variant_get(feed, "$.feed.entry", "array<variant>")
-    one = F.try_variant_get(feed, "$.feed.entry", "variant")
-    return F.coalesce(many, F.when(one.isNotNull(), F.array(one)))
+    entry = F.try_variant_get(F.try_parse_json(body), "$.feed.entry", "variant")
+    # held in an array, so that both looks at it share one parse of the body
+    shapes = F.transform(
+        F.array(entry),
+        lambda e: F.coalesce(
+            F.try_variant_get(e, "$", "array<variant>"),
+            F.when(e.isNotNull(), F.array(e)),
+        ),
+    )
+    return F.flatten(shapes)
 
 
 def _labels(entry: Column) -> Column:
