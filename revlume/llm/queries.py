@@ -5,16 +5,19 @@ from __future__ import annotations
 from revlume.llm import (
     op1_source_mix as op1,
     op2_suffix_decontamination as op2,
+    op6_secret_index as op6,
     op8_hilbert_shards as op8,
 )
 
 QUERIES = {
     "op1_source_mix": op1.op1_source_mix,
     "op2_suffix_decontamination": op2.op2_suffix_decontamination,
+    "op6_secret_index": op6.op6_secret_index,
     "op8_hilbert_shards": op8.op8_hilbert_shards,
 }
 
 ORACLE = {
     "op1_source_mix": op1.OP1_SQL,
     "op2_suffix_decontamination": op2.OP2_SQL,
+    "op6_secret_index": op6.OP6_SQL,
 }
