@@ -5,15 +5,21 @@ from __future__ import annotations
 from revlume.llm import (
     op1_source_mix as op1,
     op2_suffix_decontamination as op2,
+    op3_attention_quality as op3,
+    op5_char_nb_toxicity as op5,
     op6_secret_index as op6,
     op8_hilbert_shards as op8,
+    op9_kmeans_tree as op9,
 )
 
 QUERIES = {
     "op1_source_mix": op1.op1_source_mix,
     "op2_suffix_decontamination": op2.op2_suffix_decontamination,
+    "op3_attention_quality": op3.op3_attention_quality,
+    "op5_char_nb_toxicity": op5.op5_char_nb_toxicity,
     "op6_secret_index": op6.op6_secret_index,
     "op8_hilbert_shards": op8.op8_hilbert_shards,
+    "op9_kmeans_tree": op9.op9_kmeans_tree,
 }
 
 ORACLE = {
