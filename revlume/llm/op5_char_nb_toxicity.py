@@ -2,7 +2,7 @@
 
 A text is the set of its character n-grams, hashed to ``2^BITS`` features.  From labelled texts each
 feature gets the log ratio of its smoothed shares in toxic and other texts; a logistic regression is
-learnt over features of that size.  The training sample is bounded; scoring is one pass over all whole
+learnt over features of that size, those whose shares hardly differ left out.  The training sample is bounded; scoring is one pass over all whole
 texts without a shuffle.  Labels, language, source and id are no inputs.
 
 Defined results: null and empty texts have no features and get the score of the intercept; without
@@ -25,61 +25,69 @@ from revlume.llm.words import pieces
 FOLDS, HELD_OUT = 3, 1
 TOXIC = 0.7
 LENGTHS = (3, 4, 5)
-BITS = 18
+BITS = 20
 #: Bound of the training sample: documents of each label, and characters of one.
 PER_CLASS = {0: 2400, 1: 1200}
 MAX_TRAINING_CHARS = 60_000
 
-SMOOTHING, EPOCHS, RATE, DECAY = 1.0, 20, 0.15, 1e-5
+SMOOTHING, EPOCHS, RATE, DECAY = 1.0, 10, 0.1, 1e-5
+#: A feature counts if its documents of both labels differ from even by so many deviations, and are so many.
+LEAST_APART, LEAST_DOCS = 3.0, 3
 #: Characters hashed at a time.
 STEP = 1 << 20
 
 
-class Grams:
-    """Finds the features of texts, one after the other."""
+def gram_hashes(text: str | None) -> Iterator[np.ndarray]:
+    """Features of all n-grams of a text, repeats included, in pieces."""
+    chars = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
+    for a in range(0, len(chars), STEP):
+        part = chars[a : a + STEP + max(LENGTHS) - 1]
+        for n in LENGTHS:
+            size = min(len(part) - n + 1, STEP)
+            if size <= 0:
+                continue
+            value = np.full(size, n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
+            for k in range(n):
+                value = (value ^ part[k : k + size]) * np.uint32(0x01000193)
+                value ^= value >> np.uint32(15)
+            yield (value * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
 
-    def __init__(self) -> None:
-        self.present = np.zeros(1 << BITS, bool)
-
-    def of(self, text: str | None) -> np.ndarray:
-        chars = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
-        self.present[:] = False
-        longest = max(LENGTHS)
-        for a in range(0, max(len(chars), 1), STEP):
-            part = chars[a : a + STEP + longest - 1]
-            for n in LENGTHS:
-                size = min(len(part) - n + 1, STEP)
-                if size > 0:
-                    value = np.full(size, n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
-                    for k in range(n):
-                        value = (value ^ part[k : k + size]) * np.uint32(0x01000193)
-                        value ^= value >> np.uint32(15)
-                    value = (value * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
-                    self.present[value] = True
-        return np.flatnonzero(self.present)
+
+def features(text: str | None) -> np.ndarray:
+    """The distinct features of a text, sorted."""
+    present = np.zeros(1 << BITS, bool)
+    for found in gram_hashes(text):
+        present[found] = True
+    return np.flatnonzero(present)
 
 
 class RatioModel:
-    """Weights of all features: log-count ratio times learnt weight."""
+    """Weights of the features: log-count ratio times learnt weight, none where the labels hardly differ."""
 
     def __init__(self) -> None:
         self.weights = np.zeros(1 << BITS, np.float32)
+        self.used = np.zeros(1 << BITS, bool)
         self.bias = 0.0
         self.constant: float | None = None
 
-    def score(self, features: np.ndarray) -> float:
+    def score(self, text: str | None) -> float:
         if self.constant is not None:
             return self.constant
-        z = float(self.weights[features].astype(np.float64).sum()) + self.bias
+        found = [h[self.used[h]] for h in gram_hashes(text)]
+        distinct = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        z = float(self.weights[distinct].astype(np.float64).sum()) + self.bias
         return 1 / (1 + float(np.exp(-np.clip(z, -500, 500))))
 
     def fit(self, bags: list[np.ndarray], y: np.ndarray, shift: float) -> RatioModel:
         """Adaptive gradient steps, document by document; ``shift`` moves the odds to those outside the sample."""
-        size = 1 << BITS
-        count = {c: np.full(size, SMOOTHING) for c in (0, 1)}
+        size, n_toxic, n_other = 1 << BITS, int((y == 1).sum()), int((y == 0).sum())
+        toxic, other = np.zeros(size), np.zeros(size)
         for bag, c in zip(bags, y, strict=True):
-            count[int(c)][bag] += 1
-        ratio = np.log(count[1] / ((y == 1).sum() + SMOOTHING)) - np.log(count[0] / ((y == 0).sum() + SMOOTHING))
+            (toxic if c == 1 else other)[bag] += 1
+        ratio = np.log((toxic + SMOOTHING) / (n_toxic + SMOOTHING)) - np.log((other + SMOOTHING) / (n_other + SMOOTHING))
+        apart = np.abs(toxic - other * n_toxic / n_other) / np.sqrt(toxic + other + 1)
+        self.used = (apart >= LEAST_APART) & (toxic + other >= LEAST_DOCS)
+        bags = [bag[self.used[bag]] for bag in bags]
         w, seen = np.zeros(size), np.full(size, 1e-6)
         bias, bias_seen, random = 0.0, 1e-6, np.random.default_rng(3)
         for _ in range(EPOCHS):
@@ -97,9 +105,8 @@ class RatioModel:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    grams = Grams()
     for batch in batches:
-        found = [grams.of(t).astype(np.int32).tobytes() for t in batch.column("text").to_pylist()]
+        found = [features(t).astype(np.int32).tobytes() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("y")], names=["x", "y"])
 
 
@@ -121,9 +128,9 @@ def train(docs: DataFrame, labels: DataFrame) -> RatioModel:
 
 def _scores(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, grams = held.value, Grams()
+        model: RatioModel = held.value
         for batch in pieces(batches, "text", 4 << 20):
-            score = [model.score(grams.of(t)) for t in batch.column("text").to_pylist()]
+            score = [model.score(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score, pa.float64())], names=["row", "score"])
 
     return run
