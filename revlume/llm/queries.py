@@ -8,6 +8,7 @@ from revlume.llm import (
     op3_attention_quality as op3,
     op5_char_nb_toxicity as op5,
     op6_secret_index as op6,
+    op7_lsh_forest as op7,
     op8_hilbert_shards as op8,
     op9_kmeans_tree as op9,
 )
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_attention_quality": op3.op3_attention_quality,
     "op5_char_nb_toxicity": op5.op5_char_nb_toxicity,
     "op6_secret_index": op6.op6_secret_index,
+    "op7_lsh_forest": op7.op7_lsh_forest,
     "op8_hilbert_shards": op8.op8_hilbert_shards,
     "op9_kmeans_tree": op9.op9_kmeans_tree,
 }
