@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from revlume.llm import (
     op1_source_mix as op1,
+    op10_recompression_dedup as op10,
     op2_suffix_decontamination as op2,
     op3_attention_quality as op3,
     op5_char_nb_toxicity as op5,
@@ -22,10 +23,12 @@ QUERIES = {
     "op7_lsh_forest": op7.op7_lsh_forest,
     "op8_hilbert_shards": op8.op8_hilbert_shards,
     "op9_kmeans_tree": op9.op9_kmeans_tree,
+    "op10_recompression_dedup": op10.op10_recompression_dedup,
 }
 
 ORACLE = {
     "op1_source_mix": op1.OP1_SQL,
     "op2_suffix_decontamination": op2.OP2_SQL,
     "op6_secret_index": op6.OP6_SQL,
+    "op10_recompression_dedup": op10.OP10_SQL,
 }
