@@ -28,8 +28,20 @@ OTHER_DATES = {
     "MMMM d, yyyy": r"\A[A-Za-z]{4,} ",
     "d MMM yyyy": r"\A\d{1,2} [A-Za-z]{3} ",
     "d MMMM yyyy": r"\A\d{1,2} [A-Za-z]{4,} ",
+    "yyyy.M.d": r"\A\d{4}\.",
+    "yyyy-M-d": r"\A\d{4}-\d{1,2}-",
+    "MMM d yyyy": r"\A[A-Za-z]{3} \d{1,2} \d{4}",
 }
 _OTHER_TIME = "[ h:mm[:ss] a][ H:mm[:ss]] X"
+# Shapes that are first written as one of the spellings above: ISO without marks, ISO with the
+# hour alone, and weekday first with the year last.
+REWRITTEN = {
+    r"(?i)\A(\d{4})(\d{2})(\d{2})\z": "$1-$2-$3",
+    r"(?i)\A(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(%s)?\z" % _ZONE: "$1-$2-$3T$4:$5$6",
+    r"(?i)\A(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})(%s)?\z" % _ZONE: "$1-$2-$3T$4:$5:$6$7",
+    r"(?i)\A(\d{4}-\d{2}-\d{2}[T ]\d{2})(%s)?\z" % _ZONE: "$1:00$2",
+    r"\A[A-Za-z]{3} ([A-Za-z]{3}) +(\d{1,2}) (\d{2}:\d{2}:\d{2}) (\d{4})\z": "$1 $2 $4 $3",
+}
 
 
 def utc_date(ts: Column) -> Column:
@@ -38,6 +50,13 @@ def utc_date(ts: Column) -> Column:
     return F.date_from_unix_date(days.cast("int"))
 
 
+def _spelled(col: Column) -> Column:
+    text = strip_text(col)
+    for shape, written in REWRITTEN.items():
+        text = F.regexp_replace(text, shape, written)
+    return text
+
+
 def _has_zone(text: Column) -> Column:
     return text.rlike(_HAS_ZONE)
 
@@ -77,7 +96,7 @@ def _offset_micros(text: Column) -> Column:
 
 def parse_timestamp(col: Column) -> Column:
     """Instant named by a date text, null if unreadable; no offset means UTC."""
-    text = strip_text(col)
+    text = _spelled(col)
     other = F.unix_micros(_other_wall_clock(text)) - _offset_micros(text)
     return F.when(text.rlike(_ISO), _iso_instant(text)).otherwise(
         F.timestamp_micros(other)
@@ -90,7 +109,7 @@ def local_date(col: Column) -> Column:
     Late-evening reviews west of Greenwich keep their own day, which the UTC
     instant would move to the next.
     """
-    text = strip_text(col)
+    text = _spelled(col)
     return F.when(
         text.rlike(_ISO), F.substring(text, 1, 10).try_cast("date")
     ).otherwise(utc_date(_other_wall_clock(text)))

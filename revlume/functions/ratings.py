@@ -26,7 +26,7 @@ def clamp_star_rating(col: Column) -> Column:
 
 def whole_score(col: Column) -> Column:
     """Score truncated towards zero; missing or unreadable counts as 0."""
-    return F.coalesce(col.cast("double").try_cast("int"), F.lit(0))
+    return F.coalesce(col.try_cast("double").try_cast("int"), F.lit(0))
 
 
 def is_star(col: Column) -> Column:

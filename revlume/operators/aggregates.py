@@ -61,6 +61,10 @@ def run_summary(
         "app_id",
         interrupted.alias("interrupted"),
         F.posexplode_outer("platforms").alias("place", "slug"),
+    )
+    # A row or a slug that is listed twice counts once.
+    selected = selected.groupBy("app_id", "slug").agg(
+        F.max("interrupted").alias("interrupted"), F.min("place").alias("place")
     ).withColumn("platform_key", slug_key(F.col("slug")))
     counts = reviews.groupBy(
         "app_id", platform_key(F.col("platform")).alias("platform_key")

@@ -17,14 +17,15 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 def choose_scorer(
     lexicon: DataFrame,
+    key: list[str],
     load_model: Callable | None = None,
     rules: Rules = ENGLISH,
-    key: list[str] | None = None,
 ) -> tuple[Scorer, str]:
     """The scorer to use and its name.
 
     A model is preferred when one is given; if it cannot be loaded here, the
-    lexicon takes over.
+    lexicon takes over.  ``key`` names the columns that tell reviews apart; it
+    is asked for whatever the size of the lexicon.
     """
     if load_model is not None:
         try:
@@ -33,7 +34,7 @@ def choose_scorer(
             log.warning("model unavailable, scoring by lexicon: %s", error)
         else:
             return (lambda df: model_score(df, load_model)), "model"
-    return (lambda df: lexicon_score(df, lexicon, rules=rules, key=key)), "lexicon"
+    return (lambda df: lexicon_score(df, lexicon, key, rules=rules)), "lexicon"
 
 
 def analyze_reviews(reviews: DataFrame, scorer: Scorer) -> DataFrame:

@@ -27,13 +27,18 @@ def dedup_first_seen(
 ) -> DataFrame:
     """Keep the first row of each key in ingest order.
 
+    Ties (unlisted countries, a page landed twice) go by country and then by
+    all other columns that sort, so the survivor never depends on file order.
+
     ``row_number() = 1`` plans as a group limit on both sides of one exchange:
     each task forwards at most one row per key, so a text that makes up a third
     of the table does not gather in one place.
     """
     if "text_hash" in key:
         reviews = with_text_hash(reviews)
-    first = Window.partitionBy(*key).orderBy(*ingest_order)
+    placed = [*ingest_order, *(c for c in ("country", "lang") if c in reviews.columns)]
+    rest = [c for c, t in sorted(reviews.dtypes) if c not in {*placed, *key} and not t.startswith(("map", "variant"))]
+    first = Window.partitionBy(*key).orderBy(*placed, *rest)
     return (
         reviews.withColumn("_rank", F.row_number().over(first))
         .where(F.col("_rank") == 1)

@@ -27,5 +27,7 @@ def in_countries(reviews: DataFrame, countries: Sequence[str]) -> DataFrame:
     return reviews.where(F.col("country").isin(list(countries)))
 
 
-def up_to_page(pages: DataFrame, max_pages: int) -> DataFrame:
-    return pages.where(F.col("page").between(1, max_pages))
+def up_to_page(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Pages 1 to ``max_pages``; without a cap, all pages that are numbered from 1."""
+    page = F.col("page")
+    return pages.where(page >= 1 if max_pages is None else page.between(1, max_pages))

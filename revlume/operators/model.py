@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from revlume.functions import strip_text
 
-# Input limit of the classifier, and the label that counts as positive.
-MODEL_MAX_CHARS = 4096
+# Fixed value: the label that counts as positive.
 POSITIVE = "POSITIVE"
 
 # texts -> (label, probability) of each
@@ -21,12 +20,13 @@ def model_score(
     reviews: DataFrame,
     load_model: Callable[[], Classifier],
     text: str = "review_text",
-    max_chars: int = MODEL_MAX_CHARS,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """``reviews`` with ``sentiment_score`` from a classifier.
 
-    ``load_model`` runs once per task.  Only the call itself is Python; the
-    input limit, blank texts and the sign are column expressions.
+    ``load_model`` runs once per task.  Only the call itself is Python; blank
+    texts, the sign and, where a model needs one, the input limit are column
+    expressions.
     """
 
     @F.pandas_udf("label string, score double")
@@ -44,7 +44,7 @@ def model_score(
             yield result.astype({"score": "float64"})
 
     body = F.col(text)
-    given = F.when(strip_text(body) != "", F.substring(body, 1, max_chars))
+    given = F.when(strip_text(body) != "", body if max_chars is None else F.substring(body, 1, max_chars))
     called = reviews.withColumn("_call", classify(given))
     score, label = F.col("_call.score"), F.upper("_call.label")
     signed = F.when(label == POSITIVE, score).otherwise(-score)

@@ -261,16 +261,16 @@ def _emphasis(text: Column, rules: Rules) -> Column:
 def lexicon_score(
     reviews: DataFrame,
     lexicon: DataFrame,
+    key: list[str],
     text: str = "review_text",
     rules: Rules = ENGLISH,
-    key: list[str] | None = None,
 ) -> DataFrame:
     """``reviews`` with ``sentiment_score``; blank texts score 0.
 
     A dictionary of up to ``rules.max_inline_words`` words travels inside the
     plan and every review is scored in place: no shuffle, no join back.  A
-    larger one is joined word by word; that needs the unique ``key`` of a
-    review.  Both give the same scores.
+    larger one is joined word by word over the unique ``key`` of a review.
+    Both give the same scores; only the plan differs.
     """
     entries = dictionary(lexicon, rules)
     body = F.coalesce(F.col(text), F.lit(""))
@@ -281,8 +281,6 @@ def lexicon_score(
             "_words", _marks_inline(body, _inline_lookup(few), rules)
         )
     else:
-        if not key:
-            raise ValueError("a lexicon of this size needs the key of a review")
         marks = _marks_joined(reviews, text, key, entries, rules)
         marked = reviews.join(marks, key, "left")
     # Facts about the whole text, worked out once and not again per word, and

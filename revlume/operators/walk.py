@@ -17,10 +17,6 @@ from revlume.operators.filters import up_to_page
 from revlume.operators.joins import MAX_BROADCAST_ROWS, without
 from revlume.schema import PAGE_KEY, WALK_KEY
 
-# Default page caps of the two stores.
-MAX_PAGES_APP_STORE = 20
-MAX_PAGES_GOOGLE_PLAY = 50
-
 
 def oldest_per_page(
     reviews: DataFrame, page_key: list[str] = PAGE_KEY
@@ -51,14 +47,13 @@ def batch_stats(batches: DataFrame) -> DataFrame:
 def mark_reached(
     page_stats: DataFrame,
     as_of: datetime,
-    max_pages: int,
+    max_pages: int | None = None,
     is_last: Column | None = None,
     walk_key: list[str] = WALK_KEY,
 ) -> DataFrame:
-    """Add ``stale`` and ``reached`` to every non-empty page within the cap.
+    """Add ``stale`` and ``reached`` to every non-empty page, within a cap if one is given.
 
-    Works on one row per page, never on reviews, and the cap bounds each
-    window, so no app can grow into a hot partition.  A page landed twice
+    Works on one narrow row per page, never on reviews.  A page landed twice
     counts once.
     """
     stale = F.coalesce(F.col("oldest_ts") < cutoff_literal(as_of), F.lit(False))
@@ -74,11 +69,11 @@ def mark_reached(
 def keep_reached(
     rows: DataFrame,
     marked: DataFrame,
-    max_pages: int,
+    max_pages: int | None = None,
     page_key: list[str] = PAGE_KEY,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Rows of reached pages.
+    """Rows of reached pages; a null in the page key is a value like any other.
 
     ``marked`` covers every page of ``rows`` within the cap, so dropping the
     unreached ones is exact, and those are few: sources are sorted.  Beyond

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,12 +23,11 @@ from revlume.operators.joins import only, with_attributes
 from revlume.operators.projections import (
     extended_columns, standard_columns, with_platform_key,
 )
-from revlume.operators.walk import (
-    MAX_PAGES_APP_STORE, MAX_PAGES_GOOGLE_PLAY, batch_stats, keep_reached, mark_reached,
-)
+from revlume.operators.walk import batch_stats, keep_reached, mark_reached
+from revlume.schema import GOOGLE_PAGE_KEY, GOOGLE_WALK_KEY, PAGE_KEY
 from revlume.session import staged
 from revlume.sources.app_store import (
-    page_reviews, page_stats, read_pages, with_page_stats,
+    QUALITY, page_quality, page_reviews, page_stats, read_pages, with_page_stats,
 )
 from revlume.sources.catalog import CONFIG_ERROR_CODE, catalog_errors
 from revlume.sources.google_play import parse_google_play
@@ -41,31 +42,35 @@ OUTPUT_MODES = ("reviews", "analysis", "both")
 class RunConfig:
     """Settings of a run; ``as_of`` stands for "now".
 
-    ``max_pages`` overrides the page cap of both stores.
+    Landed pages are all read unless a page cap is given; ``max_pages``
+    overrides the caps of both stores.  A platform that fails ends the run,
+    unless ``keep_going`` asks to go on without it; the summary then names the
+    error.
     """
 
     as_of: datetime
     platforms: tuple[str, ...] = ("app-store", "google-play")
     countries: tuple[str, ...] = ("us",)
-    max_pages_app_store: int = MAX_PAGES_APP_STORE
-    max_pages_google_play: int = MAX_PAGES_GOOGLE_PLAY
+    max_pages_app_store: int | None = None
+    max_pages_google_play: int | None = None
     max_pages: int | None = None
     output_mode: str = "analysis"
     single_file: bool = True
     extended_fields: bool = False
     strict_page: bool = False
     interrupted: bool = False
+    keep_going: bool = False
 
     def __post_init__(self):
         if self.output_mode not in OUTPUT_MODES:
             raise ValueError(f"output_mode must be one of {OUTPUT_MODES}")
 
     @property
-    def app_store_cap(self) -> int:
+    def app_store_cap(self) -> int | None:
         return self.max_pages_app_store if self.max_pages is None else self.max_pages
 
     @property
-    def google_play_cap(self) -> int:
+    def google_play_cap(self) -> int | None:
         return self.max_pages_google_play if self.max_pages is None else self.max_pages
 
     @property
@@ -85,48 +90,62 @@ class RunResult:
     paths: tuple[str, ...]
 
 
-def _clean(rows: DataFrame, marked: DataFrame, cap: int, config: RunConfig) -> DataFrame:
-    reached = within_window(keep_reached(rows, marked, cap), config.as_of)
+def _clean(
+    rows: DataFrame, marked: DataFrame, cap: int | None, config: RunConfig, page_key: list[str]
+) -> DataFrame:
+    reached = within_window(keep_reached(rows, marked, cap, page_key), config.as_of)
     ordered = reached.withColumn("country_order", country_order(config.countries))
     return with_platform_key(dedup_first_seen(ordered))
 
 
-def clean_app_store(pages: DataFrame, config: RunConfig) -> DataFrame:
+def clean_app_store(
+    pages: DataFrame, config: RunConfig, quality: list[DataFrame] | None = None
+) -> DataFrame:
     """Pages of the selected countries to clean reviews.
 
+    What each app's pages held besides reviews is added to ``quality``.
+
     Bodies are parsed once, into a staged table; the walk then reads only the
     figures of each page.
     """
     wanted = up_to_page(in_countries(pages, config.countries), config.app_store_cap)
     read = staged(with_page_stats(read_pages(wanted, config.strict_page)), "app-store")
     marked = mark_reached(page_stats(read), config.as_of, config.app_store_cap)
-    return _clean(page_reviews(read), marked, config.app_store_cap, config)
+    if quality is not None:
+        quality.append(page_quality(page_stats(read), "app_id"))
+    return _clean(page_reviews(read), marked, config.app_store_cap, config, PAGE_KEY)
 
 
 def clean_google_play(batches: DataFrame, config: RunConfig) -> DataFrame:
     """Batches to clean reviews; the walk reads only times and tokens."""
     marked = mark_reached(
         batch_stats(batches), config.as_of, config.google_play_cap,
-        is_last=F.col("is_last"),
+        is_last=F.col("is_last"), walk_key=GOOGLE_WALK_KEY,
     )
+    # Read for the unreached pages and for their number: worked out once.
+    marked = staged(marked, "google-play-pages")
     rows = parse_google_play(batches)
-    return _clean(rows, marked, config.google_play_cap, config)
+    return _clean(rows, marked, config.google_play_cap, config, GOOGLE_PAGE_KEY)
 
 
 def _collect(
     name: str, clean: Callable[[DataFrame, RunConfig], DataFrame],
-    landed: DataFrame, apps: DataFrame, config: RunConfig,
+    landed: DataFrame, apps: DataFrame, config: RunConfig, errors: dict[str, str],
 ) -> DataFrame | None:
-    """Clean reviews of one platform, staged; None when the platform fails.
+    """Clean reviews of one platform, staged.
 
-    One platform must not take the other down with it.
+    A failure is raised; only with ``keep_going`` it is put down in ``errors``
+    and the run goes on.
     """
     selected = apps.where(F.array_contains("platforms", name))
     try:
         wanted = only(landed, selected, ["app_id"], spread_by=["country", "page"])
         return staged(clean(wanted, config), name)
-    except Exception:
+    except Exception as error:
+        if not config.keep_going:
+            raise
         log.exception("collecting %s failed; going on without it", name)
+        errors[name] = f"{type(error).__name__}: {str(error)[:500]}"
         return None
 
 
@@ -201,12 +220,14 @@ def run(
     )
     apps = checked.where(F.size("errors") == 0).drop("errors")
 
+    quality: list[DataFrame] = []
     sources = {
-        "app-store": (clean_app_store, app_store_pages),
+        "app-store": (partial(clean_app_store, quality=quality), app_store_pages),
         "google-play": (clean_google_play, google_play_batches),
     }
+    errors: dict[str, str] = {}
     parts = [
-        _collect(name, *sources[name], apps, config)
+        _collect(name, *sources[name], apps, config, errors)
         for name in sources
         if name in config.platforms
     ]
@@ -232,7 +253,9 @@ def run(
     summary = with_attributes(
         run_summary(apps, counted, F.lit(config.interrupted), *SLUG_OF_KEY),
         apps.select("app_id", "app_name"), ["app_id"], spread_by=[],
-    ).select(
+    )
+    read = quality[0] if quality else apps.select("app_id", *[F.lit(0).cast("long").alias(c) for c in QUALITY])
+    summary = with_attributes(summary, read, ["app_id"], spread_by=[]).select(
         F.lit(run_id).alias("run_id"),
         "app_id", "status", "exit_code", "total_reviews", "by_platform",
         _files_written(config),
@@ -240,6 +263,8 @@ def run(
         F.lit(round(collected - started, 2)).alias("collecting_seconds"),
         throughput(F.col("total_reviews"), F.lit(collected - started)).alias("reviews_per_second"),
         "platforms_failed", "interrupted",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in QUALITY[1:]],
+        F.lit(json.dumps(errors, sort_keys=True)).alias("platform_errors"),
     )
     summary = staged(summary, "summary")
     summary.write.mode("append").json(f"{out_dir}/run_summary")

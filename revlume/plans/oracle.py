@@ -207,7 +207,10 @@ apple AS (SELECT * FROM entry WHERE status = 'ok')
 GOOGLE = f"""
 graw AS (
   SELECT doc_id, 'app-' || (doc_id // 60) AS app_id, doc_id // 60 AS app,
-    CAST(doc_id % 60 // 10 + 1 AS INT) AS page, CAST(doc_id % 10 AS INT) AS entry_pos,
+    CAST(doc_id % 60 // 10 + 1 AS INT) AS page0, CAST(doc_id % 10 AS INT) AS entry_pos,
+    doc_id // 60 % 3 = 1 AND doc_id % 60 // 10 >= 3 AS second,
+    CASE WHEN second THEN 'de' ELSE 'en' END AS lang, CASE WHEN second THEN page0 - 3 ELSE page0 END::INT AS page,
+    CASE WHEN doc_id // 60 % 5 = 2 THEN '<null>' ELSE 'us' END AS country,
     CASE WHEN doc_id % 13 = 5 THEN NULL
       ELSE {END} - to_days(CAST({BACK} AS INT)) + to_seconds(doc_id % 1000) END AS made,
     CASE WHEN n_chars % 11 = 7 THEN 0 ELSE n_chars % 8 END::INT AS star_rating,
@@ -224,22 +227,23 @@ google AS (
   SELECT * FROM graw
   WHERE made IS NOT NULL AND star_rating BETWEEN 1 AND 5 AND review_text <> ''),
 gstats AS (
-  SELECT app_id, page, count(*) AS n_rows, coalesce(min(made) < {CUTOFF}, false) AS stale,
-    page = 6 OR (page = 3 AND min(app) % 4 = 1) AS is_last
-  FROM graw GROUP BY app_id, page),
+  SELECT app_id, lang, country, page, count(*) AS n_rows, coalesce(min(made) < {CUTOFF}, false) AS stale,
+    min(page0) = 6 OR (min(page0) = 3 AND min(app) % 4 = 1) AS is_last
+  FROM graw GROUP BY app_id, lang, country, page),
 gwalk AS (
   SELECT *, row_number() OVER w = page
     AND NOT coalesce(bool_or(stale OR is_last) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS reached
-  FROM gstats WINDOW w AS (PARTITION BY app_id ORDER BY page))
+  FROM gstats WINDOW w AS (PARTITION BY app_id, lang ORDER BY page))
 """
 
 
-def walk(stats: str, cap: int) -> str:
+def walk(stats: str, cap: int | None = None) -> str:
+    within = "true" if cap is None else f"page <= {cap}"
     return f"""
 walked AS (
   SELECT *, row_number() OVER w = page
     AND NOT coalesce(bool_or(stale) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS reached
-  FROM {stats} WHERE page <= {cap} WINDOW w AS (PARTITION BY app_id, country ORDER BY page))
+  FROM {stats} WHERE {within} WINDOW w AS (PARTITION BY app_id, country ORDER BY page))
 """
 
 
@@ -256,27 +260,31 @@ estats AS (
 
 CATALOG = """
 cat AS (
-  SELECT 'app-' || c_custkey AS app_id, c_custkey AS c, lower(replace(c_name, '#', '_')) AS app_name,
+  SELECT 'app-' || c_custkey AS app_id, c_custkey AS c,
+    CASE WHEN c_custkey % 50 = 20 THEN 'shared_' || (c_custkey // 100)
+      ELSE lower(replace(c_name, '#', '_')) || CASE WHEN again = 1 THEN '_again' ELSE '' END END AS app_name,
     CASE (c_custkey + 4) % 9 WHEN 0 THEN '123456789' WHEN 1 THEN '' WHEN 2 THEN 'id' || c_custkey
       WHEN 3 THEN '  ' ELSE CAST(500000000 + c_custkey AS VARCHAR) END AS a,
     c_custkey % 4 IN (0, 1) AS on_a, c_custkey % 4 IN (0, 2) AS on_g
-  FROM customer),
+  FROM customer JOIN (VALUES (0), (1)) AS t(again) ON again = 0 OR c_custkey % 50 = 10),
 errs AS (
   SELECT *,
     CASE WHEN on_a THEN CASE WHEN (c + 4) % 9 = 0 THEN 'app_store_id_placeholder'
       WHEN (c + 4) % 9 IN (1, 3) THEN 'app_store_id_empty' WHEN (c + 4) % 9 = 2 THEN 'app_store_id_malformed' END END AS ea,
     CASE WHEN on_g THEN CASE WHEN (c + 4) % 7 = 0 THEN 'google_play_id_placeholder'
       WHEN (c + 4) % 7 = 3 THEN 'google_play_id_empty' WHEN (c + 4) % 7 IN (1, 2) THEN 'google_play_id_malformed' END END AS eg,
-    CASE WHEN NOT on_a AND NOT on_g THEN 'no_platform' END AS ep
+    CASE WHEN NOT on_a AND NOT on_g THEN 'no_platform' END AS ep,
+    CASE WHEN count(*) OVER (PARTITION BY app_id) > 1 THEN 'app_id_repeated' END AS er,
+    CASE WHEN count(*) OVER (PARTITION BY app_name) > 1 THEN 'app_name_repeated' END AS en
   FROM cat),
-checked AS (SELECT *, concat_ws(',', ea, eg, ep) AS errors FROM errs)
+checked AS (SELECT *, concat_ws(',', ea, eg, ep, er, en) AS errors FROM errs)
 """
 
 # ---- dates ----------------------------------------------------------------
 
 ORDER_DATES = """
 d AS (
-  SELECT o_orderkey, o_orderkey % 9 AS kind, CAST(o_orderdate AS DATE) AS day,
+  SELECT o_orderkey, o_orderkey % 15 AS kind, CAST(o_orderdate AS DATE) AS day,
     CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) AS midnight FROM orders)
 """
 
@@ -303,7 +311,7 @@ _LEX_DOCS = f"WITH {scored('documents', 'doc_id', 'text')} SELECT doc_id, coales
 
 _FULL_RUN = f"""{APPLE},
 astats AS (SELECT app_id, country, page, min(review_epoch) < epoch({CUTOFF}) AS stale FROM apple GROUP BY ALL),
-{walk("astats", 20)}, {GOOGLE}, {CATALOG},
+{walk("astats")}, {GOOGLE}, {CATALOG},
 kept_a AS (
   SELECT app_id, country, page, entry_pos, CAST(day AS VARCHAR) AS review_date, star_rating,
     {initials("name", "")} AS reviewer_anonymized, review_text, 'App Store' AS platform,
@@ -314,14 +322,14 @@ kept_a AS (
   QUALIFY row_number() OVER (PARTITION BY app_id, day, star_rating, {hash16("review_text")}
                              ORDER BY {PLACE}, page, entry_pos) = 1),
 kept_g AS (
-  SELECT app_id, 'us' AS country, page, entry_pos, CAST(CAST(made AS DATE) AS VARCHAR) AS review_date,
+  SELECT app_id, lang AS country, page, entry_pos, CAST(CAST(made AS DATE) AS VARCHAR) AS review_date,
     star_rating, {initials_google("name")} AS reviewer_anonymized, review_text,
     'Google Play Store' AS platform, thumbs_up_count, reply
-  FROM google JOIN gwalk USING (app_id, page)
+  FROM google JOIN gwalk USING (app_id, lang, country, page)
   WHERE reached AND made >= {CUTOFF}
     AND app_id IN (SELECT app_id FROM checked WHERE errors = '' AND on_g)
   QUALIFY row_number() OVER (PARTITION BY app_id, CAST(made AS DATE), star_rating, {hash16("review_text")}
-                             ORDER BY page, entry_pos) = 1),
+                             ORDER BY page, entry_pos, lang) = 1),
 kept AS (
   SELECT *, concat_ws('/', platform, app_id, country, page, entry_pos) AS uid
   FROM (SELECT * FROM kept_a UNION ALL SELECT * FROM kept_g))"""
@@ -335,7 +343,7 @@ ORACLE: dict[str, str] = {
     "collect_app_store": f"""WITH {APPLE},
         astats AS (SELECT app_id, country, page, min(review_epoch) < epoch({CUTOFF}) AS stale
                    FROM apple GROUP BY ALL),
-        {walk("astats", 5)}
+        {walk("astats")}
         SELECT app_id, country, page, entry_pos, CAST(day AS VARCHAR) AS review_date, star_rating,
           {initials("name", "")} AS reviewer_anonymized, {hash16("review_text")} AS text_hash
         FROM apple JOIN walked USING (app_id, country, page)
@@ -343,13 +351,13 @@ ORACLE: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY app_id, day, star_rating, {hash16("review_text")}
                                    ORDER BY {PLACE}, page, entry_pos) = 1""",
     "collect_google_play": f"""WITH {GOOGLE}
-        SELECT app_id, 'us' AS country, page, entry_pos, CAST(CAST(made AS DATE) AS VARCHAR) AS review_date,
+        SELECT app_id, country, lang, page, entry_pos, CAST(CAST(made AS DATE) AS VARCHAR) AS review_date,
           star_rating, {initials_google("name")} AS reviewer_anonymized,
           {hash16("review_text")} AS text_hash
-        FROM google JOIN gwalk USING (app_id, page)
+        FROM google JOIN gwalk USING (app_id, lang, country, page)
         WHERE reached AND made >= {CUTOFF}
         QUALIFY row_number() OVER (PARTITION BY app_id, CAST(made AS DATE), star_rating, {hash16("review_text")}
-                                   ORDER BY page, entry_pos) = 1""",
+                                   ORDER BY page, entry_pos, lang) = 1""",
     "full_run": f"""WITH {_FULL_RUN}, {scored("kept", "uid", "review_text")}
         SELECT app_name || '_reviews_analysis' AS output_name, review_date, star_rating,
           reviewer_anonymized, platform, {hash16("review_text")} AS text_hash,
@@ -367,8 +375,18 @@ ORACLE: dict[str, str] = {
         poisoned AS (SELECT DISTINCT app_id, country, page FROM entry WHERE status = 'bad')
         SELECT app_id, country, page, count(*) AS n_reviews, CAST(sum(star_rating) AS BIGINT) AS stars
         FROM apple ANTI JOIN poisoned USING (app_id, country, page) GROUP BY ALL""",
+    "page_quality": f"""WITH {APPLE},
+        kinds AS (SELECT *, (doc_id // 60 + page) % 7 AS kind FROM entry),
+        seen AS (SELECT *, CASE WHEN kind = 2 AND star_rating IS NOT NULL THEN 'undated' ELSE status END AS found FROM kinds)
+        SELECT app_id, country, page,
+          count(*) FILTER (kind <> 0 AND (found = 'ok' OR (kind = 1 AND found = 'bad'))) AS n_rows,
+          count(*) FILTER (kind > 1 AND found = 'bad') AS n_bad,
+          count(*) FILTER (kind <> 0 AND found = 'undated') AS n_undated,
+          count(*) FILTER (kind <> 0 AND found = 'skip') AS n_rejected,
+          CASE WHEN min(kind) = 0 THEN 1 ELSE 0 END::BIGINT AS n_unreadable
+        FROM seen GROUP BY app_id, country, page""",
     "google_play_parse": f"""WITH {GOOGLE}
-        SELECT app_id, page, entry_pos, CAST(floor(epoch(made)) AS BIGINT) AS review_epoch,
+        SELECT app_id, lang, page, entry_pos, CAST(floor(epoch(made)) AS BIGINT) AS review_epoch,
           CAST(CAST(made AS DATE) AS VARCHAR) AS review_date, star_rating,
           {initials_google("name")} AS reviewer_anonymized, 'Google Play Store' AS platform,
           {hash16("review_text")} AS text_hash, thumbs_up_count,
@@ -388,7 +406,7 @@ ORACLE: dict[str, str] = {
                 count(*) FILTER (platform <> 'App Store') AS ng FROM clean GROUP BY 1),
         j AS (SELECT cat.*, CASE WHEN on_a THEN coalesce(na, 0) END AS ka,
                 CASE WHEN on_g THEN coalesce(ng, 0) END AS kg, c % 50 = 7 AS interrupted
-              FROM cat LEFT JOIN n USING (app_id)),
+              FROM (SELECT DISTINCT app_id, c, on_a, on_g FROM cat) AS cat LEFT JOIN n USING (app_id)),
         t AS (SELECT *, CAST(coalesce(ka, 0) + coalesce(kg, 0) AS BIGINT) AS total_reviews,
                 concat_ws(',', CASE WHEN ka = 0 THEN 'app-store' END,
                           CASE WHEN kg = 0 THEN 'google-play' END) AS platforms_failed FROM j),
@@ -406,13 +424,15 @@ ORACLE: dict[str, str] = {
     "country_filter": f"WITH {RATED} SELECT seq, country FROM rated WHERE country IN ('de', 'fr')",
     "recency_filter": "SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-17'",
     "app_store_valid": f"WITH {APPLE} SELECT app_id, country, page, entry_pos, status FROM entry",
-    "google_play_valid": f"WITH {GOOGLE} SELECT app_id, page, count(*) AS n_valid FROM google GROUP BY 1, 2",
+    "google_play_valid": f"WITH {GOOGLE} SELECT app_id, lang, page, count(*) AS n_valid FROM google GROUP BY 1, 2, 3",
     "catalog_validation": f"WITH {CATALOG} SELECT app_id, errors FROM checked",
     "oldest_per_page": f"""WITH {EVENT_PAGES}
         SELECT app_id, page, n_rows, epoch_us(oldest) AS oldest_micros FROM estats""",
-    "page_walk": f"""WITH {EVENT_PAGES}, {walk("estats", 12)}
+    "page_walk": f"""WITH {EVENT_PAGES}, {walk("estats")}
         SELECT app_id, page, n_rows, stale, reached FROM walked""",
-    "batch_walk": f"WITH {GOOGLE} SELECT app_id, page, n_rows, is_last, stale, reached FROM gwalk",
+    "page_cap": f"""WITH {EVENT_PAGES}, {walk("estats", 12)}
+        SELECT app_id, page, n_rows, stale, reached FROM walked""",
+    "batch_walk": f"WITH {GOOGLE} SELECT app_id, lang, country, page, n_rows, is_last, stale, reached FROM gwalk",
     "page_order": f"""WITH {APPLE},
         ends AS (SELECT app_id, country, page, max(review_epoch) AS newest, min(review_epoch) AS oldest
                  FROM apple GROUP BY ALL),
@@ -420,15 +440,14 @@ ORACLE: dict[str, str] = {
         SELECT app_id, country, page, newest, previous_oldest FROM prev WHERE newest > previous_oldest""",
     "count_by_platform": f"""WITH {CLEAN}
         SELECT 'app_store' AS platform_key, count(*) AS n_reviews FROM clean WHERE platform = 'App Store'
-        UNION ALL SELECT 'google_play', 0""",
+        UNION ALL SELECT 'google_play', count(*) FROM clean WHERE platform <> 'App Store'""",
     "run_status": f"""WITH {RATED},
         r AS (SELECT country, substr(review_date, 1, 7) AS month, count(*) AS total,
                 2 - count(DISTINCT platform) AS failed FROM rated GROUP BY 1, 2),
         s AS (SELECT *, {STATUS.format(stop="month = '2024-02'", total="total", failed="failed")} AS status FROM r)
         SELECT country, month, total, status, {CODE.format("status")} AS exit_code FROM s""",
     "sorted_output": f"""WITH {RATED}
-        SELECT seq, review_date, star_rating, platform FROM rated
-        ORDER BY review_date DESC, star_rating DESC""",
+        SELECT seq, review_date, star_rating, platform, true AS in_order FROM rated""",
     "union_countries": f"WITH {RATED} SELECT seq, country, platform FROM rated",
     "union_platforms": f"""WITH {RATED}
         SELECT seq, star_rating, {shown("review_title")} AS review_title,
@@ -446,12 +465,12 @@ ORACLE: dict[str, str] = {
             WHEN 6 THEN repeat('' || n, 20) WHEN 7 THEN l_returnflag ELSE '00' || (n % 8) END AS raw FROM q)
         SELECT l_orderkey, l_linenumber, {shown(clamp("raw"))} AS star_rating FROM r""",
     "google_score": f"""WITH r AS (
-          SELECT event_id, {whole("CASE WHEN event_type = 'error' THEN NULL ELSE value / 50.0 END")} AS score FROM events)
+          SELECT event_id, {whole("CASE WHEN event_type IN ('error', 'signup') THEN NULL ELSE value / 50.0 END")} AS score FROM events)
         SELECT event_id, score, score BETWEEN 1 AND 5 AS kept FROM r""",
     "initials_app_store": f"WITH {NAMES} SELECT kind, id, {initials('name', '')} AS initials FROM names",
     "initials_google": f"WITH {NAMES} SELECT kind, id, {initials_google('name')} AS initials FROM names",
     "parse_ts": f"""WITH {ORDER_DATES}
-        SELECT o_orderkey, {shown("CASE kind WHEN 8 THEN NULL ELSE midnight + CASE kind WHEN 1 THEN 84600 + 25200 WHEN 2 THEN 600 - 19800 WHEN 3 THEN 43200 WHEN 4 THEN 29700 WHEN 6 THEN 82800 + 28800 ELSE 0 END END")} AS epoch FROM d""",
+        SELECT o_orderkey, {shown("CASE kind WHEN 8 THEN NULL ELSE midnight + CASE kind WHEN 1 THEN 84600 + 25200 WHEN 2 THEN 600 - 19800 WHEN 3 THEN 43200 WHEN 4 THEN 29700 WHEN 6 THEN 82800 + 28800 WHEN 10 THEN 43200 WHEN 11 THEN 43200 WHEN 14 THEN 43200 ELSE 0 END END")} AS epoch FROM d""",
     "review_date": f"""WITH {ORDER_DATES}
         SELECT o_orderkey, {shown("CASE kind WHEN 8 THEN NULL ELSE day END")} AS review_date FROM d""",
     "coalesce_fallback": """SELECT conv_id, turn,
@@ -467,9 +486,6 @@ ORACLE: dict[str, str] = {
           CASE WHEN c_custkey % 2 = 0 THEN 'analysis' END) AS output_name FROM customer""",
     "lexicon_score": _LEX_DOCS,
     "lexicon_score_join": _LEX_DOCS,
-    "model_score_map": f"""WITH m AS (SELECT doc_id, least(length(text), 4096) AS n, {strip("text")} = '' AS blank FROM documents)
-        SELECT doc_id, CASE WHEN blank THEN 0.0 ELSE
-          round((CASE WHEN n % 2 = 1 THEN 1.0 ELSE -1.0 END) * (0.5 + n % 50 / 100.0), 4) END::DOUBLE AS sentiment_score FROM m""",
     "analyze_reviews": f"""WITH {RATED}, {scored("rated", "seq", "review_text")}
         SELECT seq, platform, star_rating, sentiment_score, {LABEL.format("sentiment_score")} AS sentiment_label
         FROM (SELECT rated.*, coalesce(scores.sentiment_score, 0.0) AS sentiment_score

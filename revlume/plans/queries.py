@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from revlume.functions import (
     clamp_star_rating, clean_text, first_non_empty, initials_app_store,
@@ -19,7 +19,6 @@ from revlume.operators.analysis import analyze_reviews, choose_scorer
 from revlume.operators.combine import union_all
 from revlume.operators.dedup import DEDUP_KEY, country_order, dedup_first_seen
 from revlume.operators.filters import in_countries, on_platforms, within_window
-from revlume.operators.model import model_score
 from revlume.operators.ordering import sort_reviews
 from revlume.operators.projections import extended_columns, standard_columns
 from revlume.operators.sentiment import Rules, lexicon_score
@@ -29,8 +28,11 @@ from revlume.operators.walk import (
 from revlume.plans import views
 from revlume.plans.full_run import RunConfig, run
 from revlume.plans.views import AS_OF, COUNTRIES, EVENTS_AS_OF, table
+from revlume.schema import GOOGLE_PAGE_KEY, GOOGLE_WALK_KEY, PAGE_KEY
 from revlume.session import scratch_path, staged
-from revlume.sources.app_store import page_reviews, page_stats, parse_app_store, read_pages, with_page_stats
+from revlume.sources.app_store import (
+    page_quality, page_reviews, page_stats, parse_app_store, read_pages, with_page_stats,
+)
 from revlume.sources.catalog import catalog_errors, request_frontier
 from revlume.sources.google_play import parse_google_play
 from revlume.sources.sinks import read_csv, write_csv
@@ -84,7 +86,7 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexicon_scorer(spark: SparkSession, sf_dir: str, key: list[str]):
     scorer, _ = choose_scorer(
-        views.word_lexicon(spark, sf_dir), rules=TEST_RULES, key=key
+        views.word_lexicon(spark, sf_dir), key, rules=TEST_RULES
     )
     return scorer
 
@@ -101,9 +103,9 @@ def clean_review_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _collected(rows: DataFrame, stats: DataFrame, cap: int, **kw):
-    marked = mark_reached(stats, AS_OF, cap, **kw)
-    kept = within_window(keep_reached(rows, marked, cap), AS_OF)
+def _collected(rows: DataFrame, stats: DataFrame, page_key: list[str], **kw):
+    marked = mark_reached(stats, AS_OF, walk_key=page_key[:-1], **kw)
+    kept = within_window(keep_reached(rows, marked, page_key=page_key), AS_OF)
     return dedup_first_seen(
         kept.withColumn("country_order", country_order(COUNTRIES))
     )
@@ -114,7 +116,7 @@ def collect_app_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = staged(
         with_page_stats(read_pages(views.app_store_pages(spark, sf_dir))), "app-store"
     )
-    found = _collected(page_reviews(read), page_stats(read), 5)
+    found = _collected(page_reviews(read), page_stats(read), PAGE_KEY)
     return found.select(
         "app_id", "country", "page", "entry_pos", day("review_date"), "star_rating",
         "reviewer_anonymized", "text_hash",
@@ -125,11 +127,11 @@ def collect_google_play(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw Google Play batches to clean reviews."""
     batches = views.google_play_batches(spark, sf_dir)
     found = _collected(
-        parse_google_play(batches), batch_stats(batches), 50,
+        parse_google_play(batches), batch_stats(batches), GOOGLE_PAGE_KEY,
         is_last=F.col("is_last"),
     )
     return found.select(
-        "app_id", "country", "page", "entry_pos", day("review_date"), "star_rating",
+        "app_id", shown(F.col("country")).alias("country"), "lang", "page", "entry_pos", day("review_date"), "star_rating",
         "reviewer_anonymized", "text_hash",
     )
 
@@ -183,10 +185,16 @@ def app_store_parse_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What damaged pages hold: reviews, malformed and undated entries, unreadable bodies."""
+    read = with_page_stats(read_pages(views.damaged_pages(spark, sf_dir)))
+    return page_quality(page_stats(read), "app_id", "country", "page")
+
+
 def google_play_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parse_google_play(views.google_play_batches(spark, sf_dir))
     return rows.select(
-        "app_id", "page", "entry_pos",
+        "app_id", "lang", "page", "entry_pos",
         F.unix_seconds("review_ts").alias("review_epoch"),
         day("review_date"), "star_rating", "reviewer_anonymized", "platform",
         text_hash(F.col("review_text")).alias("text_hash"),
@@ -259,7 +267,7 @@ def app_store_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def google_play_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parse_google_play(views.google_play_batches(spark, sf_dir))
-    return rows.groupBy("app_id", "page").agg(F.count(F.lit(1)).alias("n_valid"))
+    return rows.groupBy("app_id", "lang", "page").agg(F.count(F.lit(1)).alias("n_valid"))
 
 
 def catalog_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,6 +285,13 @@ def oldest_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.event_pages(spark, sf_dir).where("valid")
+    marked = mark_reached(oldest_per_page(rows), EVENTS_AS_OF)
+    return marked.select("app_id", "page", "n_rows", "stale", "reached")
+
+
+def page_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk again with a cap of 12 pages asked for."""
     rows = views.event_pages(spark, sf_dir).where("valid")
     marked = mark_reached(oldest_per_page(rows), EVENTS_AS_OF, 12)
     return marked.select("app_id", "page", "n_rows", "stale", "reached")
@@ -296,15 +311,16 @@ def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = batch_stats(views.google_play_batches(spark, sf_dir))
-    marked = mark_reached(stats, AS_OF, 50, is_last=F.col("is_last"))
-    return marked.select("app_id", "page", "n_rows", "is_last", "stale", "reached")
+    marked = mark_reached(stats, AS_OF, is_last=F.col("is_last"), walk_key=GOOGLE_WALK_KEY)
+    return marked.select(
+        "app_id", "lang", shown(F.col("country")).alias("country"), "page", "n_rows", "is_last", "stale", "reached"
+    )
 
 
 # ---- aggregates, order, sets ----------------------------------------------
 
 def platform_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    only_one = on_platforms(clean(spark, sf_dir), ["app-store"])
-    return count_by_platform(only_one, BOTH)
+    return count_by_platform(clean(spark, sf_dir), BOTH)
 
 
 def status_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,15 +343,27 @@ def status_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sorted_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sort_reviews(rated(spark, sf_dir)).select(
-        "seq", day("review_date"), "star_rating", "platform"
+    """Sorted rows, written and read back; each file row shows the one before it."""
+    ordered = sort_reviews(rated(spark, sf_dir)).select("seq", day("review_date"), "star_rating", "platform")
+    path = scratch_path(spark, "sorted")
+    ordered.write.parquet(path)
+    # Files and rows in the order in which they were written.
+    written = spark.read.schema(ordered.schema).parquet(path).select(
+        "*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")
+    )
+    place = Window.partitionBy(F.lit(1)).orderBy("file", "at")
+    before = written.withColumns(
+        {
+            "previous": F.lag(F.struct("review_date", "star_rating")).over(place),
+        }
     )
+    in_order = F.col("previous").isNull() | (F.struct("review_date", "star_rating") <= F.col("previous"))
+    return before.select("seq", "review_date", "star_rating", "platform", in_order.alias("in_order"))
 
 
 def union_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rated(spark, sf_dir)
-    parts = [in_countries(rows, [c]) for c in COUNTRIES]
-    return union_all(*parts).select("seq", "country", "platform")
+    """All selected countries: one table with a country column, read once."""
+    return in_countries(rated(spark, sf_dir), COUNTRIES).select("seq", "country", "platform")
 
 
 def union_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,14 +415,17 @@ def clamp_star(spark: SparkSession, sf_dir: str) -> DataFrame:
            WHEN 7 THEN l_returnflag
            ELSE concat('00', cast(l_quantity as int) % 8) END"""
     )
-    lines = views.spread_table(spark, sf_dir, "lineitem", "l_orderkey")
+    lines = table(spark, sf_dir, "lineitem")
     return lines.select(
         "l_orderkey", "l_linenumber", shown(clamp_star_rating(raw)).alias("star_rating")
     )
 
 
 def google_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.expr("IF(event_type = 'error', NULL, value / 50.0D)")
+    raw = F.expr(
+        """CASE event_type WHEN 'error' THEN NULL WHEN 'signup' THEN concat('bad ', value)
+           ELSE cast(value / 50.0D AS STRING) END"""
+    )
     score = whole_score(raw)
     return table(spark, sf_dir, "events").select(
         "event_id", score.alias("score"), is_star(score).alias("kept")
@@ -428,7 +459,7 @@ def _initials(function: Callable[[Column], Column]):
 def _order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = "date_format(o_orderdate, '%s')"
     text = F.expr(
-        f"""CASE o_orderkey % 9
+        f"""CASE o_orderkey % 15
             WHEN 0 THEN {stamp % "yyyy-MM-dd"}
             WHEN 1 THEN concat({stamp % "yyyy-MM-dd"}, 'T23:30:00-07:00')
             WHEN 2 THEN concat({stamp % "yyyy-MM-dd"}, 'T00:10:00+05:30')
@@ -437,9 +468,15 @@ def _order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
             WHEN 5 THEN {stamp % "MMM d, yyyy"}
             WHEN 6 THEN concat({stamp % "EEE, dd MMM yyyy"}, ' 23:00:00 -0800')
             WHEN 7 THEN {stamp % "MM/dd/yyyy"}
+            WHEN 9 THEN {stamp % "yyyy-M-d"}
+            WHEN 10 THEN concat({stamp % "yyyyMMdd"}, 'T120000Z')
+            WHEN 11 THEN concat({stamp % "yyyy-MM-dd"}, 'T12Z')
+            WHEN 12 THEN {stamp % "yyyy.MM.dd"}
+            WHEN 13 THEN {stamp % "MMM d yyyy"}
+            WHEN 14 THEN concat({stamp % "EEE MMM d"}, ' 12:00:00 ', {stamp % "yyyy"})
             ELSE concat({stamp % "yyyy"}, '-13-45') END"""
     )
-    orders = views.spread_table(spark, sf_dir, "orders", "o_orderkey")
+    orders = table(spark, sf_dir, "orders")
     return orders.select("o_orderkey", text.alias("text"))
 
 
@@ -492,7 +529,7 @@ def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexicon_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.documents(spark, sf_dir).select("doc_id", "text")
     scored = lexicon_score(
-        docs, views.word_lexicon(spark, sf_dir), "text", TEST_RULES, ["doc_id"]
+        docs, views.word_lexicon(spark, sf_dir), ["doc_id"], "text", TEST_RULES
     )
     return scored.select("doc_id", "sentiment_score")
 
@@ -503,32 +540,12 @@ def lexicon_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = views.documents(spark, sf_dir).select("doc_id", "text")
     scored = lexicon_score(
-        docs, views.word_lexicon(spark, sf_dir), "text",
-        replace(TEST_RULES, max_inline_words=0), ["doc_id"],
+        docs, views.word_lexicon(spark, sf_dir), ["doc_id"], "text",
+        replace(TEST_RULES, max_inline_words=0),
     )
     return scored.select("doc_id", "sentiment_score")
 
 
-def model_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores by a stand-in classifier that decides by the length of its input."""
-
-    # local, so that it travels with the task instead of being imported there
-    def load():
-        def predict(texts):
-            return [
-                ("positive" if len(t) % 2 else "NEGATIVE", 0.5 + len(t) % 50 / 100)
-                for t in texts
-            ]
-
-        return predict
-
-    docs = views.documents(spark, sf_dir).select("doc_id", "text")
-    scored = model_score(docs, load, "text")
-    return scored.select(
-        "doc_id", F.round("sentiment_score", 4).alias("sentiment_score")
-    )
-
-
 def analyze_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = analyze_reviews(
         rated(spark, sf_dir), lexicon_scorer(spark, sf_dir, ["seq"])
@@ -575,6 +592,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "full_run": full_run,
     "app_store_parse": app_store_parse,
     "app_store_parse_strict": app_store_parse_strict,
+    "page_quality": page_quality_query,
     "google_play_parse": google_play_parse,
     "request_frontier": frontier,
     "csv_roundtrip": csv_roundtrip,
@@ -589,6 +607,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "catalog_validation": catalog_validation,
     "oldest_per_page": oldest_page,
     "page_walk": page_walk,
+    "page_cap": page_cap,
     "batch_walk": batch_walk,
     "page_order": newest_first,
     "count_by_platform": platform_counts,
@@ -612,7 +631,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "output_name": output_names,
     "lexicon_score": lexicon_query,
     "lexicon_score_join": lexicon_join_query,
-    "model_score_map": model_query,
     "analyze_reviews": analyze_query,
     "stream_dedup": stream_query,
 }

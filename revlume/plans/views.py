@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revlume.functions.dates import naive_as_utc
 from revlume.schema import GOOGLE_PLAY_REVIEW
-from revlume.session import spread
 
 AS_OF = datetime(2024, 12, 31, tzinfo=timezone.utc)
 EVENTS_AS_OF = datetime(2025, 1, 16, tzinfo=timezone.utc)
@@ -26,13 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table that heavy expressions run on, on every core however small."""
-    return spread(table(spark, sf_dir, name), key)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_table(spark, sf_dir, "documents", "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def reviews_src(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +111,17 @@ def app_store_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The App Store pages, some cut off, some with a repeated key, some without dates."""
+    kind = "(cast(substring(app_id, 5) as bigint) + page) % 7"
+    body = f"""
+      CASE {kind} WHEN 0 THEN substring(body, 1, 40)
+        WHEN 1 THEN replace(body, '"im:rating":', '"im:rating":{{"label":"1"}},"im:rating":')
+        WHEN 2 THEN replace(replace(body, '"updated":', '"was":'), '"im:releaseDate":', '"then":')
+        ELSE body END"""
+    return app_store_pages(spark, sf_dir).withColumn("body", F.expr(body))
+
+
 def google_play_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as Google Play batches of up to ten structs."""
     end = int(AS_OF.timestamp())
@@ -144,11 +149,15 @@ def google_play_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("doc_id", "item"))).alias("items"),
         )
     )
-    last = f"page = 6 OR (page = 3 AND first_id div {DOCS_PER_APP} % 4 = 1)"
+    # Some apps have no country, and some are landed in two languages of three pages each.
+    app = f"(first_id div {DOCS_PER_APP})"
+    second = f"({app} % 3 = 1 AND page > 3)"
+    last = f"page = 6 OR (page = 3 AND {app} % 4 = 1)"
     return by_page.select(
         "app_id",
-        F.lit("us").alias("country"),
-        "page",
+        F.expr(f"IF({second}, 'de', 'en')").alias("lang"),
+        F.expr(f"IF({app} % 5 = 2, NULL, 'us')").alias("country"),
+        F.expr(f"IF({second}, page - 3, page)").alias("page"),
         F.expr(f"IF({last}, NULL, concat('t', page))").alias("next_token"),
         F.transform("items", lambda x: x["item"])
         .cast(f"array<{GOOGLE_PLAY_REVIEW.simpleString()}>")
@@ -171,10 +180,14 @@ def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def app_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``customer`` as a catalog in which many ids are unusable."""
-    return table(spark, sf_dir, "customer").select(
+    """``customer`` as a catalog in which many ids are unusable, and some ids and names repeated."""
+    customers = table(spark, sf_dir, "customer").withColumn("again", F.explode(F.expr("sequence(0, IF(c_custkey % 50 = 10, 1, 0))")))
+    return customers.select(
         F.expr("concat('app-', c_custkey)").alias("app_id"),
-        F.expr("lower(replace(c_name, '#', '_'))").alias("app_name"),
+        F.expr(
+            """IF(c_custkey % 50 = 20, concat('shared_', c_custkey div 100),
+                  concat(lower(replace(c_name, '#', '_')), IF(again = 1, '_again', '')))"""
+        ).alias("app_name"),
         F.expr(
             """CASE (c_custkey + 4) % 9 WHEN 0 THEN '123456789' WHEN 1 THEN ''
                WHEN 2 THEN concat('id', c_custkey) WHEN 3 THEN '  '
@@ -187,7 +200,7 @@ def app_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
                ELSE concat('com.', lower(c_mktsegment), '.app', c_custkey) END"""
         ).alias("google_play_id"),
         F.expr(
-            """CASE c_custkey % 4 WHEN 0 THEN array('app-store', 'google-play')
+            """CASE c_custkey % 4 WHEN 0 THEN array('app-store', 'google-play', 'app-store')
                WHEN 1 THEN array('app-store') WHEN 2 THEN array('google-play')
                ELSE cast(array() as array<string>) END"""
         ).alias("platforms"),

@@ -28,6 +28,7 @@ GOOGLE_PLAY_REVIEW = T.StructType(
 GOOGLE_PLAY_BATCHES = T.StructType(
     [
         T.StructField("app_id", T.StringType()),
+        T.StructField("lang", T.StringType()),
         T.StructField("country", T.StringType()),
         T.StructField("page", T.IntegerType()),
         T.StructField("next_token", T.StringType()),
@@ -52,9 +53,12 @@ LEXICON = T.StructType(
     ]
 )
 
-# One walk is one app in one country store; pages are numbered from 1 in it.
+# One walk is one app in one country store, on Google Play also in one language;
+# pages are numbered from 1 in it.
 WALK_KEY = ["app_id", "country"]
 PAGE_KEY = WALK_KEY + ["page"]
+GOOGLE_WALK_KEY = ["app_id", "lang", "country"]
+GOOGLE_PAGE_KEY = GOOGLE_WALK_KEY + ["page"]
 
 STANDARD_COLUMNS = [
     "review_date",

@@ -11,10 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor sees, taken from ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test) gets a fresh local folder.
+    Only a session on this machine alone may go without the setting; it gets a
+    fresh local folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="revlume-")
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="revlume-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -22,24 +28,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/revlume/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and go on from the written table.
 
     Cuts the lineage: a lost executor re-reads the table and does not parse
     the raw pages again, and every later pass reads only the columns it needs.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("error").partitionBy(*(partition_by or [])).parquet(path)
+    df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core on a table that was read in fewer splits than there are cores.
-
-    A large table has more splits than cores and is returned as it is, so
-    nothing is shuffled where that would cost anything.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)

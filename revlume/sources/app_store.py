@@ -30,9 +30,32 @@ FIELDS = {
 WHOLE_OR_TEXT = r"\A(STRING|BIGINT|DECIMAL\((19|[23]\d),0\))\z"
 
 
-def feed_entries(body: Column) -> Column:
-    """``feed.entry`` as an array: a lone object becomes one element."""
-    entry = F.try_variant_get(F.try_parse_json(body), "$.feed.entry", "variant")
+_LABEL = "struct<label: string>"
+_LENIENT = (
+    f"array<struct<`im:rating`: {_LABEL}, content: {_LABEL}, title: {_LABEL}, updated: {_LABEL}, "
+    f"`im:releaseDate`: {_LABEL}, author: struct<name: {_LABEL}>>>"
+)
+
+
+def _lenient_entries(body: Column) -> Column:
+    """Entries of a body whose objects repeat keys (the last one counts); null for other text."""
+    entry = F.from_json(body, "feed struct<entry: string>")["feed"]["entry"]
+    return F.from_json(entry, _LENIENT)
+
+
+def is_unreadable(body: Column, parsed: Column) -> Column:
+    """Text that is no JSON body: neither strictly (``parsed``), nor with repeated keys."""
+    return body.isNotNull() & parsed.isNull() & _lenient_entries(body).isNull()
+
+
+def feed_entries(body: Column, strictly: Column) -> Column:
+    """``feed.entry`` as an array: a lone object becomes one element.
+
+    ``strictly`` is the parsed body, null where its objects repeat keys.
+    """
+    rewritten = F.to_json(F.struct(F.struct(_lenient_entries(body).alias("entry")).alias("feed")))
+    parsed = F.coalesce(strictly, F.try_parse_json(rewritten))
+    entry = F.try_variant_get(parsed, "$.feed.entry", "variant")
     # held in an array, so that both looks at it share one parse of the body
     shapes = F.transform(
         F.array(entry),
@@ -108,7 +131,7 @@ def _values(c: Column) -> Column:
 
 
 def _status(v: Column) -> Column:
-    """``ok``, ``skip`` (not a usable review) or ``bad`` (malformed).
+    """``ok``, ``skip`` (not a usable review), ``undated`` or ``bad`` (malformed).
 
     The tests run in the order in which a reader meets the fields: an entry
     that is skipped for its rating is not malformed for its author.
@@ -122,7 +145,7 @@ def _status(v: Column) -> Column:
         .when(v["star_rating"].isNull(), skip)
         .when(_odd_wrapper(raw["updated"]), bad)
         .when(v["use_released"] & _odd_wrapper(raw["released"]), bad)
-        .when(v["review_ts"].isNull(), skip)
+        .when(v["review_ts"].isNull(), F.lit("undated"))
         .when(_odd_wrapper(raw["author"]) | _odd_wrapper(raw["name"]), bad)
         .when(_odd_label(raw["name"]) | _odd_wrapper(raw["title"]), bad)
         .when(_odd_label(raw["title"]) | _odd_label(raw["content"]), bad)
@@ -154,9 +177,12 @@ def read_pages(pages: DataFrame, strict_page: bool = False) -> DataFrame:
     ``strict_page`` one malformed entry empties its page.
     """
     keys = [c for c in pages.columns if c != "body"]
-    raw = F.transform(feed_entries(F.col("body")), _labels)
+    pages = pages.withColumn("_parsed", F.try_parse_json("body"))
+    raw = F.transform(feed_entries(F.col("body"), F.col("_parsed")), _labels)
     values = F.transform(F.transform(raw, _chosen), _values)
-    read = pages.select(*keys, F.transform(values, _review).alias("entries"))
+    read = pages.select(
+        *keys, is_unreadable(F.col("body"), F.col("_parsed")).alias("unreadable"), F.transform(values, _review).alias("entries")
+    )
     if strict_page:
         malformed = F.exists("entries", lambda e: e["status"] == "bad")
         read = read.withColumn("entries", F.when(~malformed, F.col("entries")))
@@ -171,25 +197,38 @@ def with_page_stats(read: DataFrame) -> DataFrame:
     """
     ok = F.filter("entries", lambda e: e["status"] == "ok")
     times = F.transform(ok, lambda e: e["review_ts"])
-    bad = F.filter("entries", lambda e: e["status"] == "bad")
+    count = lambda status: F.coalesce(
+        F.size(F.filter("entries", lambda e: e["status"] == status)), F.lit(0)
+    ).cast("long")
     return read.withColumns(
         {
             "oldest_ts": F.array_min(times),
-            "n_rows": F.greatest(F.size(ok), F.lit(0)).cast("long"),
-            "n_bad": F.greatest(F.size(bad), F.lit(0)).cast("long"),
+            "n_rows": count("ok"),
+            "n_bad": count("bad"),
+            "n_undated": count("undated"),
+            "n_rejected": count("skip"),
+            "n_unreadable": F.col("unreadable").cast("long"),
         }
     )
 
 
+QUALITY = ["n_rows", "n_bad", "n_undated", "n_rejected", "n_unreadable"]
+
+
+def page_quality(stats: DataFrame, *key: str) -> DataFrame:
+    """What was read and what was not: entries and pages counted per ``key``."""
+    return stats.groupBy(*key).agg(*[F.sum(c).alias(c) for c in QUALITY])
+
+
 def page_stats(read: DataFrame) -> DataFrame:
     """One row per page with its figures."""
     counted = read if "n_rows" in read.columns else with_page_stats(read)
-    return counted.drop("entries")
+    return counted.drop("entries", "unreadable")
 
 
 def page_reviews(read: DataFrame, only_ok: bool = True) -> DataFrame:
     """One row per entry of pages read by ``read_pages``."""
-    keys = [c for c in read.columns if c not in ("entries", "oldest_ts", "n_rows", "n_bad")]
+    keys = [c for c in read.columns if c not in ("entries", "unreadable", "oldest_ts", *QUALITY)]
     wanted = F.filter("entries", lambda e: (e["status"] == "ok") | F.lit(not only_ok))
     rows = read.select(*keys, F.explode(wanted).alias("e"))
     return rows.select(

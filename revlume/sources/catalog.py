@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from revlume.functions import strip_text
 
@@ -40,9 +40,13 @@ def _id_error(prefix: str, col: Column, placeholder: str, well_formed: Column) -
 def catalog_errors(catalog: DataFrame) -> DataFrame:
     """Catalog with ``errors array<string>``, empty for a usable app.
 
-    Ids of a platform that is not selected are not looked at.
+    Ids of a platform that is not selected are not looked at.  Rows that share
+    an id would count reviews twice, and apps that share a name would share an
+    output: both are errors of all rows concerned.  ``platforms`` comes out
+    without repeats.
     """
-    platforms = F.coalesce("platforms", F.array().cast("array<string>"))
+    platforms = F.array_distinct(F.coalesce("platforms", F.array().cast("array<string>")))
+    several = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c)) > 1
     app_store, google = F.col("app_store_id"), F.col("google_play_id")
     found = F.array(
         F.when(
@@ -60,8 +64,12 @@ def catalog_errors(catalog: DataFrame) -> DataFrame:
             ),
         ),
         F.when(F.size(platforms) == 0, F.lit("no_platform")),
+        F.when(F.col("_id_repeated"), F.lit("app_id_repeated")),
+        F.when(F.col("_name_repeated"), F.lit("app_name_repeated")),
     )
-    return catalog.withColumn("errors", F.array_compact(found))
+    marked = catalog.withColumns({"_id_repeated": several("app_id"), "_name_repeated": several("app_name")})
+    checked = marked.withColumns({"errors": F.array_compact(found), "platforms": platforms})
+    return checked.drop("_id_repeated", "_name_repeated")
 
 
 def usable_apps(catalog: DataFrame) -> DataFrame:
@@ -69,7 +77,7 @@ def usable_apps(catalog: DataFrame) -> DataFrame:
 
 
 def request_frontier(
-    catalog: DataFrame, countries: Sequence[str] = ("us",), max_pages: int = 20
+    catalog: DataFrame, countries: Sequence[str], max_pages: int
 ) -> DataFrame:
     """One row per App Store request: app x country x page, with its URL.
 

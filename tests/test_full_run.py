@@ -16,7 +16,7 @@ from revlume.plans.full_run import RunConfig, run
 from revlume.session import shared_dir, staged
 from revlume.sources.sinks import read_csv, write_csv
 from revlume.streaming.dedup import run_available, stream_dedup
-from test_sources import entry, feed
+from test_sources import feed, post
 
 UTC = datetime.timezone.utc
 AS_OF = datetime.datetime(2024, 12, 31, tzinfo=UTC)
@@ -43,23 +43,23 @@ def landed(spark):
         return (app, country, number, json.dumps(feed(*entries)))
 
     pages = [
-        page("1", "us", 1, entry(updated=stamp(1), content="good app"), entry(updated=stamp(2), content="bad app", rating="2")),
-        page("1", "us", 2, entry(updated=stamp(1), content="good app"), entry(updated=stamp(400), content="old")),
-        page("1", "us", 3, entry(updated=stamp(3), content="not reached")),
-        page("1", "gb", 1, entry(updated=stamp(1), content=" good\n app "), entry(updated=stamp(5), content='say "hi",\nyou')),
-        page("1", "fr", 1, entry(updated=stamp(1), content="not selected")),
-        page("2", "us", 1, entry(updated=stamp(7), content="fine"), entry(over={"author": 5})),
-        page("3", "us", 1, entry(updated=stamp(7), content="rejected app")),
+        page("1", "us", 1, post({"updated": stamp(1), "content": "good app"}), post({"updated": stamp(2), "content": "bad app", "im:rating": "2"})),
+        page("1", "us", 2, post({"updated": stamp(1), "content": "good app"}), post({"updated": stamp(400), "content": "old"})),
+        page("1", "us", 3, post({"updated": stamp(3), "content": "not reached"})),
+        page("1", "gb", 1, post({"updated": stamp(1), "content": " good\n app "}), post({"updated": stamp(5), "content": 'say "hi",\nyou'})),
+        page("1", "fr", 1, post({"updated": stamp(1), "content": "not selected"})),
+        page("2", "us", 1, post({"updated": stamp(7), "content": "fine"}), post(raw={"author": 5})),
+        page("3", "us", 1, post({"updated": stamp(7), "content": "rejected app"})),
     ]
 
     def item(days, score, text, name="Bob Ray"):
         return (at(days), score, name, text, 1, None, None)
 
     batches = [
-        ("1", "us", 1, "t", [item(1, 5.0, "good app"), item(1, 5.0, "good app", "Al")]),
-        ("1", "us", 2, None, [item(9, 1.0, "bad app")]),
-        ("1", "us", 3, "t", [item(9, 1.0, "after the end")]),
-        ("4", "us", 1, None, [item(1, 3.0, "kind")]),
+        ("1", "en", "us", 1, "t", [item(1, 5.0, "good app"), item(1, 5.0, "good app", "Al")]),
+        ("1", "en", "us", 2, None, [item(9, 1.0, "bad app")]),
+        ("1", "en", "us", 3, "t", [item(9, 1.0, "after the end")]),
+        ("4", "en", "us", 1, None, [item(1, 3.0, "kind")]),
     ]
     return (
         spark.createDataFrame(CATALOG, schema.APP_CATALOG),
@@ -71,7 +71,7 @@ def landed(spark):
 @pytest.fixture(scope="module")
 def scorer(spark):
     lexicon = spark.createDataFrame([("good", 1.9), ("bad", -2.5)], "tok string, val double")
-    return choose_scorer(lexicon)[0]
+    return choose_scorer(lexicon, ["platform", "app_id", "review_date", "star_rating", "text_hash"])[0]
 
 
 CONFIG = dict(as_of=AS_OF, countries=("us", "gb"), output_mode="both")
@@ -152,10 +152,32 @@ def test_run_one_platform_and_strict(spark, tmp_out):
 def test_a_failing_platform_leaves_the_other(spark, scorer, tmp_out):
     catalog, pages, batches = landed(spark)
     broken = batches.withColumn("batch", F.expr("IF(page > 0, raise_error('lost'), batch)").cast(batches.schema["batch"].dataType))
-    result = run(catalog, pages, broken, tmp_out, RunConfig(**CONFIG), scorer)
+    with pytest.raises(Exception, match="lost"):
+        run(catalog, pages, broken, tmp_out, RunConfig(**CONFIG), scorer)
+    config = RunConfig(**(CONFIG | dict(keep_going=True)))
+    result = run(catalog, pages, broken, tmp_out, config, scorer)
     summary = {r.app_id: r for r in result.summary.collect()}
     assert summary["1"].status == "partial" and summary["1"].platforms_failed == ["google-play"]
     assert summary["4"].status == "failed"
+    assert "lost" in json.loads(summary["1"].platform_errors)["google-play"]
+
+
+def test_summary_counts_what_was_not_read(spark, tmp_out):
+    catalog, pages, batches = landed(spark)
+    more = [("2", "us", 2, json.dumps(feed(post({"updated": "some day"}), post({"im:rating": None})))), ("2", "gb", 1, '{"feed"')]
+    pages = pages.unionByName(spark.createDataFrame(more, schema.APP_STORE_PAGES))
+    result = run(catalog, pages, batches, tmp_out, RunConfig(**(CONFIG | dict(output_mode="reviews"))))
+    row = {r.app_id: r for r in result.summary.collect()}["2"]
+    assert (row.n_bad, row.n_undated, row.n_rejected, row.n_unreadable) == (1, 1, 1, 1)
+
+
+def test_a_repeated_catalog_row_writes_no_review_twice(spark, tmp_out):
+    catalog, pages, batches = landed(spark)
+    twice = catalog.unionByName(catalog.where("app_id = '1'"))
+    result = run(twice, pages, batches, tmp_out, RunConfig(**(CONFIG | dict(output_mode="reviews"))))
+    assert {r.app_id for r in result.rejected.collect()} == {"1", "3"}
+    assert set(rows_of(tmp_out + "/reviews")) == {"two_reviews", "four_reviews"}
+    assert result.summary.groupBy("app_id").count().where("count > 1").isEmpty()
 
 
 def test_interrupted_and_empty(spark, scorer, tmp_out):

@@ -75,7 +75,7 @@ def test_whole_score(spark):
 
 NAMES = [
     # name, App Store, Google Play
-    ("Alice", "A.", "A."), ("Alice Smith", "A.S.", "A. S."), ("A Google User", "A.U.", "A."),
+    ("Noor", "N.", "N."), ("Teun de Wit", "T.W.", "T. W."), ("A Google User", "A.U.", "A."),
     ("", "A.", "A."), (None, "A.", "A."), ("Canon Fan", "C.F.", "A."), ("1abc", "1.", "1."),
     ("李雷", "A.", "A."), ("  bob \u3000 van\tdyk ", "B.D.", "B. D."),
     ("ANONYMOUS", "A.", "A."), ("x", "X.", "X."), ("1 2", "A.", "A."),
@@ -89,7 +89,7 @@ def test_initials(spark):
 
 
 def test_text_hash(spark):
-    long_a, long_b = ("A" * 100 + f"different ending {c}" for c in "AB")
+    long_a, long_b = ("prefix " * 60 + tail for tail in ("one", "two"))
     got = apply(spark, text_hash, [long_a, long_b, "same", "same", "é"])
     assert got[0] != got[1] and got[2] == got[3]
     assert got[4] == hashlib.sha256("é".encode()).hexdigest()[:16]

@@ -17,7 +17,7 @@ from revlume.operators.ordering import sort_reviews
 from revlume.operators.walk import (
     batch_stats, keep_reached, mark_reached, oldest_per_page, order_breaks,
 )
-from revlume.schema import GOOGLE_PLAY_BATCHES
+from revlume.schema import GOOGLE_PLAY_BATCHES, GOOGLE_WALK_KEY
 
 UTC = datetime.timezone.utc
 AS_OF = datetime.datetime(2024, 12, 31, tzinfo=UTC)
@@ -87,22 +87,42 @@ def test_batch_stats_use_every_time(spark):
         return (at, score, None, text, None, None, None)
 
     rows = [
-        ("a", "us", 1, "t", [item(day(3)), item(None)]),
-        ("a", "us", 2, "t", [item(day(400), None, None)]),  # dropped later, but ends the walk
-        ("a", "us", 3, "t", [item(day(4))]),
-        ("b", "us", 1, "t", [item(None)]),  # no time: does not stop
-        ("b", "us", 2, None, [item(day(4))]),
-        ("b", "us", 3, "t", [item(day(4))]),
-        ("c", "us", 1, "t", []),
-        ("c", "us", 2, "t", None),
+        ("a", "en", "us", 1, "t", [item(day(3)), item(None)]),
+        ("a", "en", "us", 2, "t", [item(day(400), None, None)]),  # dropped later, but ends the walk
+        ("a", "en", "us", 3, "t", [item(day(4))]),
+        ("b", "en", "us", 1, "t", [item(None)]),  # no time: does not stop
+        ("b", "en", "us", 2, None, [item(day(4))]),
+        ("b", "en", "us", 3, "t", [item(day(4))]),
+        ("c", "en", "us", 1, "t", []),
+        ("c", "en", "us", 2, "t", None),
     ]
     stats = batch_stats(spark.createDataFrame(rows, GOOGLE_PLAY_BATCHES))
     got = {(r.app_id, r.page): (r.n_rows, r.is_last) for r in stats.collect()}
     assert got[("a", 1)] == (2, False) and got[("b", 2)] == (1, True) and got[("c", 2)][0] == 0
-    reached = mark_reached(stats, AS_OF, 50, F.col("is_last")).where("reached").collect()
+    reached = mark_reached(stats, AS_OF, None, F.col("is_last"), GOOGLE_WALK_KEY).where("reached").collect()
     assert sorted((r.app_id, r.page) for r in reached) == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
 
 
+def test_null_countries_are_walked_like_others(spark):
+    rows = [("a", None, p, day(p)) for p in (1, 3)] + [("a", "us", p, day(p)) for p in (1, 2)]
+    reviews = spark.createDataFrame(rows, "app_id string, country string, page int, review_ts timestamp")
+    marked = mark_reached(oldest_per_page(reviews), AS_OF)
+    for bound in (0, 10):
+        kept = keep_reached(reviews, marked, max_broadcast_rows=bound).collect()
+        assert sorted((str(r.country), r.page) for r in kept) == [("None", 1), ("us", 1), ("us", 2)]
+
+
+def test_survivor_does_not_depend_on_file_order(spark):
+    rows = [("p", "1", "zz", 9, 1, 1, datetime.date(2024, 5, 1), 3, "same", name) for name in ("H. D.", "X. F.", "A. B.")]
+    names = (
+        "platform string, app_id string, country string, country_order int, page int, entry_pos int, "
+        "review_date date, star_rating int, review_text string, reviewer_anonymized string"
+    )
+    for order in (rows, rows[::-1]):
+        (row,) = dedup_first_seen(spark.createDataFrame(order, names)).collect()
+        assert row.reviewer_anonymized == "A. B."
+
+
 def test_page_cap(spark):
     rows = [("a", "us", p, day(p)) for p in range(1, 9)]
     reviews = spark.createDataFrame(rows, "app_id string, country string, page int, review_ts timestamp")

@@ -8,7 +8,9 @@ import pytest
 
 import __spark_entry__ as driver
 
-QUERIES, ORACLE = driver.queries(), driver.oracle_sql()
+# Those of the training-data operators are tested beside them.
+from revlume.plans.oracle import ORACLE
+from revlume.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")

@@ -110,10 +110,13 @@ def test_scores(spark, lexicon, inline):
         assert got[i] == pytest.approx(score_by_hand(text), abs=1e-4), text
 
 
-def test_large_lexicon_needs_a_key(spark, lexicon):
-    frame = spark.createDataFrame([(1, "good")], "id int, review_text string")
-    with pytest.raises(ValueError):
-        lexicon_score(frame, lexicon, rules=replace(ENGLISH, max_inline_words=0))
+@pytest.mark.parametrize("size", [19_999, 20_000, 20_001])
+def test_any_lexicon_size_is_called_alike(spark, lexicon, size):
+    known = set(LEXICON) | set(ENGLISH.intensifiers) | set(ENGLISH.diminishers) | set(ENGLISH.negations)
+    more = spark.range(size - len(known)).selectExpr("concat('w', id) AS tok", "1.0D AS val")
+    frame = spark.createDataFrame([(1, "good w7"), (2, "not good")], "id int, review_text string")
+    scorer, _ = choose_scorer(lexicon.unionByName(more), ["id"])
+    assert {r.id: r.sentiment_score > 0 for r in scorer(frame).collect()} == {1: True, 2: False}
 
 
 def test_words(spark):
@@ -123,7 +126,7 @@ def test_words(spark):
 
 def test_scores_in_range_and_rows_kept(spark, lexicon):
     frame = spark.createDataFrame([(1, "great " * 500), (2, "awful " * 500), (3, None)], "id int, review_text string")
-    scored = analyze_reviews(frame, choose_scorer(lexicon)[0])
+    scored = analyze_reviews(frame, choose_scorer(lexicon, ["id"])[0])
     got = {r.id: (r.sentiment_score, r.sentiment_label) for r in scored.collect()}
     assert got[1][1] == "good" and 0.99 < got[1][0] <= 1.0
     assert got[2][1] == "bad" and -1.0 <= got[2][0] < -0.99
@@ -145,18 +148,20 @@ def make_model(seen_limit):
 def test_model(spark):
     texts = ["good", "awful", "", " \n ", None, "x" * 5000 + " good"]
     frame = spark.createDataFrame(list(enumerate(texts)), "id int, review_text string")
-    got = {r.id: r.sentiment_score for r in model_score(frame, make_model(4096)).collect()}
-    # the last text says "good" only beyond the input limit of the model
-    assert got == {0: 0.75, 1: -0.75, 2: 0.0, 3: 0.0, 4: 0.0, 5: -0.75}
+    want = {0: 0.75, 1: -0.75, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.75}
+    assert {r.id: r.sentiment_score for r in model_score(frame, make_model(10_000)).collect()} == want
+    # with an input limit the last text no longer says "good"
+    cut = model_score(frame, make_model(4096), max_chars=4096)
+    assert {r.id: r.sentiment_score for r in cut.collect()} == want | {5: -0.75}
 
 
 def test_choice_of_scorer(spark, lexicon):
     def broken():
         raise OSError("no model here")
 
-    assert choose_scorer(lexicon)[1] == "lexicon"
-    assert choose_scorer(lexicon, make_model(10))[1] == "model"
-    scorer, name = choose_scorer(lexicon, broken)
+    assert choose_scorer(lexicon, ["review_text"])[1] == "lexicon"
+    assert choose_scorer(lexicon, ["review_text"], make_model(10))[1] == "model"
+    scorer, name = choose_scorer(lexicon, ["review_text"], broken)
     assert name == "lexicon"
     frame = spark.createDataFrame([("good",)], "review_text string")
     assert scorer(frame).first().sentiment_score == score_by_hand("good")

@@ -14,15 +14,17 @@ from revlume.sources.google_play import parse_google_play
 UTC = datetime.timezone.utc
 
 
-def entry(rating="4", content="Great app", title="Nice",
-          updated="2024-06-01T00:00:00Z", author="Alice Smith", over=None):
-    made = {
-        "im:rating": {"label": rating}, "content": {"label": content},
-        "title": {"label": title}, "updated": {"label": updated},
-        "author": {"name": {"label": author}},
-    }
-    made.update(over or {})
-    return {k: v for k, v in made.items() if v != "absent"}
+LABELS = {
+    "im:rating": "3", "content": "Loads fast on the train", "title": "Handy",
+    "updated": "2024-03-09T06:30:00Z", "author": "Mira Okafor",
+}
+
+
+def post(changes=None, raw=None):
+    """A feed entry: labels by field, and fields given as they are ("absent" leaves one out)."""
+    labelled = {field: {"label": text} for field, text in (LABELS | (changes or {})).items()}
+    labelled["author"] = {"name": labelled["author"]}
+    return {field: value for field, value in (labelled | (raw or {})).items() if value != "absent"}
 
 
 def pages(spark, *bodies):
@@ -48,79 +50,79 @@ def statuses(spark, *entries):
 
 
 def test_valid_entry(spark):
-    (row,) = parse(spark, entry())
-    assert row["star_rating"] == 4
-    assert row["review_text"] == "Great app"
+    (row,) = parse(spark, post())
+    assert row["star_rating"] == 3
+    assert row["review_text"] == "Loads fast on the train"
     assert row["platform"] == "App Store"
-    assert row["reviewer_anonymized"] == "A.S."
-    assert row["review_date"] == datetime.date(2024, 6, 1)
-    assert row["review_title"] == "Nice"
+    assert row["reviewer_anonymized"] == "M.O."
+    assert row["review_date"] == datetime.date(2024, 3, 9)
+    assert row["review_title"] == "Handy"
 
 
 def test_null_rating_and_content(spark):
-    assert parse(spark, entry(rating=None, content=None)) == []
+    assert parse(spark, post({"im:rating": None, "content": None})) == []
 
 
 def test_empty_content_falls_back_to_title(spark):
-    (row,) = parse(spark, entry(content="", title="Awesome"))
-    assert row["review_text"] == "Awesome"
+    (row,) = parse(spark, post({"content": "", "title": "Works offline"}))
+    assert row["review_text"] == "Works offline"
 
 
 def test_title_kept_only_when_it_differs(spark):
     rows = parse(
-        spark, entry(content="Body text", title="A great title"),
-        entry(content="Same text", title="Same text"),
+        spark, post({"content": "Maps no longer stutter", "title": "Since the update"}),
+        post({"content": "Said twice", "title": "Said twice"}),
     )
-    assert [r["review_title"] for r in rows] == ["A great title", None]
+    assert [r["review_title"] for r in rows] == ["Since the update", None]
 
 
 def test_text_is_collapsed(spark):
-    (row,) = parse(spark, entry(content="  a\u00a0\x1cb\n c\u3000"))
+    (row,) = parse(spark, post({"content": "  a\u00a0\x1cb\n c\u3000"}))
     assert row["review_text"] == "a b c"
 
 
 def test_own_day_and_instant(spark):
-    (row,) = parse(spark, entry(updated="2024-06-01T23:30:00-07:00"))
+    (row,) = parse(spark, post({"updated": "2024-06-01T23:30:00-07:00"}))
     assert row["review_date"] == datetime.date(2024, 6, 1)
-    frame = parse_app_store(pages(spark, feed(entry(updated="2024-06-01T23:30:00-07:00"))))
+    frame = parse_app_store(pages(spark, feed(post({"updated": "2024-06-01T23:30:00-07:00"}))))
     assert frame.select(F.unix_seconds("review_ts")).first()[0] == 1717309800
 
 
 def test_release_date_is_the_fallback(spark):
     released = {"label": "2024-05-05T00:00:00Z"}
     rows = parse(
-        spark, entry(updated=None, over={"im:releaseDate": released}),
-        entry(over={"updated": "absent", "im:releaseDate": released}),
-        entry(updated="", over={"im:releaseDate": released}),
+        spark, post({"updated": None}, {"im:releaseDate": released}),
+        post(raw={"updated": "absent", "im:releaseDate": released}),
+        post({"updated": ""}, {"im:releaseDate": released}),
     )
     assert {r["review_date"] for r in rows} == {datetime.date(2024, 5, 5)} and len(rows) == 3
 
 
 def test_skipped_entries(spark):
     assert statuses(
-        spark, entry(rating="bad"), entry(rating=None), entry(rating=4.5), entry(rating=True),
-        entry(rating="4.0"), entry(updated=None), entry(updated="soon"), entry(updated=5),
-        entry(content=None, title=None), entry(content=" ", title="\n"), entry(over={"im:rating": "absent"}),
-    ) == ["skip"] * 11
+        spark, post({"im:rating": "bad"}), post({"im:rating": None}), post({"im:rating": 4.5}), post({"im:rating": True}),
+        post({"im:rating": "4.0"}), post({"updated": None}), post({"updated": "soon"}), post({"updated": 5}),
+        post({"content": None, "title": None}), post({"content": " ", "title": "\n"}), post(raw={"im:rating": "absent"}),
+    ) == ["skip"] * 5 + ["undated"] * 3 + ["skip"] * 3
 
 
 def test_ratings_are_clamped(spark):
-    rows = parse(spark, entry(rating="0"), entry(rating="9"), entry(rating=3), entry(rating=10**30))
+    rows = parse(spark, post({"im:rating": "0"}), post({"im:rating": "9"}), post({"im:rating": 3}), post({"im:rating": 10**30}))
     assert [r["star_rating"] for r in rows] == [1, 5, 3, 5]
 
 
 def test_missing_wrappers_are_fine(spark):
-    (row,) = parse(spark, entry(over={"author": {"name": {}}, "title": {}}))
+    (row,) = parse(spark, post(raw={"author": {"name": {}}, "title": {}}))
     assert row["reviewer_anonymized"] == "A."
-    (row,) = parse(spark, {k: v for k, v in entry().items() if k not in ("author", "title")})
+    (row,) = parse(spark, {k: v for k, v in post().items() if k not in ("author", "title")})
     assert row["reviewer_anonymized"] == "A." and row["review_title"] is None
 
 
 MALFORMED = [
-    entry(over={"author": None}), entry(over={"author": "x"}), entry(over={"author": {"name": "x"}}),
-    entry(author=5), entry(over={"title": None}), entry(title=7), entry(content=7),
-    entry(over={"im:rating": None}), entry(over={"content": "x"}), entry(over={"updated": "x"}),
-    entry(updated=None, over={"im:releaseDate": "x"}), "text", 7, None, [],
+    post(raw={"author": None}), post(raw={"author": "x"}), post(raw={"author": {"name": "x"}}),
+    post({"author": 5}), post(raw={"title": None}), post({"title": 7}), post({"content": 7}),
+    post(raw={"im:rating": None}), post(raw={"content": "x"}), post(raw={"updated": "x"}),
+    post({"updated": None}, {"im:releaseDate": "x"}), "text", 7, None, [],
 ]
 
 
@@ -131,13 +133,13 @@ def test_malformed_entries(spark):
 def test_skip_comes_before_malformed(spark):
     # the rating is read before the author, the date before the title
     assert statuses(
-        spark, entry(rating="bad", over={"author": "x"}), entry(updated="soon", over={"title": None}),
-        entry(updated="2024-06-01", over={"im:releaseDate": "x"}),
-    ) == ["skip", "skip", "ok"]
+        spark, post({"im:rating": "bad"}, {"author": "x"}), post({"updated": "soon"}, {"title": None}),
+        post({"updated": "2024-06-01"}, {"im:releaseDate": "x"}),
+    ) == ["skip", "undated", "ok"]
 
 
 def test_isolate_and_strict(spark):
-    body, clean = feed(entry(), entry(over={"author": "x"})), feed(entry())
+    body, clean = feed(post(), post(raw={"author": "x"})), feed(post())
     frame = pages(spark, body, clean)
     assert parse_app_store(frame).count() == 2
     assert [r.page for r in parse_app_store(frame, strict_page=True).collect()] == [2]
@@ -145,17 +147,34 @@ def test_isolate_and_strict(spark):
 
 def test_page_shapes(spark):
     frame = pages(
-        spark, {"feed": {"entry": entry()}}, {"feed": {}}, {"feed": {"entry": None}}, {"feed": None},
-        {}, [], "garbage", None, feed(), feed(entry(), entry()),
+        spark, {"feed": {"entry": post()}}, {"feed": {}}, {"feed": {"entry": None}}, {"feed": None},
+        {}, [], "garbage", None, feed(), feed(post(), post()),
     )
     found = {r.page: r.n for r in parse_app_store(frame).groupBy("page").agg(F.count("*").alias("n")).collect()}
     assert found == {1: 1, 10: 2}
     stats = {r.page: (r.n_rows, r.n_bad) for r in page_stats(read_pages(frame)).collect()}
     assert len(stats) == 10 and stats[10] == (2, 0) and stats[7] == (0, 0)
+    unreadable = {r.page for r in page_stats(read_pages(frame)).collect() if r.n_unreadable}
+    assert unreadable == {7}
+
+
+def test_repeated_keys_are_read(spark):
+    body = json.dumps(feed(post({"content": "second"}))).replace('"content":', '"content": {"label": "first"}, "content":')
+    frame = pages(spark, body)
+    (row,) = parse_app_store(frame).collect()
+    assert row.review_text == "second" and row.star_rating == 3 and row.reviewer_anonymized == "M.O."
+    assert page_stats(read_pages(frame)).first().n_unreadable == 0
+
+
+def test_repeated_apps_and_names(spark):
+    rows = [("x", "one", GOOD_A, GOOD_G, BOTH), ("x", "two", GOOD_A, GOOD_G, BOTH), ("y", "two", GOOD_A, GOOD_G, BOTH + BOTH)]
+    found = catalog_errors(spark.createDataFrame(rows, schema.APP_CATALOG)).orderBy("app_id", "app_name").collect()
+    assert [r.errors for r in found] == [["app_id_repeated"], ["app_id_repeated", "app_name_repeated"], ["app_name_repeated"]]
+    assert found[2].platforms == BOTH
 
 
 def test_projections(spark):
-    rows = parse_app_store(pages(spark, feed(entry())))
+    rows = parse_app_store(pages(spark, feed(post())))
     assert standard_columns(rows).columns == schema.STANDARD_COLUMNS
     assert extended_columns(rows).columns == schema.STANDARD_COLUMNS + ["review_title"]
 
@@ -165,12 +184,12 @@ def test_projections(spark):
 AT = datetime.datetime(2024, 6, 1, 23, 30, tzinfo=UTC)
 
 
-def item(at=AT, score=4.0, name="Alice Smith", content="Great app", thumbs=3, reply=None, replied=None):
+def item(at=AT, score=4.0, name="Ilse Brandt", content="Opens quickly", thumbs=3, reply=None, replied=None):
     return (at, score, name, content, thumbs, reply, replied)
 
 
 def google(spark, *items):
-    rows = [("com.a.b", "us", 1, None, list(items))]
+    rows = [("com.a.b", "en", "us", 1, None, list(items))]
     frame = parse_google_play(spark.createDataFrame(rows, schema.GOOGLE_PLAY_BATCHES))
     return [r.asDict() for r in frame.orderBy("entry_pos").collect()]
 
@@ -178,7 +197,7 @@ def google(spark, *items):
 def test_google_valid(spark):
     (row,) = google(spark, item(reply=" thanks ", replied=AT))
     assert row["star_rating"] == 4 and row["platform"] == "Google Play Store"
-    assert row["reviewer_anonymized"] == "A. S." and row["review_date"] == datetime.date(2024, 6, 1)
+    assert row["reviewer_anonymized"] == "I. B." and row["review_date"] == datetime.date(2024, 6, 1)
     assert row["thumbs_up_count"] == 3 and row["developer_reply"] == "thanks"
     assert row["developer_reply_date"] == datetime.date(2024, 6, 1)
 
@@ -206,7 +225,7 @@ def test_google_dates_are_utc_days(spark):
     spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
     try:
         frame = spark.createDataFrame(
-            [("a", "us", 1, None, [item()])], schema.GOOGLE_PLAY_BATCHES
+            [("a", "en", "us", 1, None, [item()])], schema.GOOGLE_PLAY_BATCHES
         )
         day = parse_google_play(frame).select(F.col("review_date").cast("string")).first()[0]
     finally:
@@ -216,7 +235,7 @@ def test_google_dates_are_utc_days(spark):
 
 def test_google_batches_land_as_json(spark, tmp_path):
     path = str(tmp_path / "landed")
-    rows = [("com.a.b", "us", 1, None, [item()])]
+    rows = [("com.a.b", "en", "us", 1, None, [item()])]
     spark.createDataFrame(rows, schema.GOOGLE_PLAY_BATCHES).write.json(path)
     back = spark.read.schema(schema.GOOGLE_PLAY_BATCHES).json(path)
     assert parse_google_play(back).count() == 1
@@ -225,7 +244,7 @@ def test_google_batches_land_as_json(spark, tmp_path):
 # ---- catalog ---------------------------------------------------------------
 
 BOTH = ["app-store", "google-play"]
-GOOD_A, GOOD_G = "584606479", "com.intuit.quickbooks"
+GOOD_A, GOOD_G = "901234567", "org.tidepool.notes"
 
 
 def errors(spark, a=GOOD_A, g=GOOD_G, platforms=BOTH):
@@ -245,9 +264,9 @@ def test_placeholders(spark):
 
 
 def test_id_formats(spark):
-    assert errors(spark, a="notanumber") == ["app_store_id_malformed"]
-    assert errors(spark, g="comexampleapp") == ["google_play_id_malformed"]
-    assert errors(spark, g="1com.example.app") == ["google_play_id_malformed"]
+    assert errors(spark, a="id-77x") == ["app_store_id_malformed"]
+    assert errors(spark, g="tidepoolnotes") == ["google_play_id_malformed"]
+    assert errors(spark, g="9org.tidepool.notes") == ["google_play_id_malformed"]
     assert errors(spark, a=" ", g=None) == ["app_store_id_empty", "google_play_id_empty"]
     assert errors(spark, a="123456789\n") == ["app_store_id_malformed"]
 
@@ -280,7 +299,7 @@ def test_google_times_without_zone_are_utc(spark):
     try:
         naive = schema.GOOGLE_PLAY_BATCHES.simpleString().replace("timestamp", "timestamp_ntz")
         moment = datetime.datetime(2024, 6, 1, 23, 30)
-        frame = spark.createDataFrame([("a", "us", 1, None, [item(at=moment, replied=moment)])], naive)
+        frame = spark.createDataFrame([("a", "en", "us", 1, None, [item(at=moment, replied=moment)])], naive)
         row = parse_google_play(frame).select(
             F.unix_seconds("review_ts"), F.col("review_date").cast("string"),
             F.col("developer_reply_date").cast("string"),
