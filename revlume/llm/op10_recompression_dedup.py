@@ -123,7 +123,7 @@ def _dealt(group: int, keys: np.ndarray, values: np.ndarray, buckets: int) -> pa
     order = np.argsort(bucket, kind="stable")
     bucket, keys, values = bucket[order], keys[order], values[order]
     begin = np.flatnonzero(np.diff(bucket, prepend=-1))
-    ends = [*begin[1:], len(bucket)]
+    ends = [*begin[1:], len(bucket)][: len(begin)]
     return pa.table(
         {
             "bucket": pa.array(bucket[begin], pa.int64()),
