@@ -490,10 +490,19 @@ ORACLE: dict[str, str] = {
         SELECT seq, platform, star_rating, sentiment_score, {LABEL.format("sentiment_score")} AS sentiment_label
         FROM (SELECT rated.*, coalesce(scores.sentiment_score, 0.0) AS sentiment_score
               FROM rated JOIN scores USING (seq))""",
-    "stream_dedup": f"""WITH {RATED}
-        SELECT DISTINCT CASE WHEN apple THEN 'App Store' ELSE 'Google Play Store' END AS platform,
-          'app-' || (n_chars // 100) AS app_id, CAST(CAST(review_ts AS DATE) AS VARCHAR) AS review_date,
-          CAST(least(5, greatest(1, n_chars % 8)) AS INT) AS star_rating,
-          {shown(hash16(clean("text")))} AS text_hash
-        FROM src WHERE review_ts >= {CUTOFF}""",
+    "stream_dedup": f"""WITH {APPLE}
+        SELECT DISTINCT 'App Store' AS platform, app_id, CAST(day AS VARCHAR) AS review_date, star_rating,
+          {hash16("review_text")} AS text_hash
+        FROM apple WHERE review_epoch >= epoch({CUTOFF})""",
+    "output_layout": f"""WITH {_FULL_RUN},
+        named AS (SELECT kept.*, app_name, CASE platform WHEN 'App Store' THEN 'app_store' ELSE 'google_play' END AS pkey
+                  FROM kept JOIN checked USING (app_id))
+        SELECT 'both' AS mode, app_name || '_' || pkey || '_reviews' || tail AS output_name, count(*) AS n_rows
+        FROM named, (VALUES (''), ('_analysis')) AS t(tail) GROUP BY ALL
+        UNION ALL SELECT 'reviews', app_name || '_reviews', count(*) FROM named GROUP BY ALL""",
+    "throughput": f"""WITH {CLEAN}
+        SELECT app_id, count(*) AS total,
+          coalesce(round(count(*) / nullif(CAST(substr(app_id, 5) AS INT) % 4 * 2.5::DOUBLE, 0), 6), -1.0) AS per_second
+        FROM clean GROUP BY app_id""",
+    "scorer_fallback": f"SELECT doc_id, sentiment_score, 'lexicon' AS backend FROM ({_LEX_DOCS})",
 }

@@ -13,7 +13,7 @@ from revlume.functions import (
     whole_score,
 )
 from revlume.operators.aggregates import (
-    count_by_platform, exit_code, run_status, run_summary,
+    count_by_platform, exit_code, run_status, run_summary, throughput,
 )
 from revlume.operators.analysis import analyze_reviews, choose_scorer
 from revlume.operators.combine import union_all
@@ -28,7 +28,7 @@ from revlume.operators.walk import (
 from revlume.plans import views
 from revlume.plans.full_run import RunConfig, run
 from revlume.plans.views import AS_OF, COUNTRIES, EVENTS_AS_OF, table
-from revlume.schema import GOOGLE_PAGE_KEY, GOOGLE_WALK_KEY, PAGE_KEY
+from revlume.schema import APP_STORE_PAGES, GOOGLE_PAGE_KEY, GOOGLE_WALK_KEY, PAGE_KEY
 from revlume.session import scratch_path, staged
 from revlume.sources.app_store import (
     page_quality, page_reviews, page_stats, parse_app_store, read_pages, with_page_stats,
@@ -165,6 +165,24 @@ def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def output_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs and their rows of a run with one file per platform and both kinds, and of a raw one."""
+    catalog, pages, batches = (
+        staged(view(spark, sf_dir), "layout")
+        for view in (views.app_catalog, views.app_store_pages, views.google_play_batches)
+    )
+    found = []
+    for mode, single in (("both", False), ("reviews", True)):
+        out = scratch_path(spark, "layout-out")
+        config = RunConfig(as_of=AS_OF, countries=tuple(COUNTRIES), output_mode=mode, single_file=single)
+        result = run(catalog, pages, batches, out, config, lexicon_scorer(spark, sf_dir, DEDUP_KEY))
+        for path in result.paths:
+            names = read_csv(spark, path, "review_date string, output_name string").groupBy("output_name")
+            found.append(names.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(mode).alias("mode"), "output_name", "n_rows"))
+    none = spark.createDataFrame([], "mode string, output_name string, n_rows long")
+    return union_all(none, *found)
+
+
 # ---- sources and sinks ----------------------------------------------------
 
 def app_store_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,6 +341,14 @@ def platform_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_by_platform(clean(spark, sf_dir), BOTH)
 
 
+def throughput_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews per second of each app, its seconds given; none where no time has passed."""
+    per_app = clean(spark, sf_dir).groupBy("app_id").agg(F.count(F.lit(1)).alias("total"))
+    seconds = F.expr("cast(substring(app_id, 5) as int) % 4 * 2.5D")
+    rate = F.round(throughput(F.col("total"), seconds), 6)
+    return per_app.select("app_id", "total", F.coalesce(rate, F.lit(-1.0)).alias("per_second"))
+
+
 def status_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run status where each country and month is a run of both platforms."""
     per_run = (
@@ -546,6 +572,16 @@ def lexicon_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "sentiment_score")
 
 
+def scorer_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores where a model is asked for that cannot be loaded: the lexicon takes over."""
+    def load():
+        raise OSError("no model on this machine")
+
+    scorer, backend = choose_scorer(views.word_lexicon(spark, sf_dir), ["doc_id"], load, TEST_RULES)
+    docs = views.documents(spark, sf_dir).select("doc_id", F.col("text").alias("review_text"))
+    return scorer(docs).select("doc_id", "sentiment_score", F.lit(backend).alias("backend"))
+
+
 def analyze_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = analyze_reviews(
         rated(spark, sf_dir), lexicon_scorer(spark, sf_dir, ["seq"])
@@ -558,27 +594,12 @@ def analyze_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- streaming ------------------------------------------------------------
 
 def stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys left by the incremental job over everything landed so far."""
-    documents = table(spark, sf_dir, "documents")
-    landed = (
-        spark.readStream.schema(documents.schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
-    )
-    rows = landed.select(
-        F.expr("concat('app-', n_chars div 100)").alias("app_id"),
-        F.expr("IF(doc_id % 2 = 0, 'App Store', 'Google Play Store')").alias("platform"),
-        F.col("lang").alias("country"),
-        F.expr("doc_id div 50").alias("page"),
-        F.expr("doc_id % 50").alias("entry_pos"),
-        F.expr(
-            f"timestamp_seconds({int(AS_OF.timestamp())} - (n_chars % 500) * 86400)"
-        ).alias("review_ts"),
-        clamp_star_rating(F.expr("n_chars % 8")).alias("star_rating"),
-        clean_text(F.col("text")).alias("review_text"),
-    ).withColumn("review_date", utc_date(F.col("review_ts")))
+    """Keys left by the incremental job over landed App Store pages, taken up in several micro-batches."""
+    landed = scratch_path(spark, "landed")
+    views.app_store_pages(spark, sf_dir).repartition(3, "app_id", "page").write.parquet(landed)
+    pages = spark.readStream.schema(APP_STORE_PAGES).option("maxFilesPerTrigger", 1).parquet(landed)
     path, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
-    kept = stream_dedup(rows, AS_OF).select(
+    kept = stream_dedup(parse_app_store(pages), AS_OF).select(
         "platform", "app_id", day("review_date"), "star_rating", "text_hash"
     )
     run_available(kept, path, checkpoint)
@@ -590,6 +611,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "collect_app_store": collect_app_store,
     "collect_google_play": collect_google_play,
     "full_run": full_run,
+    "output_layout": output_layout,
     "app_store_parse": app_store_parse,
     "app_store_parse_strict": app_store_parse_strict,
     "page_quality": page_quality_query,
@@ -611,6 +633,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batch_walk": batch_walk,
     "page_order": newest_first,
     "count_by_platform": platform_counts,
+    "throughput": throughput_query,
     "run_status": status_by_country,
     "sorted_output": sorted_output,
     "union_countries": union_countries,
@@ -631,6 +654,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "output_name": output_names,
     "lexicon_score": lexicon_query,
     "lexicon_score_join": lexicon_join_query,
+    "scorer_fallback": scorer_fallback,
     "analyze_reviews": analyze_query,
     "stream_dedup": stream_query,
 }

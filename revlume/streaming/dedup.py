@@ -16,15 +16,14 @@ STREAM_KEY = ["platform", "app_id", "review_day", "star_rating", "text_hash"]
 # A review's own day may lie one day off its instant, and rows exactly on the
 # watermark are late, so state is kept a little longer than the window.
 STATE_DAYS = WINDOW_DAYS + 2
-# Partitions one hot key is spread over before its copies meet.
-SALTS = 256
-# Fixed value: state backend for a year of keys; set before the stream starts.
+# Fixed value: state backend for a year of keys, on disk instead of in executor memory.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
 
 def stream_dedup(
     reviews: DataFrame, as_of: datetime, key: Sequence[str] = STREAM_KEY,
-    position: Sequence[str] = ("country", "page", "entry_pos"),
 ) -> DataFrame:
     """Streaming reviews inside the window, each key once.
 
@@ -32,18 +31,15 @@ def stream_dedup(
     part of the key, so keys older than the window leave the state.  Days after
     ``as_of`` do not move the watermark ahead of it.
 
-    Copies are first removed within salts taken from their ``position``, then
-    across salts, so one text that makes up much of the input is spread out.
+    State holds each key once.  The rows of one text meet in one task, but no
+    more of them than a micro-batch brings; ``maxFilesPerTrigger`` bounds it.
     """
     recent = with_text_hash(within_window(reviews, as_of))
     day = F.least(F.col("review_date"), F.lit(as_of.date()))
     keyed = recent.withColumn("review_day", day.cast("timestamp"))
     timed = keyed.withWatermark("review_day", f"{STATE_DAYS} days")
     # later days share one event time but stay apart in the key
-    whole_key = [*key, "review_date"]
-    spread = F.pmod(F.xxhash64(*position), F.lit(SALTS))
-    salted = timed.withColumn("_salt", spread).dropDuplicates([*whole_key, "_salt"])
-    return salted.drop("_salt").dropDuplicates(whole_key)
+    return timed.dropDuplicates([*key, "review_date"])
 
 
 def run_available(
@@ -51,15 +47,22 @@ def run_available(
 ) -> StreamingQuery:
     """Process what has landed, append it to ``path`` and stop.
 
-    Rerun with the same ``checkpoint`` to take up newly landed pages.
+    Rerun with the same ``checkpoint`` to take up newly landed pages.  Keys are
+    kept by RocksDB.
     """
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    conf = stream.sparkSession.conf
+    before = conf.get(PROVIDER)
+    conf.set(PROVIDER, ROCKSDB)
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        conf.set(PROVIDER, before)
     return query
