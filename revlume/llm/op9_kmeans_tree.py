@@ -34,9 +34,9 @@ K = 20
 SAMPLE_VALUES = 2_000_000
 BRANCHES = 8
 #: Rows of the whole table that a leaf is meant to hold.
-LEAF_ROWS = 400
+LEAF_ROWS = 2000
 CALIBRATION_QUERIES = 64
-TARGET_RECALL = 0.98
+TARGET_RECALL = 0.96
 TILE = 2048
 
 _OUT = "query_id long, rank int, vec_id long, score double"
