@@ -16,7 +16,7 @@ def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def _matched(rows: DataFrame, listed: DataFrame, on: list[str], how: str, hint: bool = False) -> DataFrame:
+def matched(rows: DataFrame, listed: DataFrame, on: list[str], how: str, hint: bool = False) -> DataFrame:
     """A join in which null equals null, as it does in windows and groups."""
     renamed = listed.select(*[F.col(c).alias(f"_on_{c}" if c in on else c) for c in listed.columns])
     same = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(renamed[f"_on_{c}"]) for c in on])
@@ -35,13 +35,13 @@ def _join(
     all rows does not end up in one task.
     """
     if fits(listed, max_broadcast_rows):
-        return _matched(rows, listed, on, how, hint=True)
+        return matched(rows, listed, on, how, hint=True)
     if not spread_by:
-        return _matched(rows, listed, on, how)
+        return matched(rows, listed, on, how)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS))
     every_salt = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
     copies = listed.withColumn("_salt", F.explode(every_salt))
-    return _matched(rows.withColumn("_salt", salt), copies, [*on, "_salt"], how).drop("_salt")
+    return matched(rows.withColumn("_salt", salt), copies, [*on, "_salt"], how).drop("_salt")
 
 
 def without(

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from revlume.functions import sentiment_label
+from revlume.operators.joins import MAX_BROADCAST_ROWS, fits, matched
 
 # Degree words and negations of English.
 INTENSIFIERS = (
@@ -142,41 +143,60 @@ def _mark(position: Column, raw: Column, lower: Column, known: Column, rules: Ru
         known["v"].alias("v"),
         known["b"].alias("b"),
         (F.coalesce(known["g"], F.lit(False)) | lower.contains("n't")).alias("g"),
-        ((raw != lower) & (raw == F.upper(raw))).alias("u"),
+        _in_capitals(raw, lower).alias("u"),
         (lower == rules.contrast).alias("k"),
     )
 
 
-def _marks_inline(text: Column, lookup, rules: Rules) -> Column:
-    found = F.transform(
-        words(text),
-        lambda t: F.struct(
-            t.alias("t"), F.lower(t).alias("l"), lookup(F.lower(t)).alias("e")
-        ),
-    )
-    return F.transform(found, lambda f, i: _mark(i, f["t"], f["l"], f["e"], rules))
+def _in_capitals(word: Column, lower: Column) -> Column:
+    return (word != lower) & (word == F.upper(word))
+
+
+def _acts_by_itself(lower: Column, rules: Rules) -> Column:
+    """Words that the rules act on whether or not the dictionary has them."""
+    return lower.contains("n't") | (lower == rules.contrast)
+
+
+def _marks_inline(tokens: Column, lowered: Column, lookup, rules: Rules) -> Column:
+    """Marks of the acting words only; nothing is built for the others."""
+    places = F.when(F.size(lowered) > 0, F.sequence(F.lit(0), F.size(lowered) - 1))
+
+    def acts(i: Column) -> Column:
+        lower = F.get(lowered, i)
+        return lookup(lower).isNotNull() | _acts_by_itself(lower, rules)
+
+    def mark(i: Column) -> Column:
+        lower = F.get(lowered, i)
+        return _mark(i, F.get(tokens, i), lower, lookup(lower), rules)
+
+    return F.transform(F.filter(places, acts), mark)
 
 
 def _marks_joined(
-    reviews: DataFrame, text: str, key: list[str], entries: DataFrame,
-    rules: Rules, salts: int = 64,
+    reviews: DataFrame, key: list[str], entries: DataFrame, rules: Rules,
+    salts: int = 64, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """``key`` and ``_words`` by joins, for a dictionary too large for the plan.
+    """``key`` and ``_marks`` by a join, for a dictionary too large for the plan.
 
-    The most frequent word may make up a large part of all words, so words are
-    spread over salts and the dictionary is repeated once per salt.
+    A dictionary of up to ``max_broadcast_rows`` words is broadcast, so words
+    are not shuffled.  Beyond that they are spread over salts, as the most
+    frequent word may be a large part of all words, and the dictionary is
+    repeated once per salt.  Either way only acting words are gathered again.
     """
-    tokens = reviews.select(
-        *key, F.posexplode(words(F.col(text))).alias("pos", "t")
-    ).withColumn("l", F.lower("t"))
-    tokens = tokens.withColumn("salt", F.pmod(F.xxhash64(*key, "pos"), F.lit(salts)))
-    every_salt = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-    copies = entries.withColumn("salt", F.explode(every_salt))
+    tokens = reviews.select(*key, F.posexplode("_tokens").alias("pos", "t")).withColumn("l", F.lower("t"))
+    listed = entries.withColumnRenamed("tok", "l")
+    if fits(listed, max_broadcast_rows):
+        joined = tokens.join(F.broadcast(listed), "l", "left")
+    else:
+        tokens = tokens.withColumn("salt", F.pmod(F.xxhash64(*key, "pos"), F.lit(salts)))
+        every_salt = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+        joined = tokens.join(listed.withColumn("salt", F.explode(every_salt)), ["l", "salt"], "left")
     known = F.struct("v", "b", "g")
-    joined = tokens.join(copies.withColumnRenamed("tok", "l"), ["l", "salt"], "left")
+    acting = F.col("v").isNotNull() | F.col("b").isNotNull() | F.col("g") | _acts_by_itself(F.col("l"), rules)
     mark = _mark(F.col("pos"), F.col("t"), F.col("l"), known, rules)
-    # one group is one text, so its size is that of the text itself
-    return joined.groupBy(*key).agg(F.array_sort(F.collect_list(mark)).alias("_words"))
+    # one group is the acting words of one text
+    gathered = joined.where(acting).groupBy(*key).agg(F.array_sort(F.collect_list(mark)).alias("_marks"))
+    return gathered
 
 
 def _contribution(marks: Column, j: Column, mixed_case: Column, rules: Rules) -> Column:
@@ -276,27 +296,19 @@ def lexicon_score(
     body = F.coalesce(F.col(text), F.lit(""))
     # reads one row more than may travel inline, never the whole of a large table
     few = entries.withColumn("hash", F.xxhash64("tok")).take(rules.max_inline_words + 1)
+    cut = reviews.withColumn("_tokens", words(body))
+    capitals = lambda t: _in_capitals(t, F.lower(t))
+    # Facts about the whole text, worked out once and not again per word.
+    mixed = F.exists("_tokens", capitals) & F.exists("_tokens", lambda t: ~capitals(t))
+    cut = cut.withColumn("_mixed", mixed)
     if len(few) <= rules.max_inline_words:
-        marked = reviews.withColumn(
-            "_words", _marks_inline(body, _inline_lookup(few), rules)
-        )
+        cut = cut.withColumn("_lowered", F.transform("_tokens", F.lower))
+        acting = _marks_inline(F.col("_tokens"), F.col("_lowered"), _inline_lookup(few), rules)
+        known = cut.withColumn("_marks", acting).drop("_tokens", "_lowered")
     else:
-        marks = _marks_joined(reviews, text, key, entries, rules)
-        marked = reviews.join(marks, key, "left")
-    # Facts about the whole text, worked out once and not again per word, and
-    # those few words that the rules act on.
-    all_words = F.col("_words")
-    acting = F.filter(
-        all_words,
-        lambda m: m["v"].isNotNull() | m["b"].isNotNull() | m["g"] | m["k"],
-    )
-    known = marked.withColumns(
-        {
-            "_mixed": F.exists(all_words, lambda m: m["u"])
-            & F.exists(all_words, lambda m: ~m["u"]),
-            "_marks": acting,
-        }
-    ).drop("_words")
+        # the key is matched as it is grouped: null equals null
+        marks = _marks_joined(cut, key, entries, rules)
+        known = matched(cut.drop("_tokens"), marks, key, "left")
     turned = known.withColumn(
         "_turn", F.get(F.filter("_marks", lambda m: m["k"]), F.lit(0))["i"]
     )
