@@ -26,10 +26,10 @@ MAX_REPEAT = 3
 BLOCK_WORDS = 2048
 #: Lattice points that one task row unfolds.
 CHUNK = 4096
-#: Hexadecimal digits of the shuffle order that make a bucket: 65,536 buckets to a source.
-BUCKET_DIGITS = 4
+#: Hexadecimal digits of the shuffle order that make a bucket: 4,096 buckets to a source.
+BUCKET_DIGITS = 3
 #: Bits of a slot number that make a bucket of slots.
-SLOT_BUCKET_BITS = 16
+SLOT_BUCKET_BITS = 12
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
