@@ -237,6 +237,26 @@ def test_near_duplicates_by_similarity(spark):
     assert order(map(tuple, got)) == order(near_groups([(i, t) for i, t, _, _ in rows]))
 
 
+def test_the_rim_of_a_crowd_is_linked_through_its_centre(spark):
+    """Members with a few changes each, and some that only the unchanged text is like enough to."""
+    random = np.random.default_rng(4)
+    base = sentence(77, 150).split()
+
+    def changed(k, n):
+        words = list(base)
+        for j, at in enumerate(random.choice(np.arange(0, 150, 6), n, replace=False)):
+            words[at] = f"new{k}x{j}"
+        return " ".join(words)
+
+    rows = [(0, " ".join(base), "en", "s"), (1, changed(1, 1), "en", "s")]
+    rows += [(k, changed(k, 2 if k % 2 else 3), "en", "s") for k in range(2, 120)]
+    rows += [(k, changed(k, 4), "en", "s") for k in range(120, 140)]
+    got = op7.deduplicate(documents(spark, rows)).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    want = near_groups([(i, t) for i, t, _, _ in rows])
+    assert sum(not r[3] for r in want) > 100
+    assert order(map(tuple, got)) == order(want)
+
+
 def test_components_of_long_chains_and_stars(spark):
     name = lambda k: k.to_bytes(16, "big")
     pairs = [(k, k + 1) for k in range(1000, 1060)] + [(1, k) for k in range(2, 50)] + [(500, 501)]
