@@ -7,6 +7,7 @@ from revlume.llm import (
     op10_recompression_dedup as op10,
     op2_suffix_decontamination as op2,
     op3_attention_quality as op3,
+    op4_license_digests as op4,
     op5_char_nb_toxicity as op5,
     op6_secret_index as op6,
     op7_lsh_forest as op7,
@@ -18,6 +19,7 @@ QUERIES = {
     "op1_source_mix": op1.op1_source_mix,
     "op2_suffix_decontamination": op2.op2_suffix_decontamination,
     "op3_attention_quality": op3.op3_attention_quality,
+    "op4_license_digests": op4.op4_license_digests,
     "op5_char_nb_toxicity": op5.op5_char_nb_toxicity,
     "op6_secret_index": op6.op6_secret_index,
     "op7_lsh_forest": op7.op7_lsh_forest,
@@ -29,6 +31,7 @@ QUERIES = {
 ORACLE = {
     "op1_source_mix": op1.OP1_SQL,
     "op2_suffix_decontamination": op2.OP2_SQL,
+    "op4_license_digests": op4.OP4_SQL,
     "op6_secret_index": op6.OP6_SQL,
     "op10_recompression_dedup": op10.OP10_SQL,
 }
