@@ -11,6 +11,7 @@ from revlume.llm import (
     op1_source_mix as op1,
     op2_suffix_decontamination as op2,
     op3_attention_quality as op3,
+    op4_license_digests as op4,
     op5_char_nb_toxicity as op5,
     op6_secret_index as op6,
     op7_lsh_forest as op7,
@@ -180,6 +181,28 @@ def test_labels_of_the_held_out_fold_are_not_learnt(spark):
     assert order(map(tuple, a.collect())) == order(map(tuple, b.collect()))
 
 
+# Licences
+
+
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_licenses(spark, docs, empty, bound):
+    notice = "Copyright 2019 A. Nother\n(c) someone\n  Released under the M.I.T. Licence!  "
+    rows = [
+        (1, "Released   under the MIT\nlicence", "en", "s"), (2, notice.replace("M.I.T.", "MIT"), "en", "s"),
+        (3, "text before\nReleased under the MIT License.\nLicensed under CC BY 4.0\nafter", "en", "s"),
+        (4, "Released under the MIT License. And more", "en", "s"), (5, None, "en", "s"), (6, " \n-- ", "en", "s"),
+    ]
+    rows += [(10 + k, rows[2][1], "en", "s") for k in range(5)]
+    found = op4.find_licenses(documents(spark, rows), op4.built_in(spark), bound).collect()
+    got = {r.doc_id: (r.license, r.n_lines, r.notices) for r in found}
+    assert got[1] == ("MIT", 0, "") and got[2] == ("MIT", 1, "MIT")
+    assert {got[k] for k in (3, 10, 11, 12, 13, 14)} == {(None, 2, "CC-BY-4.0,MIT")}
+    assert {got[k] for k in (4, 5, 6)} == {(None, 0, "")} and len(found) == len(rows)
+    plain = op4.find_licenses(docs, op4.built_in(spark), bound).collect()
+    assert len(plain) == len(PLAIN) and all(r.n_lines == 0 for r in plain)
+    assert op4.find_licenses(empty, op4.built_in(spark)).count() == 0
+
+
 # Secrets
 
 

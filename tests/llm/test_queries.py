@@ -17,6 +17,7 @@ CONTRACT = {
     "op1_source_mix": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op2_suffix_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
     "op3_attention_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op4_license_digests": "doc_id bigint, license string, n_lines bigint, notices string",
     "op5_char_nb_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op6_secret_index": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
     "op7_lsh_forest": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
