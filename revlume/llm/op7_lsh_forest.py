@@ -5,12 +5,13 @@ Every class gets minimum hashes; each tree of the forest is an order of the clas
 them.  In that order the classes that follow a class share the longest prefixes with it: they are its
 candidates, nearest first.  Depth adapts to the region: where few classes share a first hash all of
 them are candidates, in a crowded region only those that agree further down.  A class stops looking in
-a tree once it has met ``ENOUGH`` classes that look like clear links, so a crowd of near copies gives
-each member a few candidates and never all pairs.
+a tree once it has met ``ENOUGH`` classes that look like clear links, so a crowd
+of near copies gives each member a few candidates and never all pairs.
 
 Candidates whose signatures are far apart are left out, the rest are confirmed on whole sets, and the
-components of the confirmed links are found by hooking and pointer jumping.  Every stage that is used
-twice is a written table.
+components of the confirmed links are found by hooking and pointer jumping.  A class that was compared
+with members of another component in vain is compared with its centres as well.  Every stage that is
+used twice is a written table.
 
 Defined results: a null text, or one without words, has no shingles and is a component of its own;
 fewer than five words are one shingle; a null id takes part, and its component is the smallest id of
@@ -38,9 +39,11 @@ LINK = 75
 TREES, DEPTH = 12, 8
 HASHES = TREES * DEPTH
 #: Classes that a class looks at in each tree, and clear links after which it stops.
-REACH, ENOUGH = 16, 2
+REACH, ENOUGH = 12, 2
 #: Share of equal hashes below which a pair is no candidate (4 deviations under LINK), and of a clear link.
 LEAST_EQUAL, CLEAR = 0.58, 0.82
+#: Members of a component that stand for it where a class was compared with others in vain.
+CENTRES = 4
 MAX_BROADCAST_ROWS = 500_000
 
 _random = np.random.default_rng(20)
@@ -151,12 +154,14 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = []
+        good, similar = [], []
         for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             good.append(100 * both >= LINK * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            similar.append(both / (len(x) + len(y) - both))
+        rows = [batch.column("a"), batch.column("b"), pa.array(similar, pa.float64())]
+        yield pa.RecordBatch.from_arrays(rows, names=["a", "b", "similarity"]).filter(pa.array(good, pa.bool_()))
 
 
 def signed_documents(docs: DataFrame) -> DataFrame:
@@ -180,18 +185,63 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     return staged(rows.mapInArrow(_neighbours, "a binary, b binary").distinct(), "op7-pairs")
 
 
-def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are similar enough; ``classes`` has ``name``, ``key`` and ``rep``."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+def whole_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``name`` and ``shingles`` of all classes in ``pairs``; ``classes`` has ``name``, ``key`` and ``rep``."""
+    named = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
     wanted = staged(classes.join(named, "name", "left_semi").select("key", "rep"), "op7-wanted")
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
     listed = F.broadcast(wanted) if fits(wanted, MAX_BROADCAST_ROWS) else wanted
     rows = rows.join(listed, ["key"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("text")
-    sets = staged(rows.mapInArrow(_whole_sets, "name binary, shingles binary").dropDuplicates(["name"]), "op7-sets")
+    return staged(rows.mapInArrow(_whole_sets, "name binary, shingles binary").dropDuplicates(["name"]), "op7-sets")
+
+
+def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose whole sets are similar enough, with their similarity."""
     left = sets.select(F.col("name").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("name").alias("b"), F.col("shingles").alias("right"))
-    return staged(pairs.join(left, "a").join(right, "b").mapInArrow(_confirmed, "a binary, b binary"), "op7-links")
+    joined = pairs.join(left, "a").join(right, "b")
+    return staged(joined.mapInArrow(_confirmed, "a binary, b binary, similarity double"), "op7-links")
+
+
+def rim_pairs(pairs: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of a class and the centres of a component that it was compared with in vain.
+
+    In a crowd most members are less like an outlying class than the centre is, and the candidates may
+    have been such members.  The centres are the ``CENTRES`` members most like those they are linked to.
+    """
+    ends = links.select(F.col("a").alias("node"), "similarity").union(links.select("b", "similarity"))
+    scores = ends.groupBy("node").agg(F.avg("similarity").alias("score"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    best = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "node"))
+    centres = scores.join(labels, "node").withColumn("place", best).where(F.col("place") <= CENTRES)
+    centres = centres.groupBy("label").agg(F.collect_list("node").alias("centres"))
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    tried = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    tried = tried.where(~F.col("a_label").eqNullSafe(F.col("b_label")))
+    outside = tried.select(F.col("a").alias("x"), F.col("a_label").alias("own"), F.col("b_label").alias("label")).union(
+        tried.select("b", "b_label", "a_label")
+    )
+    # Of two components, the classes of the smaller one are compared with the centres of the larger.
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    outside = with_attributes(outside.where("label is not null").distinct(), sizes, ["label"], ["x"])
+    own = sizes.select(F.col("label").alias("own"), F.col("members").alias("own_members"))
+    outside = with_attributes(outside, own, ["own"], ["x"])
+    smaller = F.coalesce("own_members", F.lit(1)) <= F.col("members")
+    outside = staged(outside.where(smaller).select("x", "label"), "op7-rim")
+    met = with_attributes(outside, centres, ["label"], ["x"]).select("x", F.explode("centres").alias("y"))
+    return staged(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "op7-rim-pairs")
+
+
+def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels`` after further links, whose components are found over the labels alone."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    ends = more.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = ends.select("a", "b", F.coalesce("a_label", "a").alias("p"), F.coalesce("b_label", "b").alias("q"))
+    over = components(ends.select(F.col("p").alias("a"), F.col("q").alias("b")).where("a != b").distinct())
+    over = over.withColumnRenamed("label", "top").withColumnRenamed("node", "label")
+    alone = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct().join(labels, "node", "left_anti")
+    known = labels.unionByName(alone.withColumn("label", F.col("node")))
+    return with_attributes(known, over, ["label"], ["node"]).select("node", F.coalesce("top", "label").alias("label"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -230,8 +280,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
     classes = known.groupBy("name").agg(least, F.min("signature").alias("signature"))
     classes = staged(classes.select("name", "signature", "least.key", F.col("least.doc_id").alias("rep")), "op7-classes")
-    links = confirm(docs, classes, candidate_pairs(classes))
-    labels = components(links).withColumnRenamed("node", "name")
+    pairs = candidate_pairs(classes)
+    sets = whole_sets(docs, classes, pairs)
+    links = confirm(sets, pairs)
+    labels = components(links)
+    more = confirm(sets, rim_pairs(pairs, links, labels))
+    if not more.isEmpty():
+        labels = staged(merged(labels, more), "op7-merged")
+    labels = labels.withColumnRenamed("node", "name")
     grouped = staged(labels.join(classes.select("name", "rep"), "name"), "op7-grouped")
     smallest = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
     linked = with_attributes(grouped, smallest, ["label"], ["name"]).select("name", "component_id")
