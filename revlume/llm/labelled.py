@@ -16,8 +16,9 @@ def training_sample(
     """``text``, ``y`` of a bounded sample of documents outside the held-out fold, and all label counts.
 
     Each class gives its first rows by hash of the id, at most ``per_class``.  Null labels and ids count
-    for nothing; a document with several labels has the one that most of them give, 1 on a tie.  Texts
-    above ``max_chars`` are not learnt from, so the sample's size has a bound.
+    for nothing; a document with several labels has the one that most of them give, 1 on a tie.  An id that
+    stands in ``docs`` several times gives one text, the first by hash.  Texts above ``max_chars`` are not
+    learnt from, so the sample's size has a bound.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1))
     known = known.where(fold(F.col("doc_id"), folds) != held_out)
@@ -28,7 +29,9 @@ def training_sample(
     chosen = parts[0]
     for part in parts[1:]:
         chosen = chosen.unionByName(part)
-    # No more rows than the classes may give.
+    # One text of each chosen id: a class has no more rows than ids, and repeated rows displace nothing.
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
-    sample = texts.join(F.broadcast(chosen), "doc_id").orderBy("y", *order, "text").limit(sum(per_class.values()))
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).getField("text").alias("text")
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(least)
+    sample = sample.orderBy("y", *order, "text").limit(sum(per_class.values()))
     return sample.select("text", "y"), counts

@@ -19,6 +19,7 @@ from revlume.llm import (
     op9_kmeans_tree as op9,
     op10_recompression_dedup as op10,
 )
+from revlume.llm.labelled import training_sample
 from tests.llm.awkward import ascii_lower, documents, near_groups, order, sentence, split_words, texts, without_repeats
 
 PLAIN = [(i, t) for i, t, _, _ in texts()]
@@ -181,6 +182,17 @@ def test_labels_of_the_held_out_fold_are_not_learnt(spark):
     assert order(map(tuple, a.collect())) == order(map(tuple, b.collect()))
 
 
+def test_repeated_documents_displace_no_class_of_a_sample(spark):
+    rows, labels = labelled(spark, "quality")
+    hot = documents(spark, [(4, f"copy {k}", "en", "s") for k in range(50)])
+    several = rows.unionAll(rows).unionAll(rows).unionAll(hot)
+    sample, counts = training_sample(several, labels, "quality", 4, 2, {0: 20, 1: 30}, 1000)
+    assert Counter(r.y for r in sample.collect()) == {0: 20, 1: 30} and min(counts.values()) > 50
+    once, _ = training_sample(rows, labels, "quality", 4, 2, {0: 20, 1: 30}, 1000)
+    differ = set(map(tuple, sample.collect())) ^ set(map(tuple, once.collect()))
+    assert all(t.startswith("copy ") or t == rows.where("doc_id = 4").first().text for t, _ in differ)
+
+
 # Licences
 
 
