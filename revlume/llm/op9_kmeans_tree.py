@@ -7,13 +7,14 @@ comes from bounded calibration queries whose true neighbours are found by brute
 is widened until the target recall is reached.
 
 Queries meet the rows of their leaves in tiles of bounded size (``TILE`` rows by ``TILE`` queries), so
-neither a large leaf nor a leaf that many queries visit lands in one task.  Of rows with the same vector
-only the ``k + 1`` with the smallest ids are indexed; any other has at least ``k`` better candidates for
-every query, so nothing is lost.
+neither a large leaf nor a leaf that many queries visit lands in one task.  Repeated rows are one.  Of
+rows with the same vector only the ``k + 1`` with the smallest ids are indexed; any other has at least
+``k`` better ids for every query, so nothing is lost.  Wherever the best are cut, ids are counted.
 
 Defined results: rows with a null id, and vectors that are null, empty, zero, or hold null or non-finite
 components, take no part, nor do vectors of another length than the most common one (the shorter on a
-tie); a row with the query's id is the query's own; a query id that is repeated with different vectors
+tie); a row with the query's id is the query's own; an id with several vectors counts once, by its best
+one; a query id that is repeated with different vectors
 is searched with the first of them in order; an empty table gives an empty result.
 """
 
@@ -139,13 +140,19 @@ def _top(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _scored(queries: np.ndarray, points: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int):
-    """The ``k`` best of each query: ids and scores, best first and ties to the smaller id.
+    """The ``k`` best ids of each query: their rows and scores, best first and ties to the smaller id.
 
     A product of matrices selects; what it selects is summed anew in one fixed order, so equal vectors
     have equal scores wherever they stand.
     """
     rough = queries @ points.T
     rough[query_ids[:, None] == ids[None, :]] = -np.inf
+    different, place = np.unique(ids, return_inverse=True)
+    repeated = len(different) < len(ids)
+    if repeated:
+        # One column an id, with its best row.
+        by_id = np.argsort(place, kind="stable")
+        rough = np.maximum.reduceat(rough[:, by_id], np.searchsorted(place[by_id], np.arange(len(different))), axis=1)
     columns = _top(rough, k)
     if rough.shape[1] > columns.shape[1]:
         # More ties at the edge than were selected are settled over all columns.
@@ -157,9 +164,17 @@ def _scored(queries: np.ndarray, points: np.ndarray, query_ids: np.ndarray, ids:
     for q in range(len(queries)):
         at = np.flatnonzero(rough[q] >= -edge[q] - slack[q]) if q in crowded else columns[q]
         at = at[np.isfinite(rough[q, at])]
+        if repeated:
+            at = np.flatnonzero(np.isin(place, at))
         exact = np.ascontiguousarray(points[at] * queries[q]).sum(axis=1)
-        order = np.lexsort((ids[at], -exact))[:k]
-        yield q, ids[at][order], exact[order]
+        order = _best_ids(ids[at], exact, k)
+        yield q, at[order], exact[order]
+
+
+def _best_ids(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """The places of the ``k`` best different ids, each with its best score."""
+    order = np.lexsort((ids, -scores))
+    return order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]
 
 
 def _truth(held, k: int):
@@ -171,9 +186,9 @@ def _truth(held, k: int):
             if not batch.num_rows:
                 continue
             points, ids = _matrix(batch.column("v")), batch.column("vec_id").to_numpy()
-            leaf = dict(zip(ids.tolist(), tree.assign(points).tolist(), strict=True))
+            leaf = tree.assign(points)
             rows = [
-                (int(query_ids[q]), int(i), float(s), leaf[int(i)])
+                (int(query_ids[q]), int(ids[i]), float(s), int(leaf[i]))
                 for q, best, scores in _scored(queries, points, query_ids, ids, k)
                 for i, s in zip(best, scores, strict=True)
             ]
@@ -216,7 +231,7 @@ def _tile(k: int):
         return pa.table(
             {
                 "query_id": pa.array([int(query_ids[q]) for q, _, _ in best], pa.int64()),
-                "ids": pa.array([i.tolist() for _, i, _ in best], pa.list_(pa.int64())),
+                "ids": pa.array([ids[i].tolist() for _, i, _ in best], pa.list_(pa.int64())),
                 "scores": pa.array([s.tolist() for _, _, s in best], pa.list_(pa.float64())),
             }
         )
@@ -230,15 +245,14 @@ def _merge(k: int):
     def run(tiles: pa.Table) -> pa.Table:
         ids = tiles.column("ids").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         scores = tiles.column("scores").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        ids, first = np.unique(ids, return_index=True)  # an id that is repeated counts once
-        order = np.lexsort((ids, -scores[first]))[:k]
+        order = _best_ids(ids, scores, k)
         n = len(order)
         return pa.table(
             {
                 "query_id": pa.array(np.full(n, tiles.column("query_id")[0].as_py()), pa.int64()),
                 "rank": pa.array(np.arange(1, n + 1), pa.int32()),
                 "vec_id": pa.array(ids[order], pa.int64()),
-                "score": pa.array(scores[first][order], pa.float64()),
+                "score": pa.array(scores[order], pa.float64()),
             }
         )
 
@@ -254,6 +268,7 @@ def calibrate(rows: DataFrame, queries: DataFrame, tree: Tree, k: int, target: f
     vectors, ids = np.array([r.v for r in chosen]), np.array([r.query_id for r in chosen])
     held = spark.sparkContext.broadcast((tree, vectors, ids))
     near = rows.mapInArrow(_truth(held, k), "query_id long, vec_id long, score double, leaf long")
+    near = near.groupBy("query_id", "vec_id").agg(F.max(F.struct("score", "leaf")).alias("best")).select("query_id", "vec_id", "best.*")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     truth = near.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "leaf").collect()
     order = {int(i): {leaf: n for n, leaf in enumerate(tree.visit(v, tree.leaves))} for i, v in zip(ids, vectors, strict=True)}
@@ -274,10 +289,10 @@ def search(
     queries = rows.where(is_query).withColumn("n", F.row_number().over(first)).where("n = 1")
     queries = staged(queries.select(F.col("vec_id").alias("query_id"), "v"), "op9-queries")
     copies = Window.partitionBy("v").orderBy("vec_id")
-    rows = staged(rows.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).drop("n"), "op9-rows")
+    rows = staged(rows.distinct().withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).drop("n"), "op9-rows")
 
     count = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(64, SAMPLE_VALUES // size)).toArrow()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(max(64, SAMPLE_VALUES // size)).toArrow()
     tree = Tree(_matrix(sample.column("v")), count, leaf_rows)
     leaves = calibrate(rows, queries, tree, k, target)
 

@@ -404,6 +404,28 @@ def test_neighbours_ties_and_small_tables(spark):
     assert op9.search(spark.createDataFrame([], table.schema), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """Every row twice, one of a group of equal vectors 30 times, and an id that has several vectors."""
+    table, rows = vectors(spark, 400, 8)
+    same = [(k, [9.0] * 8) for k in range(1000, 1100)]
+    several = [(2000, [float(j % 7), 12.0 - j % 5, 1.0 * j, 3.0, 1.0, 2.0, 3.0, 4.0]) for j in range(40)]
+    every = [*rows, *rows, *same, *same, *same[:1] * 28, *several]
+    table = spark.createDataFrame(every, table.schema)
+    queries = [*range(0, 400, 20), 1000, 1050]
+    got = defaultdict(list)
+    for r in op9.search(table, F.col("vec_id").isin(queries), leaf_rows=100, target=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    points = dict(rows + same)
+    for q in queries:
+        best = {}
+        for i, v in every:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), float(np.dot(points[q], v)))
+        want = sorted(best.items(), key=lambda x: (-round(x[1], 6), x[0]))[:20]
+        assert [i for i, _ in got[q]] == [i for i, _ in want]
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want], abs=1e-6)
+
+
 # Repeated passages
 
 
