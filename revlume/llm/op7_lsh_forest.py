@@ -8,9 +8,14 @@ them are candidates, in a crowded region only those that agree further down.  A
 a tree once it has met ``ENOUGH`` classes that look like clear links, so a crowd
 of near copies gives each member a few candidates and never all pairs.
 
+That pass only comes first.  What it left out is made up at the end: all classes that share a first hash
+in a tree are compared, in blocks, unless they are in one component by then.  So neither the reach nor the
+borders of partitions decide on a link; a pair is missed only where it shares none of the ``TREES`` first
+hashes or its sketches are unlike (``LEAST_EQUAL``).
+
 Candidates whose signatures are far apart are left out, the rest are confirmed on whole sets, and the
 components of the confirmed links are found by hooking and pointer jumping.  A class that was compared
-with members of another component in vain is compared with its centres as well.  Every stage that is
+with members of another component in vain is compared with its centres before the rest.  Every stage that is
 used twice is a written table.
 
 Defined results: a null text, or one without words, has no shingles and is a component of its own;
@@ -22,11 +27,12 @@ result; extra columns are ignored or carried unchanged.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from revlume.llm.cluster import ship
 from revlume.llm.words import LOWER, NOT_SPACE, find_words, pieces, runs_print, text_bytes, word_prints
@@ -44,6 +50,8 @@ REACH, ENOUGH = 12, 2
 LEAST_EQUAL, CLEAR = 0.58, 0.82
 #: Members of a component that stand for it where a class was compared with others in vain.
 CENTRES = 4
+#: Classes of a region in one block; every two blocks meet in one place.
+BLOCK = 1024
 MAX_BROADCAST_ROWS = 500_000
 
 _random = np.random.default_rng(20)
@@ -138,6 +146,54 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([_names(a), _names(b)], names=["a", "b"])
 
 
+def _unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs to confirm among the classes of different components that meet in one tile; sorted by tile."""
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        if batch is not None:
+            numbers = np.stack([batch.column(c).to_numpy() for c in ("region", "low", "high", "block")], axis=1)
+            names = (_fixed(batch.column(c), 16, "S16")[:, 0] for c in ("name", "label"))
+            rows = (numbers, *names, _fixed(batch.column("sketch"), HASHES, "u1"))
+            if held is not None:
+                rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
+        elif held is not None:
+            rows = held
+        else:
+            return
+        numbers = rows[0]
+        tile = np.concatenate([[0], np.cumsum((numbers[1:, :3] != numbers[:-1, :3]).any(axis=1))])
+        # The last tile may go on in the next batch.
+        end = len(tile) if batch is None else int(np.searchsorted(tile, tile[-1]))
+        held = tuple(x[end:].copy() for x in rows)
+        yield from _unlike_in_tiles(tile[:end], *(x[:end] for x in rows))
+
+
+def _unlike_in_tiles(
+    tile: np.ndarray, numbers: np.ndarray, name: np.ndarray, label: np.ndarray, sketch: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    label = np.unique(label, return_inverse=True)[1]
+    inside, block = numbers[:, 1] == numbers[:, 2], numbers[:, 3]
+    left, right, held = [], [], 0
+    i, d = np.arange(len(tile)), 0
+    while len(i):
+        d += 1
+        i = i[i + d < len(tile)]
+        i = i[tile[i] == tile[i + d]]
+        p = i[(label[i] != label[i + d]) & (inside[i] | (block[i] != block[i + d]))]
+        p = p[(sketch[p] == sketch[p + d]).mean(axis=1) >= LEAST_EQUAL] if len(p) else p
+        left.append(name[p])
+        right.append(name[p + d])
+        held += len(p)
+        if held and (held > 50_000 or not len(i)):
+            a, b = np.concatenate(left), np.concatenate(right)
+            swap = a > b
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            yield pa.RecordBatch.from_arrays([_names(a), _names(b)], names=["a", "b"])
+            left, right, held = [], [], 0
+
+
 def _names(values: np.ndarray) -> pa.Array:
     wide = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), 16)
     return pa.array([row.tobytes() for row in wide], pa.binary())
@@ -172,10 +228,14 @@ def signed_documents(docs: DataFrame) -> DataFrame:
     return staged(rows.mapInArrow(_signed, f"doc_id {kind}, key long, n_shingles long, name binary, signature binary"), "op7-signed")
 
 
+def _sketch() -> Column:
+    """The last byte of each hash."""
+    return F.unhex(F.expr(f"array_join(transform(sequence(0, {HASHES - 1}), i -> hex(substring(signature, i * 4 + 4, 1))), '')"))
+
+
 def candidate_pairs(classes: DataFrame) -> DataFrame:
     """Pairs of classes to confirm; ``classes`` has ``name`` and ``signature``."""
-    sketch = F.expr(f"array_join(transform(sequence(0, {HASHES - 1}), i -> hex(substring(signature, i * 4 + 4, 1))), '')")
-    rows = classes.select("name", "signature", F.unhex(sketch).alias("sketch"))
+    rows = classes.select("name", "signature", _sketch().alias("sketch"))
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = rows.select("name", "signature", "sketch", tree)
     prefix = F.expr(f"substring(signature, tree * {4 * DEPTH} + 1, {4 * DEPTH})")
@@ -232,6 +292,31 @@ def rim_pairs(pairs: DataFrame, links: DataFrame, labels: DataFrame) -> DataFram
     return staged(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "op7-rim-pairs")
 
 
+def untried_pairs(classes: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
+    """All other pairs to confirm: a first hash in common, sketches alike, not ``tried`` and not in one component.
+
+    The classes of a region (one tree and first hash) are dealt to blocks and every two blocks meet in one
+    tile, so no region lands in one task.  Regions of one component alone are left out.
+    """
+    rows = classes.select("name", "signature").join(labels.withColumnRenamed("node", "name"), "name", "left")
+    rows = staged(rows.select("name", F.coalesce("label", "name").alias("label"), "signature", _sketch().alias("sketch")), "op7-labelled")
+    # 64 bits name a region; two regions of one name would only meet in vain.
+    region = F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(signature, t * {4 * DEPTH} + 1, 4)))")
+    rows = rows.select("name", "label", "sketch", F.explode(region).alias("region"))
+    regions = rows.groupBy("region").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("label").alias("least"), F.max("label").alias("most")
+    )
+    regions = staged(regions.where("least != most").select("region", "blocks"), "op7-regions")
+    rows = rows.join(F.broadcast(regions) if fits(regions, MAX_BROADCAST_ROWS) else regions, "region")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    tile = ["region", "low", "high"]
+    rows = rows.select("region", low, high, "block", "name", "label", "sketch").repartition(*tile).sortWithinPartitions(*tile)
+    found = rows.mapInArrow(_unlike, "a binary, b binary").distinct()
+    return staged(found.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "op7-untried")
+
+
 def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
     """``labels`` after further links, whose components are found over the labels alone."""
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
@@ -284,9 +369,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     sets = whole_sets(docs, classes, pairs)
     links = confirm(sets, pairs)
     labels = components(links)
-    more = confirm(sets, rim_pairs(pairs, links, labels))
+    rim = rim_pairs(pairs, links, labels)
+    more = confirm(sets, rim)
     if not more.isEmpty():
         labels = staged(merged(labels, more), "op7-merged")
+    rest = untried_pairs(classes, labels, pairs.select("a", "b").union(rim.select("a", "b")))
+    if not rest.isEmpty():
+        more = confirm(whole_sets(docs, classes, rest), rest)
+        if not more.isEmpty():
+            labels = staged(merged(labels, more), "op7-merged")
     labels = labels.withColumnRenamed("node", "name")
     grouped = staged(labels.join(classes.select("name", "rep"), "name"), "op7-grouped")
     smallest = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
