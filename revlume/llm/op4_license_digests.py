@@ -5,6 +5,9 @@ one, and everything but letters and digits turned into single blanks.  Its SHA-2
 digests of known licences.  Entire texts are looked up, and so is every line by itself, which finds
 one-line notices inside longer documents.
 
+The entire texts are files in ``licenses``.  A line that begins with "copyright" is dropped even inside a
+text, so a text wrapped so that one begins with it in another place than in the listed forms is not found.
+
 Only DataFrame functions are used.  Known licences are broadcast up to a counted bound.  Only matching
 lines are gathered, by the hash of their text, so copies of a document meet as one entry.
 
@@ -15,6 +18,9 @@ ignored.
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from revlume.operators.joins import fits
@@ -41,6 +47,52 @@ NOTICES = {
     ),
 }
 
+# Beyond what the SQL lists: equivalent spellings, names for notices, and titles that entire texts may have.
+MORE_SPELLINGS = {
+    "authorisation": "authorization", "recognising": "recognizing", "utilis": "utiliz", "realis": "realiz",
+    "analyse": "analyze", "analogue": "analog", "artefact": "artifact", "acknowledgement": "acknowledgment",
+    "cancelled": "canceled", "catalogue": "catalog", "centre": "center", "favour": "favor", "fulfill": "fulfil",
+    "judgement": "judgment", "labour": "labor", "labelling": "labeling", "modelling": "modeling", "offence": "offense",
+    "practise": "practice", "programme": "program", "whilst": "while", "willful": "wilful", "sub-license": "sublicense",
+    "sub license": "sublicense", "non-commercial": "noncommercial", "non commercial": "noncommercial",
+    "per cent": "percent", "copyright owner": "copyright holder", "https": "http",
+}
+NAMES = {
+    "0BSD": ("0BSD License", "BSD Zero Clause License"),
+    "AGPL-3.0": ("AGPL-3.0", "AGPLv3", "GNU Affero General Public License, version 3"),
+    "Apache-2.0": ("Apache-2.0", "Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License"),
+    "Artistic-2.0": ("Artistic License 2.0",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"),
+    "BSL-1.0": ("Boost Software License 1.0", "Boost Software License, Version 1.0"),
+    "CC-BY-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-ND-4.0": ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "CC-BY-SA-3.0": ("CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 3.0 Unported License"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC0-1.0": ("CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License, Version 2.0"),
+    "GPL-2.0": ("GPL-2.0", "GPLv2", "GNU General Public License, version 2", "GNU General Public License v2.0"),
+    "GPL-3.0": ("GPL-3.0", "GPLv3", "GNU General Public License, version 3", "GNU General Public License v3.0"),
+    "ISC": ("ISC License",),
+    "LGPL-2.1": ("LGPL-2.1", "LGPLv2.1", "GNU Lesser General Public License, version 2.1"),
+    "LGPL-3.0": ("LGPL-3.0", "LGPLv3", "GNU Lesser General Public License, version 3"),
+    "MIT": ("MIT License",),
+    "MPL-2.0": ("MPL 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License, Version 2.0"),
+    "Unlicense": ("Unlicense",),
+    "Zlib": ("zlib License",),
+}
+TITLES = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "Zlib": ("zlib License", "The zlib License"),
+}
+_OPENINGS = ("Licensed under", "Released under", "Distributed under", "This work is licensed under", "This software is licensed under",
+             "This project is licensed under")
+
 _COPYRIGHT = r"(?m)^[^\p{L}\n(©]*(copyright|\(c\)|©)[^\n]*$"
 _OTHER = r"[^\p{L}\p{N}\n]+"
 
@@ -48,7 +100,7 @@ _OTHER = r"[^\p{L}\p{N}\n]+"
 def canonical_lines(text: Column) -> Column:
     """A text in canonical form, its lines kept apart."""
     text = F.regexp_replace(F.lower(text), _COPYRIGHT, "")
-    for spelling, chosen in SPELLINGS.items():
+    for spelling, chosen in (SPELLINGS | MORE_SPELLINGS).items():
         text = F.replace(text, F.lit(spelling), F.lit(chosen))
     return F.regexp_replace(text, _OTHER, " ")
 
@@ -68,9 +120,32 @@ def known_digests(licenses: DataFrame) -> DataFrame:
     return rows.groupBy(_digest(F.col("whole")).alias("digest")).agg(F.min("license").alias("license"))
 
 
+def entire_texts() -> list[tuple[str, str]]:
+    """The entire texts in ``licenses``, by file name, as published and with each paragraph on one line.
+
+    Short texts come without a title and with each usual one, with and without "All rights reserved.", and
+    with numbers or dashes before their clauses.
+    """
+    rows = []
+    for file in sorted(resources.files("revlume.llm").joinpath("licenses").iterdir(), key=lambda f: f.name):
+        name, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+        texts = {text, re.sub(r"(?<!\n)\n(?!\n)[ \t]*", " ", text)}
+        if name in TITLES:
+            texts |= {re.sub(r"(?m)^ *\d\. ", "- ", t) for t in texts}
+            texts |= {f"All rights reserved.\n\n{t}" for t in texts}
+            texts |= {f"{title}\n\n{t}" for title in TITLES[name] for t in texts}
+        rows += [(name, t) for t in sorted(texts)]
+    return rows
+
+
 def built_in(spark: SparkSession) -> DataFrame:
     """The licences that this module lists."""
     rows = [(name, text) for name, texts in NOTICES.items() for text in texts]
+    for name, called in NAMES.items():
+        rows += [(name, f"{opening} {article}{c}") for opening in _OPENINGS for article in ("", "the ") for c in called]
+        tags = [name, f"{name}-only", f"{name}-or-later", f"{name}+"] if "GPL" in name else [name]
+        rows += [(name, f"SPDX-License-Identifier: {tag}") for tag in tags]
+    rows += entire_texts()
     return spark.createDataFrame(rows, "license string, text string")
 
 

@@ -218,6 +218,30 @@ def test_licenses(spark, docs, empty, bound):
 # Secrets
 
 
+def test_entire_licenses_and_their_notices(spark):
+    mit = (
+        "MIT License\n\nCopyright (c) 2021 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a "
+        "copy of this software and associated documentation files (the \"Software\"), to deal in the Software without "
+        "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+        "following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR "
+        "IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n"
+    )
+    texts = {t: n for n, t in op4.entire_texts()}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MPL-2.0"} <= set(texts.values())
+    rows = [(mit, "MIT", ""), (mit.replace("sublicense", "sub-licence"), "MIT", ""), (mit[:-40], None, "")]
+    rows += [(t.replace("\n", " \n  "), n, "") for t, n in texts.items()]
+    rows += [("a\nSPDX-License-Identifier: AGPL-3.0-or-later\nLicensed under CC BY-SA 4.0.", None, "AGPL-3.0,CC-BY-SA-4.0")]
+    docs = documents(spark, [(k, t, "en", "s") for k, (t, _, _) in enumerate(rows)])
+    got = {r.doc_id: (r.license, r.notices) for r in op4.find_licenses(docs, op4.built_in(spark)).collect()}
+    assert all(got[k][0] == n for k, (_, n, _) in enumerate(rows))
+    assert [got[k][1] for k in (0, 1, 2, len(rows) - 1)] == ["", "", "", "AGPL-3.0,CC-BY-SA-4.0"]
+
+
 def secrets(text):
     text, out = text or "", []
     for number, rule in enumerate(op6.RULES):
