@@ -377,12 +377,12 @@ def sorted_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = spark.read.schema(ordered.schema).parquet(path).select(
         "*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")
     )
-    place = Window.partitionBy(F.lit(1)).orderBy("file", "at")
-    before = written.withColumns(
-        {
-            "previous": F.lag(F.struct("review_date", "star_rating")).over(place),
-        }
-    )
+    row = F.struct("review_date", "star_rating")
+    # The first row of a file follows the last one of the file before it; one row a file is little.
+    files = written.groupBy("file").agg(F.max_by(row, "at").alias("last"))
+    files = files.select("file", F.lag("last").over(Window.orderBy("file")).alias("ended"))
+    before = written.withColumn("inside", F.lag(row).over(Window.partitionBy("file").orderBy("at")))
+    before = before.join(F.broadcast(files), "file").withColumn("previous", F.coalesce("inside", "ended"))
     in_order = F.col("previous").isNull() | (F.struct("review_date", "star_rating") <= F.col("previous"))
     return before.select("seq", "review_date", "star_rating", "platform", in_order.alias("in_order"))
 

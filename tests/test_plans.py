@@ -1,6 +1,7 @@
 """What the physical plans must and must not contain."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,14 @@ def test_scoring_in_place_does_not_shuffle(spark, stored):
 def test_no_python_workers(spark, sf_dir, name):
     text = plan(QUERIES[name](spark, sf_dir))
     assert "Python" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_written_order_is_shown_file_by_file(spark, sf_dir):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shown = QUERIES["sorted_output"](spark, sf_dir)
+        windows = [line for line in plan(shown).splitlines() if "windowspecdefinition" in line and "at#" in line]
+        assert windows and all(re.search(r"windowspecdefinition\(file#\d+, at#", line) for line in windows)
+        assert shown.where("in_order").count() == shown.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
