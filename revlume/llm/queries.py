@@ -5,6 +5,9 @@ from __future__ import annotations
 from revlume.llm import (
     op1_source_mix as op1,
     op10_recompression_dedup as op10,
+    op11_phrase_counting as op11,
+    op12_curve_packing as op12,
+    op13_fill_in_middle as op13,
     op2_suffix_decontamination as op2,
     op3_attention_quality as op3,
     op4_license_digests as op4,
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_hilbert_shards": op8.op8_hilbert_shards,
     "op9_kmeans_tree": op9.op9_kmeans_tree,
     "op10_recompression_dedup": op10.op10_recompression_dedup,
+    "op11_phrase_counting": op11.op11_phrase_counting,
+    "op12_curve_packing": op12.op12_curve_packing,
+    "op13_fill_in_middle": op13.op13_fill_in_middle,
 }
 
 ORACLE = {
@@ -34,4 +40,6 @@ ORACLE = {
     "op4_license_digests": op4.OP4_SQL,
     "op6_secret_index": op6.OP6_SQL,
     "op10_recompression_dedup": op10.OP10_SQL,
+    "op11_phrase_counting": op11.OP11_SQL,
+    "op13_fill_in_middle": op13.OP13_SQL,
 }

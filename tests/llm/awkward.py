@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
+import zlib
 from collections import defaultdict
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = (
@@ -130,3 +135,39 @@ def without_repeats(rows: list[tuple[int | None, str | None]], window: int = 13)
 
 def order(rows) -> list:
     return sorted(rows, key=repr)
+
+
+def plain_ids(text: str | None) -> list[int]:
+    """Token ids of a whole text, by the tokenizer alone, and the closing id."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    return tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+
+
+def check_packing(rows: list[tuple], pieces: list[tuple], length: int = 1024) -> None:
+    """Pieces (id, start, length, checksum, tokens, sequence, offset) against the laws of packing."""
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for doc_id, start, n, crc, tokens, sequence, offset in pieces:
+        by_doc[doc_id].append((start, n, crc, tokens))
+        by_sequence[sequence].append((offset, n))
+    known = defaultdict(list)
+    for doc_id, text in rows:
+        known[doc_id].append(plain_ids(text))
+    assert set(by_doc) == set(known)
+    for doc_id, lists in known.items():
+        if len(lists) > 1:  # several rows of one id: their tokens together
+            assert sum(n for _, n, _, _ in by_doc[doc_id]) == sum(map(len, lists))
+            continue
+        at = 0
+        for start, n, crc, tokens in sorted(by_doc[doc_id]):
+            assert (start, tokens) == (at, len(lists[0])) and n > 0
+            assert crc == zlib.crc32(struct.pack(f"<{n}I", *lists[0][at : at + n]))
+            at += n
+        assert at == len(lists[0])
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+    for sequence, held in by_sequence.items():
+        at = 0
+        for offset, n in sorted(held):
+            assert offset == at
+            at += n
+        assert at == length or (at < length and at & (at - 1) == 0)

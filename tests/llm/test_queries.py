@@ -11,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from revlume.llm.queries import ORACLE, QUERIES
-from tests.llm.awkward import documents, near_groups, order, split_words, texts
+from tests.llm.awkward import check_packing, documents, near_groups, order, split_words, texts
 
 CONTRACT = {
     "op1_source_mix": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
@@ -24,6 +24,9 @@ CONTRACT = {
     "op8_hilbert_shards": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
     "op9_kmeans_tree": "query_id bigint, rank int, vec_id bigint, score double",
     "op10_recompression_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op11_phrase_counting": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+    "op12_curve_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op13_fill_in_middle": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
 }
 
 
@@ -56,7 +59,7 @@ def test_every_operator_has_its_query():
 def test_columns_and_rows(results, con, name):
     types, rows = results(name)
     assert set(tuple(c.split()) for c in CONTRACT[name].split(", ")) <= set(types)
-    if name != "op9_kmeans_tree":
+    if name not in ("op9_kmeans_tree", "op11_phrase_counting", "op12_curve_packing"):
         assert len(rows) == con.sql("SELECT count(*) FROM documents").fetchall()[0][0]
 
 
@@ -76,6 +79,11 @@ def test_near_duplicates_against_all_pairs(results, con):
     assert order(got) == order(near_groups(rows))
 
 
+def test_pieces_hold_every_token_once(results, con):
+    rows = con.sql("SELECT doc_id, text FROM documents").fetchall()
+    check_packing([(i, t) for i, t in rows], [tuple(r) for r in results("op12_curve_packing")[1]])
+
+
 def test_shards_hold_everything_in_order(results, con):
     texts_by_id = dict(con.sql("SELECT doc_id, text FROM documents").fetchall())
     by = defaultdict(list)
