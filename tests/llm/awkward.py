@@ -137,11 +137,13 @@ def order(rows) -> list:
     return sorted(rows, key=repr)
 
 
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+TOKENIZER.encode_special_tokens = True
+
+
 def plain_ids(text: str | None) -> list[int]:
     """Token ids of a whole text, by the tokenizer alone, and the closing id."""
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    return tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def check_packing(rows: list[tuple], pieces: list[tuple], length: int = 1024) -> None:
