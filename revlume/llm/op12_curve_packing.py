@@ -12,17 +12,15 @@ sorted by range; running sums inside the ranges and the sums of all ranges befor
 place, and the token ids meet their places in one shuffle on a row number.  Equal documents share a key
 but not the hash that breaks its ties, so a text that is a third of all rows is cut into many ranges.
 
-Blanks between words divide a text where the tokenizer is one of bytes whose pattern never joins a word to
-what stands before a blank; parts that repeat within a batch are tokenised once.  Any other tokenizer gets whole texts.
+The ids are those of the `tokenizers` file.  Where its merges stand in the order of their ids, a faster encoder does
+the same merges for ordinary texts (see `_Encoder`).
 
-Defined results: a null or empty text is the closing id alone; very long texts are tokenised whole, in parts
-that do not change the ids; ties on the curve go by a hash of id and tokens, then by id; repeated rows and
+Defined results: a null or empty text is the closing id alone; very long texts are tokenised whole; ties on the curve go by a hash of id and tokens, then by id; repeated rows and
 null ids are packed like all others; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -44,84 +42,96 @@ LENGTH, CLOSING = 1024, 0
 #: Dimensions and bits of each; their product stays below 63.
 DIMENSIONS, BITS = 4, 8
 BATCH_BYTES = 8 << 20
-#: Parts whose ids a task keeps; beyond that it begins anew.
-CACHED = 1 << 18
 _UNIT = 1 << 16
 
-_tokenizers: dict[int, object] = {}
+#: Runs of characters above this length merge too slowly in the fast encoder.
+_LONG_RUN = 1000
 
 
-def _tokenizer(held: str):
-    """The tokenizer of a JSON text, made once in a worker, and whether blanks may divide its texts."""
-    key = hash(held)
-    if key not in _tokenizers:
+class _Encoder:
+    """A tokenizer in a worker.
+
+    Byte tokenizers whose merges stand in the order of their ids are also made as an encoder that merges by id, which is
+    several times faster.  It takes texts of Latin letters and common marks without very long runs, where both
+    follow the same pattern to the letter; all other texts, and all other tokenizers, take the tokenizer itself.
+    """
+
+    def __init__(self, told: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_str(held)
-        made.encode_special_tokens = True
-        told = json.loads(held)
-        first = told.get("pre_tokenizer") or {}
-        bytewise = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
-        _tokenizers.clear()
-        _tokenizers[key] = made, bool(bytewise and not told.get("normalizer"))
-    return _tokenizers[key]
+        self.tokenizer = Tokenizer.from_str(told)
+        # A special token's name in a text is ordinary text.
+        self.tokenizer.encode_special_tokens = True
+        self.fast = _by_rank(json.loads(told))
+
+    def ids(self, text: pa.Array, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        texts = text.to_pylist()
+        quick = _ordinary(data, offsets) if self.fast else np.zeros(len(texts), bool)
+        out: list = [self.fast.encode_to_numpy(t, disallowed_special=()) if q else None for t, q in zip(texts, quick, strict=True)]
+        rest = np.flatnonzero(~quick).tolist()
+        for a in range(0, len(rest), 16):
+            some = rest[a : a + 16]
+            for i, found in zip(some, self.tokenizer.encode_batch_fast([texts[i] or "" for i in some], add_special_tokens=False), strict=True):
+                out[i] = np.array(found.ids, np.uint32)
+        return out
+
+
+def _by_rank(rules: dict):
+    """An encoder by ranks for the rules of a byte tokenizer, if it has the same ids."""
+    first, model = rules.get("pre_tokenizer") or {}, rules.get("model") or {}
+    bytewise = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+    if not (bytewise and plain and model.get("type") == "BPE" and not rules.get("normalizer")):
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get(a + b, -1) for a, b in merges]
+    if made != sorted(set(made)):
+        return None
+    # The characters that stand for bytes: printable ones for themselves, the others from 256 on.
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if i in set(made) or len(t) == 1}
+    singles = [i for t, i in model["vocab"].items() if len(t) == 1]
+    if len(singles) != 256 or (made and max(singles) > made[0]):
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("by-rank", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _ordinary(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts of characters below U+0280 and of U+2000 to U+207F only, without a very long run."""
+    n = len(data)
+    odd = data >= 0xCA
+    marks = data == 0xE2
+    follow = np.zeros(n, np.uint8)
+    follow[:-1] = data[1:]
+    odd &= ~(marks & ((follow == 0x80) | (follow == 0x81)))
+    blank = data <= 0x20
+    turns = np.ones(n, bool)
+    turns[1:] = blank[1:] != blank[:-1]
+    turns[offsets[:-1][offsets[:-1] < n]] = True
+    at = np.flatnonzero(turns)
+    odd[at[np.diff(np.append(at, n)) > _LONG_RUN]] = True
+    seen = np.concatenate([[0], np.cumsum(odd)])
+    return seen[offsets[1:]] == seen[offsets[:-1]]
 
 
-# First bytes of characters that may be white space, and of other characters.
-_SOLID_FIRST = np.zeros(256, bool)
-_SOLID_FIRST[0x21:0x7F] = True
-_SOLID_FIRST[[b for b in range(0xC3, 0xF5) if b not in (0xE1, 0xE2, 0xE3)]] = True
+_made: dict[int, _Encoder] = {}
 
 
-def divisions(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where parts begin: at each text, and at single blanks between characters that are surely no white space."""
-    cut = np.zeros(len(data) + 1, bool)
-    n = len(data)
-    if n > 2:
-        after = _SOLID_FIRST[data[2:]]
-        before = (data[:-2] > 0x20) & (data[:-2] < 0x7F)
-        # The last byte of a longer character: its first byte stands one to three places before.
-        high = data[:-2] >= 0x80
-        for back in (1, 2, 3):
-            first = np.zeros(n - 2, np.uint8)
-            first[back:] = data[: n - 2 - back]
-            started = first >= 0xC0
-            before |= high & started & _SOLID_FIRST[first]
-            high &= ~started
-        cut[1 : n - 1] = (data[1:-1] == 0x20) & before & after
-    # A blank at either end of a text is no division.
-    inner = np.concatenate([offsets[:-1], offsets[1:] - 1])
-    cut[inner[(inner >= 0) & (inner <= n)]] = False
-    cut[offsets] = True
-    cut[n] = False
-    return np.flatnonzero(cut)
-
-
-def token_ids(text: pa.Array, held: str, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(text: pa.Array, told: str) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts end to end, and where each text's ids begin (one more entry)."""
-    tokenizer, divides = _tokenizer(held)
-    data, offsets = text_bytes(text)
-    starts = divisions(data, offsets) if divides else np.unique(offsets[:-1][np.diff(offsets) > 0])
-    ends = np.append(starts, len(data)).astype(np.int64)
-    buffers = [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(data))]
-    parts = pa.Array.from_buffers(pa.large_string(), len(starts), buffers).dictionary_encode()
-    distinct = parts.dictionary.to_pylist()
-    if len(cache) > CACHED:
-        cache.clear()
-    unknown = [p for p in distinct if p not in cache]
-    for a in range(0, len(unknown), 4096):
-        some = unknown[a : a + 4096]
-        for part, found in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            cache[part] = found.ids
-    each = [cache[p] for p in distinct]
-    sizes = np.fromiter(map(len, each), np.int64, len(each))
-    flat = np.fromiter(itertools.chain.from_iterable(each), np.uint32, int(sizes.sum()))
-    at = parts.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    begins = np.concatenate([[0], np.cumsum(sizes[at])]).astype(np.int64)
-    firsts = (np.cumsum(sizes) - sizes)[at]
-    ids = flat[np.repeat(firsts - begins[:-1], sizes[at]) + np.arange(int(begins[-1]))]
-    return ids, begins[np.searchsorted(starts, offsets)]
+    key = hash(told)
+    if key not in _made:
+        _made.clear()
+        _made[key] = _Encoder(told)
+    text = text.fill_null("")
+    found = _made[key].ids(text, *text_bytes(text))
+    first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]).astype(np.int64)
+    return np.concatenate([np.zeros(0, np.uint32), *found]).astype(np.uint32), first
 
 
 def _closed(ids: np.ndarray, first: np.ndarray, closing: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,13 +160,12 @@ def projections(ids: np.ndarray, bounds: np.ndarray, dimensions: int) -> np.ndar
     return out
 
 
-def _tokenised(held: Broadcast, closing: int, dimensions: int, wide: bool, id_type: pa.DataType | None = None):
+def _tokenised(held: Broadcast, closing: int, dimensions: int, wide: bool):
     kind = np.dtype("<u4" if wide else "<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
         for batch in pieces(batches, "text", BATCH_BYTES):
-            ids, first = token_ids(batch.column("text"), held.value, cache)
+            ids, first = token_ids(batch.column("text"), held.value)
             ids, bounds = _closed(ids, first, closing)
             buffers = [None, pa.py_buffer((bounds * kind.itemsize).astype(np.int64).tobytes()), pa.py_buffer(ids.astype(kind).tobytes())]
             packed = pa.Array.from_buffers(pa.large_binary(), len(batch), buffers).cast(pa.binary())
