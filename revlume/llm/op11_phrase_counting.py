@@ -23,6 +23,7 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,19 +32,24 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from revlume.llm.cluster import ship
-from revlume.llm.words import LOWER, NOT_SPACE, find_words, mix, pieces, runs_print, text_bytes, word_prints
+from revlume.llm.words import LOWER, NOT_SPACE, find_words, mix, pieces, text_bytes, word_prints
 from revlume.session import scratch_path, staged
 
 MAX_WORDS, LEAST, TOP = 5, 100, 2000
 SHARDS = 3
 #: Slots of the array of phrases that reached the threshold (a prime, so that numbers spread).
-SLOTS = 33_554_393
+SLOTS = 16_777_213
 BATCH_BYTES = 8 << 20
 #: Parts of a language that are ranked by themselves first.
 PARTS = 64
+#: Phrases that a task holds by their words before it gives them out.
+HELD_ROWS = 1 << 20
 #: Bits of a phrase's number; three more hold its length.
 BITS = 40
 _NEVER = 255
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+# Fixed value: bytes of a bitmap of Spark's bitmap functions.
+_BITMAP = 4096
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09]] = True
 _BREAK = np.zeros(256, bool)
@@ -56,19 +62,18 @@ def _flat(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     data, offsets = text_bytes(column)
     data = LOWER[data]
     starts, ends, first = find_words(data, offsets, _INSIDE)
-    # A piece begins where a break lies between a word and the one before.
+    # Of what follows a word one byte is kept: a line end if a break lies before the next word, else a blank.
     breaks = np.concatenate([[0], np.cumsum(_BREAK[data])])
-    new = np.ones(len(starts), bool)
-    new[1:] = breaks[starts[1:]] > breaks[ends[:-1]]
-    sizes = ends - starts + 1
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    out = np.empty(int(begins[-1]), np.uint8)
-    places = np.repeat(starts - begins[:-1], sizes) + np.arange(int(begins[-1]))
-    out[:] = data[np.minimum(places, max(len(data) - 1, 0))] if len(data) else 0
     after = np.full(len(starts), 0x20, np.uint8)
-    after[:-1][new[1:]] = 0x0A
-    out[begins[1:] - 1] = after
-    buffers = [None, pa.py_buffer(begins[first].astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())]
+    after[:-1][breaks[starts[1:]] > breaks[ends[:-1]]] = 0x0A
+    keep = _INSIDE[data]
+    inner = np.ones(len(data) + 1, bool)
+    inner[offsets] = False
+    followed = ends[inner[ends]]
+    data[followed] = after[inner[ends]]
+    keep[followed] = True
+    begins = np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int64)
+    buffers = [None, pa.py_buffer(begins.tobytes()), pa.py_buffer(data[keep].tobytes())]
     return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, buffers), np.diff(first)
 
 
@@ -112,12 +117,29 @@ class _Words:
         marks = word_prints(np.concatenate([data, [0]]).astype(np.uint8), offsets[whole], offsets[whole + 1])
         self.mark = marks[self.lang] if len(self.lang) else np.zeros(0, np.uint64)
 
-    def phrases(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Print of the phrase that begins at each word, and whether it lies in one piece."""
-        n = max(len(self.prints) - length + 1, 0)
+    def prints_at(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Print of the phrase of so many words that begins at each of the places."""
+        out = np.zeros(len(at), np.uint64)
         with np.errstate(over="ignore"):
-            prints = mix(runs_print(self.prints, length) + self.mark[:n])
-        return prints, self.piece[:n] == self.piece[length - 1 : length - 1 + n]
+            for k in range(length):
+                out = (out + self.prints[at + k]) * _STEP
+                out ^= out >> np.uint64(29)
+            return mix(out + self.mark[at])
+
+    def longer(self, parts: np.ndarray, length: int) -> np.ndarray:
+        """Places of phrases of so many words in one piece whose two parts, one word shorter, are both known."""
+        n = max(len(self.prints) - length + 1, 0)
+        known = (parts[:n] != _NEVER) & (parts[1 : n + 1] != _NEVER)
+        return np.flatnonzero(known & (self.piece[:n] == self.piece[length - 1 : length - 1 + n]))
+
+
+def _sent(spark: SparkSession, array: np.ndarray) -> Broadcast:
+    """An array of fixed size for all tasks; compressed, as most of it is empty for long."""
+    return spark.sparkContext.broadcast(zlib.compress(array.tobytes(), 1))
+
+
+def _array(sent: Broadcast) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(sent.value), np.uint8)
 
 
 def _numbers(prints: np.ndarray, length: int) -> np.ndarray:
@@ -128,37 +150,49 @@ def _count(opened: Broadcast, scan: int, shards: int, lengths: list[int]):
     """Rows (number, first scan, count) of the phrases that are open in this scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.frombuffer(opened.value, np.uint8)
+        slots = _array(opened)
         for batch in pieces(batches, "body", BATCH_BYTES):
             words = _Words(batch)
-            for length in lengths:
-                prints, whole = words.phrases(length)
-                if length == 1:
-                    active, since = whole, np.zeros(len(prints), np.uint8)
-                else:
-                    part, _ = words.phrases(length - 1)
-                    at = slots[_numbers(part, length - 1) % np.uint64(len(slots))]
-                    since = np.maximum(at[:-1], at[1:])[: len(prints)]
-                    active = whole & (since <= scan) & (since.astype(np.int64) + shards > scan)
-                numbers, index, n = np.unique(_numbers(prints[active], length), return_index=True, return_counts=True)
-                columns = [pa.array(numbers.astype(np.int64)), pa.array(since[active][index].astype(np.int16)), pa.array(n.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["number", "since", "n"])
+            # parts[i]: the scan from which on longer phrases may build on the phrase that begins at word i.
+            parts = np.zeros(0, np.uint8)
+            for length in range(1, max(lengths) + 1):
+                at = words.longer(parts, length) if length > 1 else np.arange(len(words.prints))
+                since = np.maximum(parts[at], parts[at + 1]) if length > 1 else np.zeros(len(at), np.uint8)
+                numbers = _numbers(words.prints_at(at, length), length)
+                if length in lengths:
+                    active = (since <= scan) & (since.astype(np.int64) + shards > scan)
+                    found, index, n = np.unique(numbers[active], return_index=True, return_counts=True)
+                    columns = [pa.array(found.astype(np.int64)), pa.array(since[active][index].astype(np.int16)), pa.array(n.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["number", "since", "n"])
+                if length < max(lengths):
+                    # A slot may be older than the phrase itself, which counts from its own first scan.
+                    parts = np.full(len(words.prints), _NEVER, np.uint8)
+                    parts[at] = np.maximum(slots[numbers % np.uint64(len(slots))], since)
 
     return run
 
 
-def _named(passed: Broadcast, lengths: int):
-    """The phrases whose number passed, by their words, with their counts in this batch."""
+def _named(passed: Broadcast, slots: int, lengths: int):
+    """The phrases whose number passed, as those of their parts did, by their words, with their counts in this task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.frombuffer(passed.value, np.uint8)
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = _array(passed)
         for batch in pieces(batches, "body", BATCH_BYTES):
             words = _Words(batch)
             second = mix(words.prints ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+            parts = np.zeros(0, np.uint8)
             for length in range(1, lengths + 1):
-                prints, whole = words.phrases(length)
-                at = np.flatnonzero(whole & (slots[_numbers(prints, length) % np.uint64(len(slots))] != _NEVER))
-                one, two = prints[at], runs_print(second, length)[at]
+                at = words.longer(parts, length) if length > 1 else np.arange(len(words.prints))
+                one = words.prints_at(at, length)
+                slot = _numbers(one, length) % np.uint64(slots)
+                known = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                at, one = at[known], one[known]
+                parts = np.full(len(words.prints), _NEVER, np.uint8)
+                parts[at] = 0
+                two = np.zeros(len(at), np.uint64)
+                with np.errstate(over="ignore"):
+                    for k in range(length):
+                        two = mix(two * _STEP + second[at + k])
                 order = np.lexsort((two, one))
                 one, two, at = one[order], two[order], at[order]
                 new = np.ones(len(at), bool)
@@ -170,9 +204,34 @@ def _named(passed: Broadcast, lengths: int):
                 for a, b in _portions(high - low):
                     yield _phrase_rows(words, low[a:b], high[a:b], at[a:b], n[a:b], length)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _combined(found(batches))
+
     return run
 
 
+def _combined(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with equal phrases of a task summed, as far as ``HELD_ROWS`` of them fit."""
+    held, size = [], 0
+
+    def summed() -> pa.Table:
+        table = pa.Table.from_batches(held).group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")])
+        return table.rename_columns(["lang", "phrase", "words", "n"])
+
+    for batch in rows:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= HELD_ROWS:
+            table = summed()
+            if table.num_rows > HELD_ROWS // 2:
+                yield from table.to_batches()
+                held, size = [], 0
+            else:
+                held, size = table.to_batches(), table.num_rows
+    if held:
+        yield from summed().to_batches()
+
+
 def _portions(sizes: np.ndarray, most: int = 32 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes together."""
     if not len(sizes):
@@ -196,14 +255,14 @@ def _phrase_rows(words: _Words, low, high, at, n, length: int) -> pa.RecordBatch
 
 
 def _slots_of(numbers: DataFrame, slots: int) -> list:
-    """Rows (done, length, bucket, bitmap) of the slots that the numbers fall into: at most slots / 4 bytes a length."""
+    """Rows (length, bucket, bitmap) of the slots that the numbers fall into: at most slots / 8 bytes a length."""
     place = F.pmod(F.col("number"), F.lit(slots)) + 1
-    rows = numbers.select("done", (F.col("number") % 8).cast("int").alias("length"), place.alias("place"))
-    keys = ("done", "length", F.expr("bitmap_bucket_number(place)").alias("bucket"))
+    rows = numbers.select((F.col("number") % 8).cast("int").alias("length"), place.alias("place"))
+    keys = ("length", F.expr("bitmap_bucket_number(place)").alias("bucket"))
     return rows.groupBy(*keys).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits")).collect()
 
 
-def _set(array: np.ndarray, found: list, value: int) -> set[int]:
+def _open(array: np.ndarray, found: list, value: int) -> set[int]:
     """Put ``value`` on the slots found that were free; the lengths that did so."""
     lengths = set()
     for row in found:
@@ -223,21 +282,20 @@ def phrase_counts(
     """``lang``, ``phrase``, ``words``, ``n`` of all phrases of 1 to ``max_words`` words that occur ``least`` times.
 
     ``flat`` comes from ``flattened`` with the same number of shards.  ``seen``, if given, gets one
-    (scan, shard, lengths counted, lengths that reached the threshold) for each scan.
+    (scan, shard, lengths being counted, lengths that newly reached the threshold) for each scan.
     """
-    if not 1 <= max_words <= 7:
-        raise ValueError("max_words must be 1 to 7")
+    if not 1 <= max_words <= 7 or not 1 <= shards * max_words < _NEVER:
+        raise ValueError("max_words must be 1 to 7, and shards times max_words below 255")
     spark = flat.sparkSession
     ship(spark)
-    context = spark.sparkContext
     opened = np.full(slots, _NEVER, np.uint8)
-    passed = np.full(slots, _NEVER, np.uint8)
-    # until[k]: the scan before which phrases of k words may still be open
-    until = {1: shards}
-    state, scan = None, 0
-    while any(scan < end for end in until.values()):
-        lengths = [k for k, end in sorted(until.items()) if scan < end]
-        held = context.broadcast(opened.tobytes())
+    # One bit says that a phrase passed: eight times the slots in the same space.
+    passed, fine = np.zeros(slots + _BITMAP, np.uint8), 8 * slots - 1
+    # A slot set in one scan may open phrases of any length, as slots are shared; they are done a circle later.
+    state, scan, until = None, 0, shards
+    while scan < until:
+        lengths = [k for k in range(1, max_words + 1) if (k > 1 and scan) or (k == 1 and scan < shards)]
+        held = _sent(spark, opened)
         rows = flat.where(F.col("shard") == scan % shards).select("lang", "body")
         rows = rows.mapInArrow(_count(held, scan, shards, lengths), "number long, since short, n long")
         if state is not None:
@@ -246,20 +304,25 @@ def phrase_counts(
         done = F.col("since") + shards <= scan + 1
         counts = rows.groupBy("number", "since").agg(F.sum("n").alias("n")).where(~done | (F.col("n") >= least))
         counts = staged(counts, f"op11-scan{scan}")
-        held.unpersist()
-        found = _slots_of(counts.where(F.col("n") >= least).withColumn("done", done), slots)
-        grown = _set(opened, [r for r in found if r.length < max_words], scan + 1)
-        _set(passed, [r for r in found if r.done], 0)
+        held.destroy()
+        reached = counts.where(F.col("n") >= least)
+        grown = _open(opened, _slots_of(reached.where(F.col("number") % 8 < max_words), slots), scan + 1)
+        for row in _slots_of(reached.where(done), fine):
+            low = (row.bucket - 1) * _BITMAP
+            passed[low : low + _BITMAP] |= np.frombuffer(row.bits, np.uint8)
         if seen is not None:
-            seen.append((scan, scan % shards, lengths, sorted(grown)))
-        for length in grown:
-            until[length + 1] = scan + 1 + shards
+            counted = counts.groupBy(F.col("number") % 8).count().collect()
+            seen.append((scan, scan % shards, sorted(r[0] for r in counted), sorted(grown)))
+        if grown:
+            until = scan + 1 + shards
         state = counts.where(~done)
         scan += 1
-    held = context.broadcast(passed.tobytes())
-    named = flat.select("lang", "body").mapInArrow(_named(held, max_words), "lang string, phrase string, words int, n long")
+    held = _sent(spark, passed)
+    named = flat.select("lang", "body").mapInArrow(_named(held, fine, max_words), "lang string, phrase string, words int, n long")
     named = named.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return staged(named, "op11-phrases")
+    named = staged(named, "op11-phrases")
+    held.destroy()
+    return named
 
 
 def collocations(
