@@ -100,6 +100,12 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
+def _shard_of(start: str, size: str, total: str, shards: int) -> Column:
+    """The run that holds a document's middle byte; whole numbers throughout, as a quotient of decimals is rounded."""
+    exact = lambda c: f"cast({c} AS decimal(38,0))"
+    return F.expr(f"(2 * {exact(start)} + {exact(size)}) * {shards} div (2 * {exact(total)})").cast("int")
+
+
 def place_on_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, buckets: int = BUCKETS) -> DataFrame:
     """One row per document with its shard, its gapless slot in the shard and its curve index."""
     ship(docs.sparkSession)
@@ -137,10 +143,9 @@ def place_on_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, buc
     )
     ordered = ordered.join(offsets, ["curve", "bucket"])
     start = F.col("c_bytes") + F.col("b_bytes") + F.col("i_bytes")
-    # A document belongs to the run that holds its middle byte.
-    middle = (2 * start + F.col("size")).cast("decimal(38,0)") * shards / (2 * F.col("total"))
+    ordered = ordered.withColumn("start", start)
     ordered = ordered.select(
-        "doc_id", "size", "text_crc32", "curve", F.floor(middle).cast("int").alias("shard"),
+        "doc_id", "size", "text_crc32", "curve", _shard_of("start", "size", "total", shards).alias("shard"),
         (F.col("c_n") + F.col("b_n") + F.col("i_n")).alias("position"),
     )
     # The first position of each run; there are no more runs than shards.
