@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from revlume.operators.model import model_score
-from revlume.operators.sentiment import ENGLISH, Rules, lexicon_score, with_label
+from revlume.operators.sentiment import ENGLISH_WITH_PHRASES, Rules, lexicon_score, with_label
 
 log = logging.getLogger(__name__)
 
@@ -19,7 +19,7 @@ def choose_scorer(
     lexicon: DataFrame,
     key: list[str],
     load_model: Callable | None = None,
-    rules: Rules = ENGLISH,
+    rules: Rules = ENGLISH_WITH_PHRASES,
 ) -> tuple[Scorer, str]:
     """The scorer to use and its name.
 

@@ -9,12 +9,13 @@ is always the caller's table.  Every weight sits in ``Rules``.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from revlume.functions import sentiment_label
 from revlume.operators.joins import MAX_BROADCAST_ROWS, fits, matched
+from revlume.operators.phrases import Phrase, PhraseBook, leftmost_longest
 
 # Degree words and negations of English.
 INTENSIFIERS = (
@@ -68,12 +69,36 @@ class Rules:
     max_questions: int = 3
     many_questions: float = 0.96
     normalizer: float = 15.0
+    # Several words that count as one; without any, words count singly.
+    phrases: tuple[Phrase, ...] = ()
     decimals: int = 4
     # Largest dictionary that travels inside the plan; above it, a join.
     max_inline_words: int = field(default=20_000, compare=False)
 
 
 ENGLISH = Rules()
+_MARKS = "array<struct<i: int, v: double, b: double, g: boolean, u: boolean, k: boolean>>"
+
+# Phrases named by the published description and its public word list (MIT licence).
+_IDIOMS = {
+    "the bomb": 3.0, "bad ass": 1.5, "bus stop": 0.0, "yeah right": -2.0, "kiss of death": -1.5, "to die for": 3.0,
+    "beating heart": 3.1, "broken heart": -2.9, "cut the mustard": 2.0, "hand to mouth": -2.0, "back handed": -2.0,
+    "blow smoke": -2.0, "upper hand": 1.0, "break a leg": 2.0, "cooking with gas": 2.0, "in the black": 2.0,
+    "in the red": -2.0, "on the ball": 2.0, "under the weather": -2.0,
+}
+_DEGREES = {"kind of": -0.293, "sort of": -0.293, "just enough": -0.293}
+_STRENGTHENED = {"never so": 0.293, "never this": None}
+_NO_NEGATION = ("without doubt", "without a doubt", "at least", "very least")
+
+ENGLISH_PHRASES = (
+    *(Phrase(tuple(k.split()), v=v) for k, v in _IDIOMS.items()),
+    *(Phrase(tuple(k.split()), b=b) for k, b in _DEGREES.items()),
+    *(Phrase(tuple(k.split()), b=b, e=1.25) for k, b in _STRENGTHENED.items()),
+    *(Phrase(tuple(k.split())) for k in _NO_NEGATION),
+    Phrase(("least",), g=True),
+)
+#: English with idioms, degree phrases, "never so", "least" and "without doubt".
+ENGLISH_WITH_PHRASES = replace(ENGLISH, phrases=ENGLISH_PHRASES)
 
 
 def words(text: Column) -> Column:
@@ -199,6 +224,25 @@ def _marks_joined(
     return gathered
 
 
+def _with_phrases(marks: Column, tokens: Column, kept: Column) -> Column:
+    """Marks in which the last word of a phrase stands for the whole of it and its other words are left out."""
+
+    def of_phrase(p: Column) -> Column:
+        raw = F.slice(tokens, p["start"] + 1, p["last"] - p["start"] + 1)
+        loud = F.forall(raw, lambda t: _in_capitals(t, F.lower(t)))
+        return F.struct(
+            p["last"].alias("i"), p["v"].alias("v"), p["b"].alias("b"), p["g"].alias("g"), loud.alias("u"),
+            F.lit(False).alias("k"), p["e"].alias("e"),
+        )
+
+    inside = lambda m: F.exists(kept, lambda p: (p["start"] <= m["i"]) & (m["i"] <= p["last"]))
+    single = F.transform(
+        F.filter(F.coalesce(marks, F.array().cast(_MARKS)), lambda m: ~inside(m)),
+        lambda m: F.struct(*[m[c].alias(c) for c in "ivbguk"], F.lit(None).cast("double").alias("e")),
+    )
+    return F.array_sort(F.concat(single, F.transform(kept, of_phrase)))
+
+
 def _contribution(marks: Column, j: Column, mixed_case: Column, rules: Rules) -> Column:
     """Valence of mark ``j`` after capitals, degree words and negation."""
     own = F.get(marks, j)
@@ -219,7 +263,10 @@ def _contribution(marks: Column, j: Column, mixed_case: Column, rules: Rules) ->
             F.when(valence > 0, rules.capitals).otherwise(-rules.capitals),
         ).otherwise(zero)
         shifted = valence + F.coalesce((degree + loud) * weight, zero)
-        turned = F.when(m["g"], shifted * rules.negation).otherwise(shifted)
+        turned = F.when(m["g"], shifted * rules.negation)
+        if rules.phrases:
+            turned = turned.when(m["e"].isNotNull(), shifted * m["e"])
+        turned = turned.otherwise(shifted)
         # a word with a valence of its own modifies nothing
         skipped = m.isNull() | m["v"].isNotNull() | (own["i"] - m["i"] > reach)
         return F.when(skipped, valence).otherwise(turned)
@@ -301,6 +348,10 @@ def lexicon_score(
     # Facts about the whole text, worked out once and not again per word.
     mixed = F.exists("_tokens", capitals) & F.exists("_tokens", lambda t: ~capitals(t))
     cut = cut.withColumn("_mixed", mixed)
+    book = PhraseBook(rules.phrases)
+    if rules.phrases:
+        found = book.found(reviews.sparkSession, F.transform("_tokens", F.lower))
+        cut = cut.withColumn("_kept", leftmost_longest(found)).withColumn("_spoken", F.col("_tokens"))
     if len(few) <= rules.max_inline_words:
         cut = cut.withColumn("_lowered", F.transform("_tokens", F.lower))
         acting = _marks_inline(F.col("_tokens"), F.col("_lowered"), _inline_lookup(few), rules)
@@ -309,6 +360,9 @@ def lexicon_score(
         # the key is matched as it is grouped: null equals null
         marks = _marks_joined(cut, key, entries, rules)
         known = matched(cut.drop("_tokens"), marks, key, "left")
+    if rules.phrases:
+        whole = _with_phrases(F.col("_marks"), F.col("_spoken"), book.values(F.col("_kept")))
+        known = known.withColumn("_marks", whole).drop("_kept", "_spoken")
     turned = known.withColumn(
         "_turn", F.get(F.filter("_marks", lambda m: m["k"]), F.lit(0))["i"]
     )
@@ -319,5 +373,26 @@ def lexicon_score(
     )
 
 
+def phrase_spans(
+    reviews: DataFrame, phrases: tuple[Phrase, ...], text: str = "review_text"
+) -> DataFrame:
+    """``reviews`` with ``n_found``, all occurrences of the phrases, overlapping ones too, and ``spans``.
+
+    ``spans`` are the ``start``, ``length`` and words of those that count: from the left, the longest at each place,
+    none over another.  Places are numbers of words as ``words`` cuts them.
+    """
+    book = PhraseBook(phrases)
+    tokens = F.transform(words(F.coalesce(F.col(text), F.lit(""))), F.lower)
+    cut = reviews.withColumn("_lowered", tokens).withColumn("_found", book.found(reviews.sparkSession, F.col("_lowered")))
+    spans = F.transform(
+        leftmost_longest(F.col("_found")),
+        lambda m: F.struct(
+            m["start"].alias("start"), (-m["less"]).alias("length"),
+            F.array_join(F.slice("_lowered", m["start"] + 1, -m["less"]), " ").alias("phrase"),
+        ),
+    )
+    return cut.withColumn("n_found", F.size("_found")).withColumn("spans", spans).drop("_lowered", "_found")
+
+
 def with_label(scored: DataFrame) -> DataFrame:
     return scored.withColumn("sentiment_label", sentiment_label(F.col("sentiment_score")))

@@ -173,6 +173,63 @@ scores AS (SELECT k AS {key}, round(s / sqrt(s * s + 15.0::DOUBLE), 4) + 0.0 AS
 """
 
 
+_KIND = "(length(phrase) * 5 + ascii(phrase)) % 5"
+
+_PHRASES = f"""
+found_phrases AS (
+  SELECT DISTINCT unnest(list_concat(list_concat(regexp_extract_all(lower(text), '[a-z]{{2,}} [a-z]{{2,}}'),
+    regexp_extract_all(lower(text), '[a-z]{{2,}}(?: [a-z]{{2,}}){{2}}')), regexp_extract_all(lower(text), '[a-z]{{2,}}(?: [a-z]{{2,}}){{3}}'))) AS phrase
+  FROM benchmark),
+ph AS (
+  SELECT phrase, len(string_split(phrase, ' ')) AS m,
+    CASE WHEN {_KIND} = 0 THEN ((length(phrase) * 7 + ascii(phrase) * 3) % 80 - 40) / 10.0::DOUBLE END AS v,
+    CASE WHEN {_KIND} = 1 THEN CASE WHEN length(phrase) % 2 = 0 THEN 0.293::DOUBLE ELSE -0.293 END END AS b,
+    {_KIND} = 2 AS g, CASE WHEN {_KIND} = 3 THEN 1.25::DOUBLE END AS e
+  FROM found_phrases),
+win AS (
+  SELECT k, i, u, l AS w2, lead(l, 1) OVER w AS x1, lead(l, 2) OVER w AS x2, lead(l, 3) OVER w AS x3,
+    u AND lead(u, 1) OVER w AS u2, u AND lead(u, 1) OVER w AND lead(u, 2) OVER w AS u3,
+    u AND lead(u, 1) OVER w AND lead(u, 2) OVER w AND lead(u, 3) OVER w AS u4
+  FROM tok3 WINDOW w AS (PARTITION BY k ORDER BY i)),
+occ AS (
+  SELECT k, i AS s, ph.*, u2 AS loud FROM win JOIN ph ON m = 2 AND phrase = w2 || ' ' || x1
+  UNION ALL SELECT k, i, ph.*, u3 FROM win JOIN ph ON m = 3 AND phrase = w2 || ' ' || x1 || ' ' || x2
+  UNION ALL SELECT k, i, ph.*, u4 FROM win JOIN ph ON m = 4 AND phrase = w2 || ' ' || x1 || ' ' || x2 || ' ' || x3),
+best AS (SELECT * FROM occ QUALIFY row_number() OVER (PARTITION BY k, s ORDER BY m DESC) = 1),
+next AS (
+  SELECT a.k, a.s, (SELECT min(b.s) FROM best b WHERE b.k = a.k AND b.s >= a.s + a.m) AS t FROM best a),
+walk AS (
+  SELECT k, min(s) AS s FROM best GROUP BY k
+  UNION ALL SELECT next.k, next.t FROM walk JOIN next ON next.k = walk.k AND next.s = walk.s WHERE next.t IS NOT NULL),
+kept AS (SELECT best.* FROM best JOIN walk ON best.k = walk.k AND best.s = walk.s),
+cover AS (SELECT k, unnest(range(s, s + m)) AS i, s + m - 1 AS last, v, b, g, e, loud FROM kept)"""
+
+
+def scored_with_phrases(source: str, key: str, text: str) -> str:
+    """``scored`` with the phrases of ``benchmark``: the last word of one stands for it, its others for nothing."""
+    plain = scored(source, key, text)
+    begin, end = plain.index("tok4 AS ("), plain.index("doc AS (")
+    words = f"""{_PHRASES.strip()},
+tok4 AS (
+  SELECT a.k, a.i, CASE WHEN c.k IS NULL THEN a.l ELSE '' END AS l, a.u AS u0,
+    CASE WHEN c.k IS NULL THEN a.u ELSE c.loud AND c.last = a.i END AS u,
+    CASE WHEN c.k IS NULL THEN lex.v WHEN c.last = a.i THEN c.v END AS v,
+    CASE WHEN c.k IS NULL THEN rule.b WHEN c.last = a.i THEN c.b END AS b,
+    CASE WHEN c.k IS NULL THEN coalesce(rule.g, false) OR contains(a.l, 'n''t') ELSE c.g AND c.last = a.i END AS g,
+    CASE WHEN c.last = a.i THEN c.e END AS e
+  FROM tok3 a LEFT JOIN lex ON a.l = lex.tok LEFT JOIN rule ON a.l = rule.tok
+  LEFT JOIN cover c ON c.k = a.k AND c.i = a.i),
+"""
+    rest = plain[end:].replace("bool_or(u) AND bool_or(NOT u)", "bool_or(u0) AND bool_or(NOT u0)")
+    for k in (1, 2, 3):
+        rest = rest.replace(f"lag(g, {k}) OVER w AS g_{k}", f"lag(g, {k}) OVER w AS g_{k}, lag(e, {k}) OVER w AS e_{k}")
+        rest = rest.replace(
+            f"CASE WHEN g_{k} THEN -0.74::DOUBLE ELSE 1.0 END",
+            f"CASE WHEN g_{k} THEN -0.74::DOUBLE WHEN e_{k} IS NOT NULL THEN e_{k} ELSE 1.0 END",
+        )
+    return plain[:begin] + words + rest
+
+
 LABEL = (
     "CASE WHEN isnan({0}) THEN 'neutral' WHEN {0} >= 0.25 THEN 'good' "
     "WHEN {0} <= -0.25 THEN 'bad' ELSE 'neutral' END"
@@ -486,6 +543,12 @@ ORACLE: dict[str, str] = {
           CASE WHEN c_custkey % 2 = 0 THEN 'analysis' END) AS output_name FROM customer""",
     "lexicon_score": _LEX_DOCS,
     "lexicon_score_join": _LEX_DOCS,
+    "lexicon_phrases": f"""WITH RECURSIVE {scored_with_phrases("documents", "doc_id", "text")}
+        SELECT d.doc_id, coalesce(o.n, 0)::INT AS n_found, coalesce(p.spans, '') AS spans,
+          coalesce(s.sentiment_score, 0.0) AS sentiment_score
+        FROM documents d LEFT JOIN scores s USING (doc_id)
+        LEFT JOIN (SELECT k, count(*) AS n FROM occ GROUP BY k) o ON o.k = d.doc_id
+        LEFT JOIN (SELECT k, string_agg(s || ':' || m, ',' ORDER BY s) AS spans FROM kept GROUP BY k) p ON p.k = d.doc_id""",
     "analyze_reviews": f"""WITH {RATED}, {scored("rated", "seq", "review_text")}
         SELECT seq, platform, star_rating, sentiment_score, {LABEL.format("sentiment_score")} AS sentiment_label
         FROM (SELECT rated.*, coalesce(scores.sentiment_score, 0.0) AS sentiment_score

@@ -21,7 +21,8 @@ from revlume.operators.dedup import DEDUP_KEY, country_order, dedup_first_seen
 from revlume.operators.filters import in_countries, on_platforms, within_window
 from revlume.operators.ordering import sort_reviews
 from revlume.operators.projections import extended_columns, standard_columns
-from revlume.operators.sentiment import Rules, lexicon_score
+from revlume.operators.phrases import MAX_PHRASES, Phrase
+from revlume.operators.sentiment import Rules, lexicon_score, phrase_spans
 from revlume.operators.walk import (
     batch_stats, keep_reached, mark_reached, oldest_per_page, order_breaks,
 )
@@ -572,6 +573,22 @@ def lexicon_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "sentiment_score")
 
 
+def lexicon_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases in every document, and scores in which they count as one word."""
+    from dataclasses import replace
+
+    # A phrase list is bounded; one row more than that many ends in an error.
+    rows = views.word_phrases(spark, sf_dir).take(MAX_PHRASES + 1)
+    phrases = tuple(Phrase(tuple(r.phrase.split(" ")), r.v, r.b, r.g, r.e) for r in rows)
+    docs = views.documents(spark, sf_dir).select("doc_id", "text")
+    found = phrase_spans(docs, phrases, "text")
+    scored = lexicon_score(
+        found, views.word_lexicon(spark, sf_dir), ["doc_id"], "text", replace(TEST_RULES, phrases=phrases)
+    )
+    places = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["length"]))
+    return scored.select("doc_id", "n_found", F.array_join(places, ",").alias("spans"), "sentiment_score")
+
+
 def scorer_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores where a model is asked for that cannot be loaded: the lexicon takes over."""
     def load():
@@ -654,6 +671,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "output_name": output_names,
     "lexicon_score": lexicon_query,
     "lexicon_score_join": lexicon_join_query,
+    "lexicon_phrases": lexicon_phrases,
     "scorer_fallback": scorer_fallback,
     "analyze_reviews": analyze_query,
     "stream_dedup": stream_query,

@@ -217,3 +217,20 @@ def word_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tok",
         F.expr("((length(tok) * 7 + ascii(tok) * 3) % 80 - 40) / 10.0D").alias("val"),
     )
+
+
+def word_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of two to four plain words of ``benchmark``; what they count as is arbitrary."""
+    text = table(spark, sf_dir, "benchmark").select(F.lower("text").alias("text"))
+    runs = [
+        F.regexp_extract_all("text", F.lit(f"[a-z]{{2,}}(?: [a-z]{{2,}}){{{n}}}"), F.lit(0)) for n in (1, 2, 3)
+    ]
+    found = text.select(F.explode(F.concat(*runs)).alias("phrase")).distinct()
+    kind = "(length(phrase) * 5 + ascii(phrase)) % 5"
+    return found.select(
+        "phrase",
+        F.expr(f"IF({kind} = 0, ((length(phrase) * 7 + ascii(phrase) * 3) % 80 - 40) / 10.0D, NULL)").alias("v"),
+        F.expr(f"IF({kind} = 1, IF(length(phrase) % 2 = 0, 0.293D, -0.293D), NULL)").alias("b"),
+        F.expr(f"{kind} = 2").alias("g"),
+        F.expr(f"IF({kind} = 3, 1.25D, NULL)").alias("e"),
+    )
