@@ -569,3 +569,6 @@ ORACLE: dict[str, str] = {
         FROM clean GROUP BY app_id""",
     "scorer_fallback": f"SELECT doc_id, sentiment_score, 'lexicon' AS backend FROM ({_LEX_DOCS})",
 }
+# Whatever order the files land in, the incremental jobs end where the batch ones do.
+ORACLE["stream_first_seen"] = ORACLE["dedup_first_seen"]
+ORACLE["stream_page_walk"] = ORACLE["page_walk"]

@@ -38,6 +38,8 @@ from revlume.sources.catalog import catalog_errors, request_frontier
 from revlume.sources.google_play import parse_google_play
 from revlume.sources.sinks import read_csv, write_csv
 from revlume.streaming.dedup import run_available, stream_dedup
+from revlume.streaming.first_seen import settled, stream_first_seen
+from revlume.streaming.walk import settled_pages, stream_walk
 
 BOTH = ["app-store", "google-play"]
 
@@ -623,6 +625,34 @@ def stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(kept.schema).parquet(path)
 
 
+def _streamed(spark: SparkSession, rows: DataFrame, name: str, *by: Column) -> DataFrame:
+    """``rows`` landed in files that each hold some of everything, read as a stream of one file at a time."""
+    landed = scratch_path(spark, f"{name}-landed")
+    rows.repartition(3, *by).write.parquet(landed)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+
+
+def first_seen_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-seen reviews kept by the incremental job, which corrects itself when an earlier row lands later."""
+    reviews = _streamed(spark, rated(spark, sf_dir), "first-seen", F.xxhash64("seq"))
+    given, path = stream_first_seen(reviews, AS_OF), scratch_path(spark, "first-seen")
+    run_available(given, path, scratch_path(spark, "first-seen-state"))
+    return settled(spark.read.schema(given.schema).parquet(path)).select(
+        "seq", "app_id", "platform", day("review_date"), "star_rating", "text_hash"
+    )
+
+
+def page_walk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page walk kept up by state per walk while pages land in any order."""
+    stats = oldest_per_page(views.event_pages(spark, sf_dir).where("valid"))
+    pages = _streamed(spark, stats, "walk", F.xxhash64("app_id", "page"))
+    given, path = stream_walk(pages, EVENTS_AS_OF), scratch_path(spark, "walk")
+    run_available(given, path, scratch_path(spark, "walk-state"))
+    return settled_pages(spark.read.schema(given.schema).parquet(path)).select(
+        "app_id", F.col("page").cast("int").alias("page"), "n_rows", "stale", "reached"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_review_table": clean_review_table,
     "collect_app_store": collect_app_store,
@@ -675,4 +705,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scorer_fallback": scorer_fallback,
     "analyze_reviews": analyze_query,
     "stream_dedup": stream_query,
+    "stream_first_seen": first_seen_stream,
+    "stream_page_walk": page_walk_stream,
 }
