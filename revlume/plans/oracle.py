@@ -572,3 +572,13 @@ ORACLE: dict[str, str] = {
 # Whatever order the files land in, the incremental jobs end where the batch ones do.
 ORACLE["stream_first_seen"] = ORACLE["dedup_first_seen"]
 ORACLE["stream_page_walk"] = ORACLE["page_walk"]
+ORACLE["landed_pages"] = """WITH docs AS (
+    SELECT doc_id, 'app-' || (doc_id // 60) AS app_id, lang AS country, (doc_id % 60) // 10 + 1 AS page FROM documents),
+  files AS (
+    SELECT app_id, country, page, count(*) AS n, (doc_app + page * 3 + length(country)) % 7 AS kind
+    FROM (SELECT *, doc_id // 60 AS doc_app FROM docs) GROUP BY app_id, country, page, doc_app)
+  SELECT app_id, country, count(*) AS n_files, count(*) FILTER (kind = 1) AS n_bad_path, count(*) FILTER (kind = 2) AS n_empty,
+    count(*) FILTER (kind = 3) AS n_not_json, count(*) FILTER (kind = 4) AS n_no_feed,
+    count(*) FILTER (kind IN (0, 5, 6)) AS n_ok, count(*) FILTER (kind = 5) AS n_unknown,
+    coalesce(sum(n) FILTER (kind IN (0, 5, 6)), 0)::BIGINT AS n_entries
+  FROM files GROUP BY app_id, country"""

@@ -36,6 +36,7 @@ from revlume.sources.app_store import (
 )
 from revlume.sources.catalog import catalog_errors, request_frontier
 from revlume.sources.google_play import parse_google_play
+from revlume.sources.landed import landed_app_store, landing_report
 from revlume.sources.sinks import read_csv, write_csv
 from revlume.streaming.dedup import run_available, stream_dedup
 from revlume.streaming.first_seen import settled, stream_first_seen
@@ -625,6 +626,27 @@ def stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(kept.schema).parquet(path)
 
 
+def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw App Store files of every page, some of them damaged or misplaced: what each app and country landed."""
+    kind = "(cast(substr(app_id, 5) AS int) + page * 3 + length(country)) % 7"
+    pages = views.app_store_pages(spark, sf_dir).withColumn("kind", F.expr(kind)).select(
+        "app_id", "country", F.expr("IF(kind = 1, concat('p', page), cast(page AS string))").alias("page"),
+        F.expr(
+            """CASE kind WHEN 2 THEN ' ' WHEN 3 THEN substr(body, 1, length(body) - 2) WHEN 4 THEN '{"error": "gone"}'
+               WHEN 5 THEN concat('{"version": 2, ', substr(body, 2)) ELSE body END"""
+        ).alias("body"),
+    )
+    root = scratch_path(spark, "raw-pages")
+    pages.repartition("app_id").write.partitionBy("app_id", "country", "page").text(root)
+    landed = landed_app_store(spark, root)
+    read = read_pages(landed.where("status = 'ok'").select("app_id", "country", "page", "body"))
+    entries = read.groupBy("app_id", "country").agg(F.sum(F.size("entries")).cast("long").alias("n_entries"))
+    report = landing_report(landed, "app_id", "country")
+    same = report["app_id"].eqNullSafe(entries["app_id"]) & report["country"].eqNullSafe(entries["country"])
+    both = report.join(entries, same, "left")
+    return both.select(*[report[c] for c in report.columns], F.coalesce("n_entries", F.lit(0)).alias("n_entries"))
+
+
 def _streamed(spark: SparkSession, rows: DataFrame, name: str, *by: Column) -> DataFrame:
     """``rows`` landed in files that each hold some of everything, read as a stream of one file at a time."""
     landed = scratch_path(spark, f"{name}-landed")
@@ -704,6 +726,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lexicon_phrases": lexicon_phrases,
     "scorer_fallback": scorer_fallback,
     "analyze_reviews": analyze_query,
+    "landed_pages": landed_pages,
     "stream_dedup": stream_query,
     "stream_first_seen": first_seen_stream,
     "stream_page_walk": page_walk_stream,
