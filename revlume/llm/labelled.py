@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -17,8 +17,8 @@ def training_sample(
 
     Each class gives its first rows by hash of the id, at most ``per_class``.  Null labels and ids count
     for nothing; a document with several labels has the one that most of them give, 1 on a tie.  An id that
-    stands in ``docs`` several times gives one text, the first by hash.  Texts above ``max_chars`` are not
-    learnt from, so the sample's size has a bound.
+    stands in ``docs`` several times gives one text, the first by hash.  A class ends with the row in which its
+    texts reach ``max_chars`` together: very long texts make it have fewer rows, none is passed over for its length.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1))
     known = known.where(fold(F.col("doc_id"), folds) != held_out)
@@ -30,8 +30,11 @@ def training_sample(
     for part in parts[1:]:
         chosen = chosen.unionByName(part)
     # One text of each chosen id: a class has no more rows than ids, and repeated rows displace nothing.
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).getField("text").alias("text")
     sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(least)
-    sample = sample.orderBy("y", *order, "text").limit(sum(per_class.values()))
+    # No more rows than the classes may give, so a class is a small group.
+    before = Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sample = sample.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
+    sample = sample.where(F.col("before") < max_chars).orderBy("y", *order)
     return sample.select("text", "y"), counts

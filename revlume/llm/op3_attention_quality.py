@@ -27,9 +27,9 @@ from revlume.llm.words import LOWER, NOT_SPACE, find_words, pieces, text_bytes,
 FOLDS, HELD_OUT = 4, 2
 ACCEPT = 0.7
 PASSAGE = 128
-#: Bound of the training sample: documents of each label, and characters of one.
+#: Bound of the training sample: documents of each label, and characters of all of them together.
 PER_CLASS = {0: 1500, 1: 3000}
-MAX_TRAINING_CHARS = 100_000
+MAX_TRAINING_CHARS = 20_000_000
 
 WORD_DIMS = 256
 HIDDEN, ATTENTION = 32, 16

@@ -26,9 +26,9 @@ FOLDS, HELD_OUT = 3, 1
 TOXIC = 0.7
 LENGTHS = (4, 5, 6)
 BITS = 20
-#: Bound of the training sample: documents of each label, and characters of one.
+#: Bound of the training sample: documents of each label, and characters of all of them together.
 PER_CLASS = {0: 1600, 1: 1000}
-MAX_TRAINING_CHARS = 30_000
+MAX_TRAINING_CHARS = 20_000_000
 #: Odds of label 1 that scores assume before the text is seen; above its share, so that toxic texts are caught.
 PRIOR_ODDS = 0.5
 

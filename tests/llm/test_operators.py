@@ -186,9 +186,9 @@ def test_repeated_documents_displace_no_class_of_a_sample(spark):
     rows, labels = labelled(spark, "quality")
     hot = documents(spark, [(4, f"copy {k}", "en", "s") for k in range(50)])
     several = rows.unionAll(rows).unionAll(rows).unionAll(hot)
-    sample, counts = training_sample(several, labels, "quality", 4, 2, {0: 20, 1: 30}, 1000)
+    sample, counts = training_sample(several, labels, "quality", 4, 2, {0: 20, 1: 30}, 10**7)
     assert Counter(r.y for r in sample.collect()) == {0: 20, 1: 30} and min(counts.values()) > 50
-    once, _ = training_sample(rows, labels, "quality", 4, 2, {0: 20, 1: 30}, 1000)
+    once, _ = training_sample(rows, labels, "quality", 4, 2, {0: 20, 1: 30}, 10**7)
     differ = set(map(tuple, sample.collect())) ^ set(map(tuple, once.collect()))
     assert all(t.startswith("copy ") or t == rows.where("doc_id = 4").first().text for t, _ in differ)
 
