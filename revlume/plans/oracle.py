@@ -572,6 +572,7 @@ ORACLE: dict[str, str] = {
 # Whatever order the files land in, the incremental jobs end where the batch ones do.
 ORACLE["stream_first_seen"] = ORACLE["dedup_first_seen"]
 ORACLE["stream_page_walk"] = ORACLE["page_walk"]
+ORACLE["pruned_collect"] = ORACLE["collect_app_store"]
 ORACLE["landed_pages"] = """WITH docs AS (
     SELECT doc_id, 'app-' || (doc_id // 60) AS app_id, lang AS country, (doc_id % 60) // 10 + 1 AS page FROM documents),
   files AS (

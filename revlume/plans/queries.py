@@ -37,6 +37,7 @@ from revlume.sources.app_store import (
 from revlume.sources.catalog import catalog_errors, request_frontier
 from revlume.sources.google_play import parse_google_play
 from revlume.sources.landed import landed_app_store, landing_report
+from revlume.sources.partitioned import read_landing, write_landing
 from revlume.sources.sinks import read_csv, write_csv
 from revlume.streaming.dedup import run_available, stream_dedup
 from revlume.streaming.first_seen import settled, stream_first_seen
@@ -127,6 +128,19 @@ def collect_app_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pruned_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a landing in folders by country and bucket of apps, read for the countries and apps asked for."""
+    path = scratch_path(spark, "landing")
+    write_landing(views.app_store_pages(spark, sf_dir), path)
+    apps = views.documents(spark, sf_dir).select(F.expr(f"concat('app-', doc_id div {views.DOCS_PER_APP})").alias("app_id"))
+    pages = read_landing(spark, path, APP_STORE_PAGES, COUNTRIES, apps.distinct())
+    read = staged(with_page_stats(read_pages(pages)), "app-store")
+    return _collected(page_reviews(read), page_stats(read), PAGE_KEY).select(
+        "app_id", "country", "page", "entry_pos", day("review_date"), "star_rating",
+        "reviewer_anonymized", "text_hash",
+    )
+
+
 def collect_google_play(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw Google Play batches to clean reviews."""
     batches = views.google_play_batches(spark, sf_dir)
@@ -678,6 +692,7 @@ def page_walk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_review_table": clean_review_table,
     "collect_app_store": collect_app_store,
+    "pruned_collect": pruned_collect,
     "collect_google_play": collect_google_play,
     "full_run": full_run,
     "output_layout": output_layout,
