@@ -357,7 +357,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id``, ``key``, ``n_shingles``, ``component_id`` and ``kept``."""
+    """One row per document: ``doc_id``, ``key``, ``n_shingles``, ``component_id``, ``kept`` and ``component``.
+
+    ``component`` names the group whatever its ids are; it is null without words.
+    """
     ship(docs.sparkSession)
     signed = signed_documents(docs)
     known = signed.where(F.col("name").isNotNull())
@@ -381,23 +384,29 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     labels = labels.withColumnRenamed("node", "name")
     grouped = staged(labels.join(classes.select("name", "rep"), "name"), "op7-grouped")
     smallest = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
-    linked = with_attributes(grouped, smallest, ["label"], ["name"]).select("name", "component_id")
+    linked = with_attributes(grouped, smallest, ["label"], ["name"]).select("name", "component_id", "label")
     final = classes.select("name", "rep").join(linked, "name", "left")
-    final = final.select("name", F.coalesce("component_id", "rep").alias("component_id"))
+    final = final.select("name", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("label", "name").alias("component"))
     rows = signed.select("doc_id", "key", "n_shingles", "name").join(final, "name", "left")
     component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "key", "n_shingles", component.alias("component_id")).withColumn(
+    return rows.select("doc_id", "key", "n_shingles", component.alias("component_id"), "component").withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, columns unchanged; those without words all stay."""
+    """``docs`` with one document of each component, columns unchanged; those without words all stay.
+
+    The one with the smallest id stays, null ids last; of several texts with that id the first by hash.
+    """
     found = staged(deduplicate(docs), "op7-found")
     none, number = F.col("doc_id").isNull().alias("d_none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d_id")
-    groups = found.where("n_shingles > 0").select(none, number, "key", "kept").groupBy("d_none", "d_id", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")
-    )
+    groups = found.where("n_shingles > 0").select("component", "doc_id", none, number, "key")
+    groups = groups.groupBy("component", "doc_id", "d_none", "d_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct("d_none", "doc_id", "key")).alias("first")
+    groups = with_attributes(groups, groups.groupBy("component").agg(first), ["component"], ["key"])
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    groups = groups.select("d_none", "d_id", "key", "n", kept.alias("kept"))
     whole = docs.select(F.struct("*").alias("row"), none, number, F.xxhash64(F.col("text").cast("string")).alias("key"))
     on = ["d_none", "d_id", "key"]
     odd = staged(groups.where("n > 1 or not kept"), "op7-odd")
