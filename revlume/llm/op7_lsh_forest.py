@@ -9,14 +9,16 @@ a tree once it has met ``ENOUGH`` classes that look like clear links, so a crowd
 of near copies gives each member a few candidates and never all pairs.
 
 That pass only comes first.  What it left out is made up at the end: all classes that share a first hash
-in a tree are compared, in blocks, unless they are in one component by then.  So neither the reach nor the
-borders of partitions decide on a link; a pair is missed only where it shares none of the ``TREES`` first
-hashes or its sketches are unlike (``LEAST_EQUAL``).
+in a tree meet in tiles of bounded size, unless they are in one component by then.  Classes of a region's
+largest component never meet each other there, so a crowd with few outliers takes one row a class.  So neither
+the reach nor the borders of partitions decide on a link; a pair is missed only where it shares none of the
+``TREES`` first hashes or its sketches are unlike (``LEAST_EQUAL``).
 
-Candidates whose signatures are far apart are left out, the rest are confirmed on whole sets, and the
-components of the confirmed links are found by hooking and pointer jumping.  A class that was compared
-with members of another component in vain is compared with its centres before the rest.  Every stage that is
-used twice is a written table.
+Candidates whose signatures are far apart are left out, the rest are confirmed on whole sets: those of the
+first pass pair by pair, those of the last inside their tile, which gives out no more links than join its
+components.  So a tile takes and gives rows in proportion to its classes, however many pairs it holds.  The
+components of the links are found by hooking and pointer jumping.  Every stage that is used twice is a written
+table.
 
 Defined results: a null text, or one without words, has no shingles and is a component of its own;
 fewer than five words are one shingle; a null id takes part, and its component is the smallest id of
@@ -48,15 +50,16 @@ HASHES = TREES * DEPTH
 REACH, ENOUGH = 12, 2
 #: Share of equal hashes below which a pair is no candidate (4 deviations under LINK), and of a clear link.
 LEAST_EQUAL, CLEAR = 0.58, 0.82
-#: Members of a component that stand for it where a class was compared with others in vain.
-CENTRES = 4
-#: Classes of a region in one block; every two blocks meet in one place.
-BLOCK = 1024
+#: Classes of a region in one block, and their shingles; every two blocks meet in one tile.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Shingles of the tiles that are confirmed together, and pairs that are gone through at once.
+AT_ONCE, PAIRS_AT_ONCE = 1 << 21, 1 << 19
 MAX_BROADCAST_ROWS = 500_000
 
 _random = np.random.default_rng(20)
 _FACTORS = _random.integers(1, 1 << 63, HASHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 1 << 14
+TILE = ["region", "low", "high"]
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -146,52 +149,111 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([_names(a), _names(b)], names=["a", "b"])
 
 
-def _unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs to confirm among the classes of different components that meet in one tile; sorted by tile."""
-    held = None
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Whole tiles, several at a time, and the number of each row's tile; the rows come sorted by tile."""
+    held = []
     for batch in itertools.chain(batches, [None]):
         if batch is not None and not batch.num_rows:
             continue
         if batch is not None:
-            numbers = np.stack([batch.column(c).to_numpy() for c in ("region", "low", "high", "block")], axis=1)
-            names = (_fixed(batch.column(c), 16, "S16")[:, 0] for c in ("name", "label"))
-            rows = (numbers, *names, _fixed(batch.column("sketch"), HASHES, "u1"))
-            if held is not None:
-                rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
-        elif held is not None:
-            rows = held
-        else:
+            held.append(batch)
+        rows = pa.concat_batches(held) if held else None
+        if rows is None:
             return
-        numbers = rows[0]
-        tile = np.concatenate([[0], np.cumsum((numbers[1:, :3] != numbers[:-1, :3]).any(axis=1))])
+        numbers = np.stack([rows.column(c).to_numpy() for c in TILE], axis=1)
+        tile = np.concatenate([[0], np.cumsum((numbers[1:] != numbers[:-1]).any(axis=1))])
         # The last tile may go on in the next batch.
         end = len(tile) if batch is None else int(np.searchsorted(tile, tile[-1]))
-        held = tuple(x[end:].copy() for x in rows)
-        yield from _unlike_in_tiles(tile[:end], *(x[:end] for x in rows))
-
-
-def _unlike_in_tiles(
-    tile: np.ndarray, numbers: np.ndarray, name: np.ndarray, label: np.ndarray, sketch: np.ndarray
-) -> Iterator[pa.RecordBatch]:
-    label = np.unique(label, return_inverse=True)[1]
-    inside, block = numbers[:, 1] == numbers[:, 2], numbers[:, 3]
-    left, right, held = [], [], 0
+        held = [rows.slice(end)]
+        if end:
+            yield tile[:end], rows.slice(0, end)
+
+
+def _pairs_in_tiles(tile: np.ndarray, rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs to confirm: of different components, sketches and sizes alike, and met in no earlier tree."""
+    label = np.unique(_fixed(rows.column("label"), 16, "S16")[:, 0], return_inverse=True)[1]
+    block, tree, size = (rows.column(c).to_numpy() for c in ("block", "tree", "n_shingles"))
+    inside = rows.column("low").to_numpy() == rows.column("high").to_numpy()
+    sketch, firsts = _fixed(rows.column("sketch"), HASHES, "u1"), _fixed(rows.column("firsts"), 4 * TREES, ">u4")
+    earlier = np.arange(TREES) < tree[:, None]
     i, d = np.arange(len(tile)), 0
     while len(i):
         d += 1
         i = i[i + d < len(tile)]
         i = i[tile[i] == tile[i + d]]
         p = i[(label[i] != label[i + d]) & (inside[i] | (block[i] != block[i + d]))]
-        p = p[(sketch[p] == sketch[p + d]).mean(axis=1) >= LEAST_EQUAL] if len(p) else p
-        left.append(name[p])
-        right.append(name[p + d])
+        least, most = np.minimum(size[p], size[p + d]), np.maximum(size[p], size[p + d])
+        p = p[100 * least >= LINK * most]
+        if len(p):
+            p = p[(sketch[p] == sketch[p + d]).mean(axis=1) >= LEAST_EQUAL]
+        if len(p):
+            p = p[~((firsts[p] == firsts[p + d]) & earlier[p]).any(axis=1)]
+        if len(p):
+            yield p, p + d
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the tiles that have a pair to confirm."""
+    for tile, rows in _tiles(batches):
+        used = np.zeros(len(tile), bool)
+        for left, right in _pairs_in_tiles(tile, rows):
+            used[left] = used[right] = True
+        if used.any():
+            yield rows.filter(pa.array(used))
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components, confirmed on whole sets: no more than it takes to join them."""
+    for tile, rows in _tiles(batches):
+        # Whole tiles again, as many as have ``AT_ONCE`` shingles together.
+        total = np.cumsum(rows.column("n_shingles").to_numpy())
+        starts = np.flatnonzero(np.diff(tile, prepend=-1))
+        share = (total[starts] // AT_ONCE).astype(np.int64)
+        cuts = [*starts[np.flatnonzero(np.diff(share, prepend=-1))], len(tile)]
+        for a, b in itertools.pairwise(cuts):
+            yield from _joining_links(tile[a:b], rows.slice(a, b - a))
+
+
+def _joining_links(tile: np.ndarray, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    name, column = _fixed(rows.column("name"), 16, "S16")[:, 0], rows.column("shingles")
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+    bounds = np.cumsum([0, *map(len, sets)])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    present = np.zeros(int(ids.max()) + 1, bool)
+    group = np.unique(_fixed(rows.column("label"), 16, "S16")[:, 0], return_inverse=True)[1]
+    left, right, held = [], [], 0
+
+    def confirmed() -> Iterator[tuple[int, int]]:
+        x, y = np.concatenate(left), np.concatenate(right)
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        for i, others in zip(x[np.flatnonzero(np.diff(x, prepend=-1))], np.split(y, np.flatnonzero(np.diff(x)) + 1), strict=True):
+            own = ids[bounds[i] : bounds[i + 1]]
+            present[own] = True
+            for j in others[group[others] != group[i]]:
+                if group[j] == group[i]:
+                    continue
+                both = int(np.count_nonzero(present[ids[bounds[j] : bounds[j + 1]]]))
+                if 100 * both >= LINK * (len(own) + len(sets[j]) - both):
+                    group[group == group[j]] = group[i]
+                    yield i, j
+            present[own] = False
+
+    links = []
+    for p, q in _pairs_in_tiles(tile, rows):
+        left.append(p)
+        right.append(q)
         held += len(p)
-        if held and (held > 50_000 or not len(i)):
-            a, b = np.concatenate(left), np.concatenate(right)
-            swap = a > b
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            yield pa.RecordBatch.from_arrays([_names(a), _names(b)], names=["a", "b"])
+        if held > PAIRS_AT_ONCE:
+            links += confirmed()
             left, right, held = [], [], 0
+    if held:
+        links += confirmed()
+    if links:
+        a, b = name[[i for i, _ in links]], name[[j for _, j in links]]
+        swap = a > b
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        yield pa.RecordBatch.from_arrays([_names(a), _names(b)], names=["a", "b"])
 
 
 def _names(values: np.ndarray) -> pa.Array:
@@ -210,14 +272,12 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good, similar = [], []
+        good = []
         for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             good.append(100 * both >= LINK * (len(x) + len(y) - both))
-            similar.append(both / (len(x) + len(y) - both))
-        rows = [batch.column("a"), batch.column("b"), pa.array(similar, pa.float64())]
-        yield pa.RecordBatch.from_arrays(rows, names=["a", "b", "similarity"]).filter(pa.array(good, pa.bool_()))
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
 def signed_documents(docs: DataFrame) -> DataFrame:
@@ -245,9 +305,8 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     return staged(rows.mapInArrow(_neighbours, "a binary, b binary").distinct(), "op7-pairs")
 
 
-def whole_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``name`` and ``shingles`` of all classes in ``pairs``; ``classes`` has ``name``, ``key`` and ``rep``."""
-    named = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+def whole_sets(docs: DataFrame, classes: DataFrame, named: DataFrame) -> DataFrame:
+    """``name`` and ``shingles`` of all classes in ``named``; ``classes`` has ``name``, ``key`` and ``rep``."""
     wanted = staged(classes.join(named, "name", "left_semi").select("key", "rep"), "op7-wanted")
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
@@ -257,64 +316,53 @@ def whole_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFra
 
 
 def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are similar enough, with their similarity."""
+    """The pairs whose whole sets are similar enough."""
     left = sets.select(F.col("name").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("name").alias("b"), F.col("shingles").alias("right"))
     joined = pairs.join(left, "a").join(right, "b")
-    return staged(joined.mapInArrow(_confirmed, "a binary, b binary, similarity double"), "op7-links")
+    return staged(joined.mapInArrow(_confirmed, "a binary, b binary"), "op7-links")
 
 
-def rim_pairs(pairs: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a class and the centres of a component that it was compared with in vain.
+def meeting_classes(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The classes that have a pair to confirm in a tile, once for each such tile.
 
-    In a crowd most members are less like an outlying class than the centre is, and the candidates may
-    have been such members.  The centres are the ``CENTRES`` members most like those they are linked to.
-    """
-    ends = links.select(F.col("a").alias("node"), "similarity").union(links.select("b", "similarity"))
-    scores = ends.groupBy("node").agg(F.avg("similarity").alias("score"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    best = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "node"))
-    centres = scores.join(labels, "node").withColumn("place", best).where(F.col("place") <= CENTRES)
-    centres = centres.groupBy("label").agg(F.collect_list("node").alias("centres"))
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    tried = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    tried = tried.where(~F.col("a_label").eqNullSafe(F.col("b_label")))
-    outside = tried.select(F.col("a").alias("x"), F.col("a_label").alias("own"), F.col("b_label").alias("label")).union(
-        tried.select("b", "b_label", "a_label")
-    )
-    # Of two components, the classes of the smaller one are compared with the centres of the larger.
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    outside = with_attributes(outside.where("label is not null").distinct(), sizes, ["label"], ["x"])
-    own = sizes.select(F.col("label").alias("own"), F.col("members").alias("own_members"))
-    outside = with_attributes(outside, own, ["own"], ["x"])
-    smaller = F.coalesce("own_members", F.lit(1)) <= F.col("members")
-    outside = staged(outside.where(smaller).select("x", "label"), "op7-rim")
-    met = with_attributes(outside, centres, ["label"], ["x"]).select("x", F.explode("centres").alias("y"))
-    return staged(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "op7-rim-pairs")
-
-
-def untried_pairs(classes: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """All other pairs to confirm: a first hash in common, sketches alike, not ``tried`` and not in one component.
-
-    The classes of a region (one tree and first hash) are dealt to blocks and every two blocks meet in one
-    tile, so no region lands in one task.  Regions of one component alone are left out.
+    Classes meet that share a first hash (a region is one tree and first hash) and are not in one component.
+    They are dealt to blocks and every two blocks meet in one tile, so no region lands in one task; blocks of the
+    region's largest component meet only the others.  Regions of one component alone are left out.
     """
-    rows = classes.select("name", "signature").join(labels.withColumnRenamed("node", "name"), "name", "left")
-    rows = staged(rows.select("name", F.coalesce("label", "name").alias("label"), "signature", _sketch().alias("sketch")), "op7-labelled")
+    rows = classes.join(labels.withColumnRenamed("node", "name"), "name", "left")
+    firsts = F.expr(f"concat({', '.join(f'substring(signature, {t * 4 * DEPTH + 1}, 4)' for t in range(TREES))})")
+    rows = rows.select("name", F.coalesce("label", "name").alias("label"), "n_shingles", _sketch().alias("sketch"), firsts.alias("firsts"))
+    rows = staged(rows, "op7-labelled")
     # 64 bits name a region; two regions of one name would only meet in vain.
-    region = F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(signature, t * {4 * DEPTH} + 1, 4)))")
-    rows = rows.select("name", "label", "sketch", F.explode(region).alias("region"))
-    regions = rows.groupBy("region").agg(
-        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("label").alias("least"), F.max("label").alias("most")
-    )
-    regions = staged(regions.where("least != most").select("region", "blocks"), "op7-regions")
+    trees = F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(firsts, t * 4 + 1, 4)))"))
+    held = rows.select("label", "n_shingles", trees.alias("tree", "region")).groupBy("region", "label")
+    held = held.agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"))
+    largest = F.max_by(F.struct("label", "n", "m"), F.struct("n", "label")).alias("largest")
+    regions = held.groupBy("region").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("labels"), largest)
+    blocks = lambda n, m: F.ceil(F.greatest(n / BLOCK, m / BLOCK_SHINGLES)).cast("int")
+    regions = regions.where("labels > 1").select(
+        "region", F.col("largest.label").alias("top"), blocks(F.col("largest.n"), F.col("largest.m")).alias("crowd"),
+        blocks(F.col("n") - F.col("largest.n"), F.col("m") - F.col("largest.m")).alias("others"),
+    )
+    regions = staged(regions, "op7-regions")
+    rows = rows.select("*", trees.alias("tree", "region"))
     rows = rows.join(F.broadcast(regions) if fits(regions, MAX_BROADCAST_ROWS) else regions, "region")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    crowded = F.col("label") == F.col("top")
+    dealt = lambda n: F.pmod(F.xxhash64("name"), F.col(n)).cast("int")
+    rows = rows.withColumn("block", F.when(crowded, F.col("others") + dealt("crowd")).otherwise(dealt("others")))
+    met = F.when(crowded, F.col("others")).otherwise(F.col("others") + F.col("crowd"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
     low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-    tile = ["region", "low", "high"]
-    rows = rows.select("region", low, high, "block", "name", "label", "sketch").repartition(*tile).sortWithinPartitions(*tile)
-    found = rows.mapInArrow(_unlike, "a binary, b binary").distinct()
-    return staged(found.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "op7-untried")
+    rows = rows.select("region", low, high, "block", "tree", "name", "label", "n_shingles", "sketch", "firsts")
+    rows = rows.repartition(*TILE).sortWithinPartitions(*TILE)
+    return staged(rows.mapInArrow(_meeting, rows.schema), "op7-meeting")
+
+
+def joining_links(sets: DataFrame, meeting: DataFrame) -> DataFrame:
+    """Confirmed links that join the components of ``meeting``; ``sets`` has ``name`` and ``shingles``."""
+    rows = meeting.join(sets, "name").repartition(*TILE).sortWithinPartitions(*TILE)
+    return staged(rows.mapInArrow(_joining, "a binary, b binary"), "op7-joining")
 
 
 def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
@@ -366,19 +414,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     known = signed.where(F.col("name").isNotNull())
     # The class keeps the smallest id and the text it has; null ids come last.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
-    classes = known.groupBy("name").agg(least, F.min("signature").alias("signature"))
-    classes = staged(classes.select("name", "signature", "least.key", F.col("least.doc_id").alias("rep")), "op7-classes")
+    classes = known.groupBy("name").agg(least, F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles"))
+    classes = staged(classes.select("name", "signature", "n_shingles", "least.key", F.col("least.doc_id").alias("rep")), "op7-classes")
     pairs = candidate_pairs(classes)
-    sets = whole_sets(docs, classes, pairs)
-    links = confirm(sets, pairs)
-    labels = components(links)
-    rim = rim_pairs(pairs, links, labels)
-    more = confirm(sets, rim)
-    if not more.isEmpty():
-        labels = staged(merged(labels, more), "op7-merged")
-    rest = untried_pairs(classes, labels, pairs.select("a", "b").union(rim.select("a", "b")))
-    if not rest.isEmpty():
-        more = confirm(whole_sets(docs, classes, rest), rest)
+    named = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+    labels = components(confirm(whole_sets(docs, classes, named), pairs))
+    meeting = meeting_classes(classes, labels)
+    if not meeting.isEmpty():
+        more = joining_links(whole_sets(docs, classes, meeting.select("name").distinct()), meeting)
         if not more.isEmpty():
             labels = staged(merged(labels, more), "op7-merged")
     labels = labels.withColumnRenamed("node", "name")

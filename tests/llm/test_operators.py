@@ -344,6 +344,43 @@ def test_the_last_pass_finds_what_no_earlier_one_met(spark, docs, monkeypatch):
     assert order(map(tuple, got)) == order(near_groups(PLAIN))
 
 
+@pytest.mark.parametrize("block", [3, 40])
+def test_links_are_whole_across_blocks(spark, docs, monkeypatch, block):
+    """Regions of many blocks: a chain of near copies, a crowd with a rim, and no pair from the first pass."""
+    base = sentence(41, 200).split()
+    rows = texts()
+    for k in range(60):
+        words = list(base)
+        for j in range(k // 2):
+            words[(7 + 5 * j) % 200] = f"new{k}x{j}"
+        rows.append((5000 + k, " ".join(words), "en", "s"))
+    pairs = op7.candidate_pairs
+    monkeypatch.setattr(op7, "candidate_pairs", lambda classes: pairs(classes).limit(0))
+    monkeypatch.setattr(op7, "BLOCK", block)
+    got = op7.deduplicate(documents(spark, rows)).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert order(map(tuple, got)) == order(near_groups([(i, t) for i, t, _, _ in rows]))
+
+
+def test_texts_of_one_template_make_rows_in_proportion(spark):
+    """No text is linked to another: what is joined grows with the texts and not with their pairs."""
+    random = np.random.default_rng(8)
+    base = sentence(56, 240).split()
+
+    def rows(n):
+        for k in range(n):
+            words = list(base)
+            for j, at in enumerate(random.choice(np.arange(0, 240, 6), 9, replace=False)):
+                words[at] = f"new{k}x{j}"
+            yield (k, " ".join(words), "en", "s")
+
+    made = []
+    for n in (200, 400, 800):
+        signed = op7.signed_documents(documents(spark, list(rows(n))))
+        none = spark.createDataFrame([], "node binary, label binary")
+        made.append(op7.meeting_classes(signed.select("name", "signature", "n_shingles"), none).count())
+    assert made[0] > 200 and made[1] <= 2.5 * made[0] and made[2] <= 2.5 * made[1]
+
+
 def test_components_of_long_chains_and_stars(spark):
     name = lambda k: k.to_bytes(16, "big")
     pairs = [(k, k + 1) for k in range(1000, 1060)] + [(1, k) for k in range(2, 50)] + [(500, 501)]
