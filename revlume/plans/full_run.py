@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from revlume.functions import output_name
 from revlume.functions.naming import SLUG_OF_KEY
@@ -31,11 +31,12 @@ from revlume.sources.app_store import (
 )
 from revlume.sources.catalog import CONFIG_ERROR_CODE, catalog_errors
 from revlume.sources.google_play import parse_google_play
-from revlume.sources.sinks import named_outputs, sorted_by_output, write_csv
+from revlume.sources.sinks import named_outputs, sorted_by_output, write_csv, write_summary
 
 log = logging.getLogger(__name__)
 
 OUTPUT_MODES = ("reviews", "analysis", "both")
+OUTPUT_KINDS = ("reviews", "analysis")
 
 
 @dataclass(frozen=True)
@@ -169,11 +170,12 @@ def _files_written(config: RunConfig) -> Column:
 
 def _write(
     reviews: DataFrame, path: str, config: RunConfig, scorer: Scorer | None
-) -> bool:
-    """One sorted CSV dataset with a folder per output name.
+) -> int:
+    """One sorted CSV dataset with a folder per output name; returns its number of rows.
 
     Rows are scored after the sort: a range sort reads its input twice, and
-    scores do not change the order.
+    scores do not change the order.  They are counted while they are written,
+    behind the sort, where each partition counts once.
     """
     named = named_outputs(
         reviews, F.col("app_name"), config.single_file, analysis=scorer is not None
@@ -189,7 +191,9 @@ def _write(
         scores = ["sentiment_score", "sentiment_label"]
         others = [c for c in columns.columns if c not in scores]
         columns = columns.select(*others, *scores)
-    return write_csv(columns, path, ["output_name"], same_rows=reviews)
+    written = Observation()
+    counted = columns.observe(written, F.count(F.lit(1)).alias("n_rows"))
+    return written.get["n_rows"] if write_csv(counted, path, ["output_name"], same_rows=reviews) else 0
 
 
 def run(
@@ -204,8 +208,10 @@ def run(
     """Validate, collect, write and summarise.
 
     ``scorer`` comes from ``choose_scorer`` and is needed for the analysis
-    output.  Outputs go to ``{out_dir}/reviews`` and ``{out_dir}/analysis``, the
-    summary is appended to ``{out_dir}/run_summary``.
+    output.  Outputs go to ``{out_dir}/reviews`` and ``{out_dir}/analysis``.  The
+    summary goes last, to the folder of ``run_id`` in ``{out_dir}/run_summary``, and
+    takes the place of what a run of that id left there: a run that failed and is
+    started again leaves the rows of one.
     """
     if config.write_analysis and scorer is None:
         raise ValueError("the analysis output needs a scorer")
@@ -234,6 +240,8 @@ def run(
     found = [p for p in parts if p is not None]
     collected = time.monotonic()
     paths: list[str] = []
+    rows_written: dict[str, int] = {}
+    writing: dict[str, float] = {}
     if found:
         names = apps.select("app_id", "app_name")
         reviews = with_attributes(union_all(*found), names, ["app_id"], spread_by=["text_hash"])
@@ -241,8 +249,12 @@ def run(
             ("reviews", config.write_raw, None),
             ("analysis", config.write_analysis, scorer),
         ):
-            path = f"{out_dir}/{kind}"
-            if wanted and _write(reviews, path, config, with_scorer):
+            if not wanted:
+                continue
+            path, begun = f"{out_dir}/{kind}", time.monotonic()
+            rows_written[kind] = _write(reviews, path, config, with_scorer)
+            writing[kind] = round(time.monotonic() - begun, 2)
+            if rows_written[kind]:
                 paths.append(path)
         counted = reviews.select("app_id", "platform")
     else:
@@ -262,10 +274,12 @@ def run(
         F.lit(round(finished - started, 2)).alias("duration_seconds"),
         F.lit(round(collected - started, 2)).alias("collecting_seconds"),
         throughput(F.col("total_reviews"), F.lit(collected - started)).alias("reviews_per_second"),
+        *[F.lit(rows_written.get(k)).cast("long").alias(f"run_{k}_rows") for k in OUTPUT_KINDS],
+        *[F.lit(writing.get(k)).cast("double").alias(f"run_{k}_seconds") for k in OUTPUT_KINDS],
         "platforms_failed", "interrupted",
         *[F.coalesce(c, F.lit(0)).alias(c) for c in QUALITY[1:]],
         F.lit(json.dumps(errors, sort_keys=True)).alias("platform_errors"),
     )
     summary = staged(summary, "summary")
-    summary.write.mode("append").json(f"{out_dir}/run_summary")
+    write_summary(summary, f"{out_dir}/run_summary")
     return RunResult(reviews, summary, rejected, tuple(paths))

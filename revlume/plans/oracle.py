@@ -391,6 +391,15 @@ kept AS (
   SELECT *, concat_ws('/', platform, app_id, country, page, entry_pos) AS uid
   FROM (SELECT * FROM kept_a UNION ALL SELECT * FROM kept_g))"""
 
+# Totals and status of each valid app of a full run.
+_RUN_TOTALS = f"""{_FULL_RUN},
+n AS (SELECT app_id, count(*) FILTER (platform = 'App Store') AS na,
+        count(*) FILTER (platform <> 'App Store') AS ng FROM kept GROUP BY 1),
+t AS (SELECT app_id, coalesce(na, 0) + coalesce(ng, 0) AS total_reviews,
+        (on_a AND coalesce(na, 0) = 0)::INT + (on_g AND coalesce(ng, 0) = 0)::INT AS n_failed
+      FROM (SELECT * FROM checked WHERE errors = '') LEFT JOIN n USING (app_id)),
+s AS (SELECT *, {STATUS.format(stop="false", total="total_reviews", failed="n_failed")} AS status FROM t)"""
+
 ORACLE: dict[str, str] = {
     "clean_review_table": f"""WITH {CLEAN}, {scored("clean", "seq", "review_text")}
         SELECT seq, app_id, platform, review_date, star_rating, reviewer_anonymized, text_hash,
@@ -563,6 +572,14 @@ ORACLE: dict[str, str] = {
         SELECT 'both' AS mode, app_name || '_' || pkey || '_reviews' || tail AS output_name, count(*) AS n_rows
         FROM named, (VALUES (''), ('_analysis')) AS t(tail) GROUP BY ALL
         UNION ALL SELECT 'reviews', app_name || '_reviews', count(*) FROM named GROUP BY ALL""",
+    "run_metrics": f"""WITH {_RUN_TOTALS}
+        SELECT app_id, status, {CODE.format("status")} AS exit_code, total_reviews,
+          CASE WHEN total_reviews > 0 THEN 2 ELSE 0 END AS n_files,
+          (SELECT count(*) FROM kept) AS run_reviews_rows, (SELECT count(*) FROM kept) AS run_analysis_rows,
+          true AS times_ok FROM s""",
+    "rerun_output": f"""WITH {_RUN_TOTALS}
+        SELECT run_id, app_id, status, total_reviews, 1::BIGINT AS n_rows
+        FROM s, (VALUES ('first'), ('second')) AS r(run_id)""",
     "throughput": f"""WITH {CLEAN}
         SELECT app_id, count(*) AS total,
           coalesce(round(count(*) / nullif(CAST(substr(app_id, 5) AS INT) % 4 * 2.5::DOUBLE, 0), 6), -1.0) AS per_second

@@ -38,7 +38,7 @@ from revlume.sources.catalog import catalog_errors, request_frontier
 from revlume.sources.google_play import parse_google_play
 from revlume.sources.landed import landed_app_store, landing_report
 from revlume.sources.partitioned import read_landing, write_landing
-from revlume.sources.sinks import read_csv, write_csv
+from revlume.sources.sinks import read_csv, read_summary, write_csv
 from revlume.streaming.dedup import run_available, stream_dedup
 from revlume.streaming.first_seen import settled, stream_first_seen
 from revlume.streaming.walk import settled_pages, stream_walk
@@ -183,6 +183,38 @@ def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run measures of itself: rows of each app and output, counted while written, and its times."""
+    config = RunConfig(as_of=AS_OF, countries=tuple(COUNTRIES), output_mode="both")
+    result = run(
+        views.app_catalog(spark, sf_dir), views.app_store_pages(spark, sf_dir),
+        views.google_play_batches(spark, sf_dir), scratch_path(spark, "metrics"), config,
+        lexicon_scorer(spark, sf_dir, DEDUP_KEY),
+    )
+    parts = ["collecting_seconds", "run_reviews_seconds", "run_analysis_seconds"]
+    times = F.forall(F.array("duration_seconds", *parts), lambda t: t.isNotNull() & (t >= 0))
+    # Each time is rounded to a hundredth.
+    whole = F.col("duration_seconds") + 0.05 >= sum((F.col(c) for c in parts), F.lit(0.0))
+    return result.summary.select(
+        "app_id", "status", "exit_code", "total_reviews", F.size("files_written").alias("n_files"),
+        "run_reviews_rows", "run_analysis_rows", (times & whole).alias("times_ok"),
+    )
+
+
+def rerun_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary rows after a run, one of another id, and the first once more: each app has one row of each run."""
+    out = scratch_path(spark, "rerun")
+    config = RunConfig(as_of=AS_OF, countries=tuple(COUNTRIES), output_mode="reviews")
+    landed = [
+        staged(view(spark, sf_dir), "rerun-in")
+        for view in (views.app_catalog, views.app_store_pages, views.google_play_batches)
+    ]
+    for run_id in ("first", "second", "first"):
+        run(*landed, out, config, run_id=run_id)
+    rows = read_summary(spark, f"{out}/run_summary", "app_id string, status string, total_reviews long")
+    return rows.groupBy("run_id", "app_id", "status", "total_reviews").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def output_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs and their rows of a run with one file per platform and both kinds, and of a raw one."""
     catalog, pages, batches = (
@@ -696,6 +728,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "collect_google_play": collect_google_play,
     "full_run": full_run,
     "output_layout": output_layout,
+    "run_metrics": run_metrics,
+    "rerun_output": rerun_output,
     "app_store_parse": app_store_parse,
     "app_store_parse_strict": app_store_parse_strict,
     "page_quality": page_quality_query,

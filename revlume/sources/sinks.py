@@ -51,6 +51,17 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     )
 
 
+def write_summary(summary: DataFrame, path: str) -> None:
+    """Put the rows of each ``run_id`` in the place of earlier ones; other runs stay."""
+    writer = summary.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_id").json(path)
+
+
+def read_summary(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """``run_id`` and ``columns`` of all runs."""
+    return spark.read.schema(f"run_id string, {columns}").json(path)
+
+
 def named_outputs(
     reviews: DataFrame, app_name: Column, single_file: bool, analysis: bool
 ) -> DataFrame:

@@ -14,7 +14,7 @@ from revlume.functions.naming import APP_STORE
 from revlume.operators.analysis import choose_scorer
 from revlume.plans.full_run import RunConfig, run
 from revlume.session import shared_dir, staged
-from revlume.sources.sinks import read_csv, write_csv
+from revlume.sources.sinks import read_csv, read_summary, write_csv
 from revlume.streaming.dedup import run_available, stream_dedup
 from test_sources import feed, post
 
@@ -116,6 +116,26 @@ def test_run_combined(spark, scorer, tmp_out):
     assert spark.read.json(tmp_out + "/run_summary").count() == 3
 
 
+def test_a_rerun_takes_the_place_of_the_first(spark, tmp_out):
+    """The second run of an id replaces its rows, also where it finds less; other runs stay."""
+    catalog, pages, batches = landed(spark)
+    config = RunConfig(**{**CONFIG, "output_mode": "reviews"})
+    run(catalog, pages, batches, tmp_out, config, run_id="a")
+    run(catalog, pages, batches, tmp_out, config, run_id="7")
+    run(catalog, pages.where("app_id != '1'"), batches, tmp_out, config, run_id="a")
+    rows = read_summary(spark, tmp_out + "/run_summary", "app_id string, total_reviews long").collect()
+    assert sorted((r.run_id, r.app_id, r.total_reviews) for r in rows) == [
+        ("7", "1", 5), ("7", "2", 1), ("7", "4", 1), ("a", "1", 2), ("a", "2", 1), ("a", "4", 1),
+    ]
+
+
+def test_rows_are_counted_while_written(spark, scorer, tmp_out):
+    summary = run(*landed(spark), tmp_out, RunConfig(**CONFIG), scorer).summary.collect()
+    written = {kind: sum(map(len, rows_of(f"{tmp_out}/{kind}").values())) for kind in ("reviews", "analysis")}
+    assert {(r.run_reviews_rows, r.run_analysis_rows) for r in summary} == {(written["reviews"], written["analysis"])} == {(7, 7)}
+    assert all(r.run_reviews_seconds >= 0 and r.run_analysis_seconds >= 0 for r in summary)
+
+
 def test_run_split_and_extended(spark, scorer, tmp_out):
     config = RunConfig(**(CONFIG | dict(single_file=False, extended_fields=True, output_mode="analysis")))
     result = run(*landed(spark), tmp_out, config, scorer)
