@@ -5,8 +5,9 @@ one, and everything but letters and digits turned into single blanks.  Its SHA-2
 digests of known licences.  Entire texts are looked up, and so is every line by itself, which finds
 one-line notices inside longer documents.
 
-The entire texts are files in ``licenses``.  A line that begins with "copyright" is dropped even inside a
-text, so a text wrapped so that one begins with it in another place than in the listed forms is not found.
+The entire texts are files in ``licenses``.  A line counts as a copyright line only if a year, a place to fill in
+or a name of two words follows its sign, or, after "(c)" and "©", no more than three words in all.  So neither
+a clause (c) nor a wrapped line that begins with "copyright" is dropped.
 
 Only DataFrame functions are used.  Known licences are broadcast up to a counted bound.  Only matching
 lines are gathered, by the hash of their text, so copies of a document meet as one entry.
@@ -93,13 +94,21 @@ TITLES = {
 _OPENINGS = ("Licensed under", "Released under", "Distributed under", "This work is licensed under", "This software is licensed under",
              "This project is licensed under")
 
-_COPYRIGHT = r"(?m)^[^\p{L}\n(©]*(copyright|\(c\)|©)[^\n]*$"
+# A copyright line names a year, a place to fill in or two capitalised words; "(c)" alone may be the letter of a
+# clause, so there they must follow at once.  After a sign, a line of at most three words is a name as well.
+_YEAR = r"(?:(?:19|20)\d\d|[<\[{])"
+_NAME = r"(?:[ ,:]|(?i:copyright|\(c\)|©|by ))*\p{Lu}[\p{L}.&'-]* +\p{Lu}"
+_COPYRIGHT = (
+    rf"(?m)^[^\p{{L}}\n(©]*(?:(?i:copyright|©)(?:[^\n]*{_YEAR}|{_NAME})|"
+    rf"(?i:\(c\))(?:[ ,:]*(?:(?i:copyright|©)|{_YEAR})|{_NAME}))[^\n]*$|"
+    r"^[^\p{L}\n(©]*(?i:\(c\)|©) *[^ \n]+(?: +[^ \n]+){0,2} *$"
+)
 _OTHER = r"[^\p{L}\p{N}\n]+"
 
 
 def canonical_lines(text: Column) -> Column:
     """A text in canonical form, its lines kept apart."""
-    text = F.regexp_replace(F.lower(text), _COPYRIGHT, "")
+    text = F.lower(F.regexp_replace(text, _COPYRIGHT, ""))
     for spelling, chosen in (SPELLINGS | MORE_SPELLINGS).items():
         text = F.replace(text, F.lit(spelling), F.lit(chosen))
     return F.regexp_replace(text, _OTHER, " ")
@@ -110,7 +119,12 @@ def _digest(canonical: Column) -> Column:
 
 
 def _whole(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+    """The lines as one; spellings of two words may have stood on both sides of a line's end."""
+    text = F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+    for spelling, chosen in MORE_SPELLINGS.items():
+        if " " in spelling:
+            text = F.replace(text, F.lit(spelling), F.lit(chosen))
+    return text
 
 
 def known_digests(licenses: DataFrame) -> DataFrame:
@@ -178,7 +192,7 @@ def op4_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _canonical_sql(x: str) -> str:
     pattern = _COPYRIGHT.replace("'", "''")
-    out = f"regexp_replace(lower({x}), '{pattern}', '', 'g')"
+    out = f"lower(regexp_replace({x}, '{pattern}', '', 'g'))"
     for spelling, chosen in SPELLINGS.items():
         out = f"replace({out}, '{spelling}', '{chosen}')"
     return f"regexp_replace({out}, '{_OTHER}', ' ', 'g')"

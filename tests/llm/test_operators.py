@@ -1,7 +1,9 @@
 """Each operator on awkward rows against a plain restatement, and on an empty table."""
 
 import re
+import textwrap
 from collections import Counter, defaultdict
+from importlib import resources
 
 import numpy as np
 import pytest
@@ -274,6 +276,24 @@ def test_trigram_queries():
         assert hits and all(any(all(g in text.lower() for g in b) for b in grams[r.kind]) for r in hits)
 
 
+def test_licences_changed_and_wrapped(spark):
+    """A changed clause is no licence, another wrap still is one, and copyright lines of many forms are dropped."""
+    def wrapped(text, width):
+        return "\n\n".join("\n".join(textwrap.wrap(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False)) for p in re.split(r"\n\s*\n", text))
+
+    plain = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in resources.files("revlume.llm").joinpath("licenses").iterdir()}
+    clause = "(c) You must retain"
+    assert clause in plain["Apache-2.0"]
+    rows = [(0, plain["Apache-2.0"].replace(clause, "(c) You must never retain"), None), (1, plain["Apache-2.0"], "Apache-2.0")]
+    rows += [(2, wrapped(plain["BSD-3-Clause"], 60), "BSD-3-Clause"), (3, wrapped(plain["GPL-3.0"], 72), "GPL-3.0")]
+    rows += [(9, wrapped(plain["Apache-2.0"], 70), "Apache-2.0")]
+    lines = ("Copyright 2020 Foo", "(c) 2019, 2020 bar inc", "(C) Jane Doe", "Copyright (c) <year> <owner>", "© Jane Doe and others")
+    rows += [(10 + k, f"{line}\n\n{plain['MIT']}", "MIT") for k, line in enumerate(lines)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in op4.find_licenses(docs, op4.built_in(spark)).collect()}
+    assert got == {i: license for i, _, license in rows}
+
+
 # Near duplicates
 
 
