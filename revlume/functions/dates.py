@@ -6,6 +6,7 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, functions as F
 
+from revlume.functions.date_grammar import read_date
 from revlume.functions.text import strip_text
 
 # Fixed value: the look-back window, in days rather than calendar months.
@@ -14,35 +15,7 @@ WINDOW_DAYS = 365
 _ZONE = r"(?:Z|UTC|GMT|[+-]\d{2}(?::?\d{2})?)"
 _ISO = r"(?i)\A\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?: ?%s)?)?\z" % _ZONE
 _HAS_ZONE = r"(?i):\d{2}(?:\.\d+)?(?: ?[AP]M)? ?%s\z" % _ZONE
-_ZONE_TAIL = r"(?i) ?%s\z" % _ZONE
 _NO_SECONDS = r"\A(\S{10}[T ]\d{2}:\d{2})(?!:)"
-_WEEKDAY = r"\A[A-Za-z]{3,9}, "
-
-# Spellings besides ISO 8601, each with the shape that calls for it; the time
-# is optional.
-OTHER_DATES = {
-    "yyyy/M/d": r"\A\d{4}/",
-    "M/d/yyyy": r"\A\d{1,2}/",
-    "d/M/yyyy": r"\A(1[3-9]|2\d|3[01])/",
-    "MMM d, yyyy": r"\A[A-Za-z]{3} ",
-    "MMMM d, yyyy": r"\A[A-Za-z]{4,} ",
-    "d MMM yyyy": r"\A\d{1,2} [A-Za-z]{3} ",
-    "d MMMM yyyy": r"\A\d{1,2} [A-Za-z]{4,} ",
-    "yyyy.M.d": r"\A\d{4}\.",
-    "yyyy-M-d": r"\A\d{4}-\d{1,2}-",
-    "MMM d yyyy": r"\A[A-Za-z]{3} \d{1,2} \d{4}",
-}
-_OTHER_TIME = "[ h:mm[:ss] a][ H:mm[:ss]] X"
-# Shapes that are first written as one of the spellings above: ISO without marks, ISO with the
-# hour alone, and weekday first with the year last.
-REWRITTEN = {
-    r"(?i)\A(\d{4})(\d{2})(\d{2})\z": "$1-$2-$3",
-    r"(?i)\A(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(%s)?\z" % _ZONE: "$1-$2-$3T$4:$5$6",
-    r"(?i)\A(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})(%s)?\z" % _ZONE: "$1-$2-$3T$4:$5:$6$7",
-    r"(?i)\A(\d{4}-\d{2}-\d{2}[T ]\d{2})(%s)?\z" % _ZONE: "$1:00$2",
-    r"\A[A-Za-z]{3} ([A-Za-z]{3}) +(\d{1,2}) (\d{2}:\d{2}:\d{2}) (\d{4})\z": "$1 $2 $4 $3",
-}
-
 
 def utc_date(ts: Column) -> Column:
     """Calendar day of an instant in UTC."""
@@ -50,13 +23,6 @@ def utc_date(ts: Column) -> Column:
     return F.date_from_unix_date(days.cast("int"))
 
 
-def _spelled(col: Column) -> Column:
-    text = strip_text(col)
-    for shape, written in REWRITTEN.items():
-        text = F.regexp_replace(text, shape, written)
-    return text
-
-
 def _has_zone(text: Column) -> Column:
     return text.rlike(_HAS_ZONE)
 
@@ -69,38 +35,10 @@ def _iso_instant(text: Column) -> Column:
     return zoned.try_cast("timestamp")
 
 
-def _other_wall_clock(text: Column) -> Column:
-    """Wall-clock reading of a non-ISO text, held as if it were UTC."""
-    bare = F.when(_has_zone(text), F.regexp_replace(text, _ZONE_TAIL, "")).otherwise(text)
-    date_first = F.regexp_replace(bare, _WEEKDAY, "")
-    stamped = F.concat(date_first, F.lit(" Z"))
-    return F.coalesce(
-        *[
-            F.when(
-                date_first.rlike(shape),
-                F.try_to_timestamp(stamped, F.lit(spelling + _OTHER_TIME)),
-            )
-            for spelling, shape in OTHER_DATES.items()
-        ]
-    )
-
-
-def _offset_micros(text: Column) -> Column:
-    tail = r"([+-])(\d{2}):?(\d{2})?\z"
-    hours = F.coalesce(F.regexp_extract(text, tail, 2).try_cast("int"), F.lit(0))
-    minutes = F.coalesce(F.regexp_extract(text, tail, 3).try_cast("int"), F.lit(0))
-    sign = F.when(F.regexp_extract(text, tail, 1) == "-", -1).otherwise(1)
-    micros = sign * (hours * 60 + minutes) * F.lit(60_000_000).cast("long")
-    return F.when(_has_zone(text), micros).otherwise(F.lit(0))
-
-
 def parse_timestamp(col: Column) -> Column:
     """Instant named by a date text, null if unreadable; no offset means UTC."""
-    text = _spelled(col)
-    other = F.unix_micros(_other_wall_clock(text)) - _offset_micros(text)
-    return F.when(text.rlike(_ISO), _iso_instant(text)).otherwise(
-        F.timestamp_micros(other)
-    )
+    text = strip_text(col)
+    return F.when(text.rlike(_ISO), _iso_instant(text)).otherwise(read_date(text)["instant"])
 
 
 def local_date(col: Column) -> Column:
@@ -109,10 +47,10 @@ def local_date(col: Column) -> Column:
     Late-evening reviews west of Greenwich keep their own day, which the UTC
     instant would move to the next.
     """
-    text = _spelled(col)
+    text = strip_text(col)
     return F.when(
         text.rlike(_ISO), F.substring(text, 1, 10).try_cast("date")
-    ).otherwise(utc_date(_other_wall_clock(text)))
+    ).otherwise(read_date(text)["day"])
 
 
 def cutoff(as_of: datetime, days: int = WINDOW_DAYS) -> datetime:

@@ -539,6 +539,21 @@ ORACLE: dict[str, str] = {
         SELECT o_orderkey, {shown("CASE kind WHEN 8 THEN NULL ELSE midnight + CASE kind WHEN 1 THEN 84600 + 25200 WHEN 2 THEN 600 - 19800 WHEN 3 THEN 43200 WHEN 4 THEN 29700 WHEN 6 THEN 82800 + 28800 WHEN 10 THEN 43200 WHEN 11 THEN 43200 WHEN 14 THEN 43200 ELSE 0 END END")} AS epoch FROM d""",
     "review_date": f"""WITH {ORDER_DATES}
         SELECT o_orderkey, {shown("CASE kind WHEN 8 THEN NULL ELSE day END")} AS review_date FROM d""",
+    # what each spelling adds to midnight UTC; 11 to 15 have the month first where both numbers could be one
+    "date_spellings": f"""WITH {ORDER_DATES}, s AS (
+          SELECT o_orderkey, (o_orderkey % 40)::INT AS kind,
+            CASE WHEN o_orderkey % 40 >= 36 THEN NULL
+              WHEN o_orderkey % 40 IN (14, 15) AND day(day) <= 12 THEN make_date(year(day), day(day), month(day))
+              ELSE day END AS own
+          FROM d)
+        SELECT o_orderkey, kind, {shown("own")} AS own_day,
+          {shown("""CAST(epoch(own) AS BIGINT) * 1000000 + CASE kind WHEN 5 THEN 36900 WHEN 6 THEN 36900 + 12600 WHEN 7 THEN 43200
+            WHEN 12 THEN 86340 WHEN 17 THEN 81000 WHEN 18 THEN 81000 WHEN 22 THEN 37815 WHEN 23 THEN 3900
+            WHEN 24 THEN 84600 + 25200 WHEN 25 THEN 37800 WHEN 26 THEN 37800 WHEN 27 THEN 37800 + 28800 WHEN 28 THEN 79200
+            WHEN 29 THEN 37800 WHEN 30 THEN 81015 WHEN 31 THEN 37800 WHEN 32 THEN 37800 WHEN 33 THEN 37800
+            WHEN 34 THEN 46923 - 19800 WHEN 35 THEN 37800 + 10800 ELSE 0 END::BIGINT * 1000000
+            + CASE kind WHEN 31 THEN 123000 WHEN 32 THEN 123456 ELSE 0 END""")} AS micros
+        FROM s""",
     "coalesce_fallback": """SELECT conv_id, turn,
           CASE WHEN turn % 3 < 2 OR text = '' THEN role ELSE text END AS chosen FROM conversations""",
     "title_if_differs": f"""SELECT doc_id,

@@ -569,6 +569,33 @@ def review_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Forty spellings of an order's day, as patterns of ``date_format``; quoted parts stand as they are.
+DATE_SPELLINGS = [
+    "yyyy/MM/dd", "yyyy/M/d H:mm", "yyyy.MM.dd", "yyyy MM dd", "yyyyMMdd", "yyyyMMdd'T1015Z'", "yyyyMMdd'T101500-0330'",
+    "yyyy-MM-dd'T12Z'", "yyyy-M-d", "yyyy-MMM-dd", "yyyy MMMM d", "M/d/yyyy", "MM/dd/yyyy' 11:59 PM'", "M-d-yyyy",
+    "d/M/yyyy", "dd.MM.yyyy", "MMM d, yyyy", "MMM'. 'd, yyyy' 10:30 PM'", "MMMM d'th', yyyy' at 10:30 p.m.'",
+    "MMMM d yyyy", "d MMMM yyyy", "d'th of 'MMMM yyyy' 12:00 am'", "dd-MMM-yyyy' 10:30:15'", "d MMM yyyy' 1:05am'",
+    "EEE, dd MMM yyyy' 23:30:00 -0700'", "EEE MMM d' 10:30:00 'yyyy", "EEE MMM dd' 10:30:00 UTC 'yyyy",
+    "EEE MMM d' 10:30:00 -0800 'yyyy", "EEEE, MMMM d, yyyy' 10 PM'", "'10:30 'd MMMM yyyy", "'10:30:15 PM, 'MMM d yyyy",
+    "MMM d yyyy' 10:30:00,123'", "MMM d yyyy' 10:30:00.123456789 GMT'", "MMM d, yyyy' 10:30 PST'",
+    "M/d/yyyy' 1:02:03 PM +05:30'", "EEE d MMM yyyy' 10:30 GMT+3'", "MMM yyyy", "M/d/yy", "'13/13/'yyyy", "'30 Feb 'yyyy",
+]
+
+
+def date_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's day in one of forty spellings, read by the grammar."""
+    kind = F.pmod(F.col("o_orderkey"), F.lit(len(DATE_SPELLINGS)))
+    spelled = F.when(F.lit(False), "")
+    for i, pattern in enumerate(DATE_SPELLINGS):
+        spelled = spelled.when(kind == i, F.date_format("o_orderdate", pattern))
+    texts = table(spark, sf_dir, "orders").select("o_orderkey", kind.cast("int").alias("kind"), spelled.alias("text"))
+    return texts.select(
+        "o_orderkey", "kind",
+        shown(F.unix_micros(parse_timestamp(F.col("text")))).alias("micros"),
+        shown(local_date(F.col("text"))).alias("own_day"),
+    )
+
+
 def coalesce_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.expr("CASE turn % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE text END")
     return table(spark, sf_dir, "conversations").select(
@@ -766,6 +793,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "initials_google": _initials(initials_google_play),
     "parse_ts": parse_ts,
     "review_date": review_date,
+    "date_spellings": date_spellings,
     "coalesce_fallback": coalesce_fallback,
     "title_if_differs": title_query,
     "sentiment_label": label_query,

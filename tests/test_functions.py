@@ -136,6 +136,42 @@ def test_dates_do_not_depend_on_the_session_zone(spark, zone):
     assert noon == epoch("2024-06-01 12:00:00")
 
 
+MORE_DATES = """2024-03-05T10:30:00.250+02:00|20240305|20240305T1015Z|20240305T101500-0330|2024-03-05T12Z|2024/3/5
+2024.03.05 10:30|2024 03 05|3/5/2024|15/3/2024 23:59|03-05-2024|25.12.2024|5.3.2024 10:30|Mar. 5, 2024 10:30 PM
+March 5th, 2024 at 10:30 p.m.|5 March 2024|5th of March 2024 12:00 am|05-Mar-2024 10:30:15|2024-Mar-05|2024 March 5
+Tue Mar  5 10:30:00 2024|Tue Mar 05 10:30:00 UTC 2024|Tue Mar 5 10:30:00 -0800 2024|Tuesday, March 5, 2024 10 PM
+10:30 5 March 2024|10:30:15 PM, Mar 5 2024|Mar 5 2024 10:30:00,123|Mar 5 2024 10:30:00.123456789 GMT|Sept 5, 2024
+SEPTEMBER 5 2024|5 sep 2024 1:05am|2024-3-5 1:02:03|3/5/2024 1:02:03 PM +05:30|Mar 5, 2024; 10:30|10 PM 5 Mar 2024
+Tue 5 Mar 2024 10:30 GMT+3|Tue 5 Mar 2024 10:30 UTC-3|30 Feb 2024|13/13/2024|Mar 5 2024 25:00|Mar 5 2024 13:00 PM
+on|?|Mar 5 2024 foo|20240230|31 Apr 2024 10:30|5.3.2024 10:60|2024/13/13|Mar Mar 2024"""
+
+
+def test_dates_are_read_as_the_public_parser_reads_them(spark):
+    parser = pytest.importorskip("dateutil.parser")
+    texts = re.split(r"[|\n]", MORE_DATES)
+    start = datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)
+
+    def expected(text):
+        try:
+            read = parser.parse(text)
+        except (ValueError, OverflowError):
+            return None, None
+        at = read if read.tzinfo else read.replace(tzinfo=datetime.timezone.utc)
+        return (at - start) // datetime.timedelta(microseconds=1), read.date().isoformat()
+
+    got = zip(
+        apply(spark, lambda c: F.unix_micros(parse_timestamp(c)), texts),
+        apply(spark, lambda c: local_date(c).cast("string"), texts),
+        strict=True,
+    )
+    assert dict(zip(texts, got, strict=True)) == {t: expected(t) for t in texts}
+
+
+def test_dates_that_name_no_day_stay_unread(spark):
+    texts = ["Mar 2024", "3/5/24", "Mar 5 24", "5", "2024", "10:30", "Mar 5 2024 10:30 11:30", "-", " . ", "\U0001f600", "1" * 5000]
+    assert apply(spark, parse_timestamp, texts) == [None] * len(texts)
+
+
 def test_cutoff_counts_days():
     now = datetime.datetime(2024, 12, 31)
     assert cutoff(now).isoformat() == "2024-01-01T00:00:00+00:00"
