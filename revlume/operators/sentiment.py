@@ -14,8 +14,9 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from revlume.functions import sentiment_label
-from revlume.operators.joins import MAX_BROADCAST_ROWS, fits, matched
+from revlume.operators.joins import MAX_BROADCAST_ROWS, fits, matched, spread
 from revlume.operators.phrases import Phrase, PhraseBook, leftmost_longest
+from revlume.session import staged
 
 # Degree words and negations of English.
 INTENSIFIERS = (
@@ -74,6 +75,8 @@ class Rules:
     decimals: int = 4
     # Largest dictionary that travels inside the plan; above it, a join.
     max_inline_words: int = field(default=20_000, compare=False)
+    # Largest dictionary that is broadcast to the words; above it, a shuffle.
+    max_broadcast_words: int = field(default=MAX_BROADCAST_ROWS, compare=False)
 
 
 ENGLISH = Rules()
@@ -161,14 +164,14 @@ def _inline_lookup(rows: list[Row]):
     return lookup
 
 
-def _mark(position: Column, raw: Column, lower: Column, known: Column, rules: Rules) -> Column:
+def _mark(position: Column, loud: Column, lower: Column, known: Column, rules: Rules) -> Column:
     """A word as the rules see it: place, valence, degree, negation, capitals, contrast."""
     return F.struct(
         position.alias("i"),
         known["v"].alias("v"),
         known["b"].alias("b"),
         (F.coalesce(known["g"], F.lit(False)) | lower.contains("n't")).alias("g"),
-        _in_capitals(raw, lower).alias("u"),
+        loud.alias("u"),
         (lower == rules.contrast).alias("k"),
     )
 
@@ -192,33 +195,34 @@ def _marks_inline(tokens: Column, lowered: Column, lookup, rules: Rules) -> Colu
 
     def mark(i: Column) -> Column:
         lower = F.get(lowered, i)
-        return _mark(i, F.get(tokens, i), lower, lookup(lower), rules)
+        return _mark(i, _in_capitals(F.get(tokens, i), lower), lower, lookup(lower), rules)
 
     return F.transform(F.filter(places, acts), mark)
 
 
-def _marks_joined(
-    reviews: DataFrame, key: list[str], entries: DataFrame, rules: Rules,
-    salts: int = 64, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
+def _marks_joined(reviews: DataFrame, key: list[str], entries: DataFrame, rules: Rules) -> DataFrame:
     """``key`` and ``_marks`` by a join, for a dictionary too large for the plan.
 
-    A dictionary of up to ``max_broadcast_rows`` words is broadcast, so words
-    are not shuffled.  Beyond that they are spread over salts, as the most
-    frequent word may be a large part of all words, and the dictionary is
-    repeated once per salt.  Either way only acting words are gathered again.
+    A dictionary of up to ``rules.max_broadcast_words`` words is broadcast, so
+    words are not shuffled.  A larger one is first cut down to the words that
+    the texts have: each task gives out a word once, however frequent it is.
+    What is left is broadcast if it is short enough; else the words are
+    shuffled, frequent ones over salts, and only their entries are repeated.
+    Either way only acting words are gathered again.
     """
-    tokens = reviews.select(*key, F.posexplode("_tokens").alias("pos", "t")).withColumn("l", F.lower("t"))
+    cut = reviews.select(*key, F.posexplode("_tokens").alias("pos", "t")).withColumn("l", F.lower("t"))
+    tokens = cut.withColumn("u", _in_capitals(F.col("t"), F.col("l"))).drop("t")
     listed = entries.withColumnRenamed("tok", "l")
-    if fits(listed, max_broadcast_rows):
+    if not fits(listed, rules.max_broadcast_words):
+        listed = staged(listed.join(tokens.select("l").distinct(), "l", "left_semi"), "words-in-use")
+    if fits(listed, rules.max_broadcast_words):
         joined = tokens.join(F.broadcast(listed), "l", "left")
     else:
-        tokens = tokens.withColumn("salt", F.pmod(F.xxhash64(*key, "pos"), F.lit(salts)))
-        every_salt = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-        joined = tokens.join(listed.withColumn("salt", F.explode(every_salt)), ["l", "salt"], "left")
+        dealt, copies = spread(tokens, listed, ["l"], [*key, "pos"])
+        joined = dealt.join(copies, ["l", "_salt"], "left")
     known = F.struct("v", "b", "g")
     acting = F.col("v").isNotNull() | F.col("b").isNotNull() | F.col("g") | _acts_by_itself(F.col("l"), rules)
-    mark = _mark(F.col("pos"), F.col("t"), F.col("l"), known, rules)
+    mark = _mark(F.col("pos"), F.col("u"), F.col("l"), known, rules)
     # one group is the acting words of one text
     gathered = joined.where(acting).groupBy(*key).agg(F.array_sort(F.collect_list(mark)).alias("_marks"))
     return gathered

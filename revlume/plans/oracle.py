@@ -567,6 +567,7 @@ ORACLE: dict[str, str] = {
           CASE WHEN c_custkey % 2 = 0 THEN 'analysis' END) AS output_name FROM customer""",
     "lexicon_score": _LEX_DOCS,
     "lexicon_score_join": _LEX_DOCS,
+    "lexicon_score_spread": _LEX_DOCS,
     "lexicon_phrases": f"""WITH RECURSIVE {scored_with_phrases("documents", "doc_id", "text")}
         SELECT d.doc_id, coalesce(o.n, 0)::INT AS n_found, coalesce(p.spans, '') AS spans,
           coalesce(s.sentiment_score, 0.0) AS sentiment_score

@@ -649,6 +649,18 @@ def lexicon_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "sentiment_score")
 
 
+def lexicon_spread_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores when not even the words in use can be broadcast: frequent words are dealt over salts."""
+    from dataclasses import replace
+
+    docs = views.documents(spark, sf_dir).select("doc_id", "text")
+    scored = lexicon_score(
+        docs, views.word_lexicon(spark, sf_dir), ["doc_id"], "text",
+        replace(TEST_RULES, max_inline_words=0, max_broadcast_words=0),
+    )
+    return scored.select("doc_id", "sentiment_score")
+
+
 def lexicon_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases in every document, and scores in which they count as one word."""
     from dataclasses import replace
@@ -800,6 +812,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "output_name": output_names,
     "lexicon_score": lexicon_query,
     "lexicon_score_join": lexicon_join_query,
+    "lexicon_score_spread": lexicon_spread_query,
     "lexicon_phrases": lexicon_phrases,
     "scorer_fallback": scorer_fallback,
     "analyze_reviews": analyze_query,

@@ -12,7 +12,7 @@ from revlume.operators.aggregates import (
 from revlume.operators.combine import union_all
 from revlume.operators.dedup import country_order, dedup_first_seen
 from revlume.operators.filters import in_countries, on_platforms, within_window
-from revlume.operators.joins import fits, only, with_attributes, without
+from revlume.operators.joins import fits, heavy_keys, only, spread, with_attributes, without
 from revlume.operators.ordering import sort_reviews
 from revlume.operators.walk import (
     batch_stats, keep_reached, mark_reached, oldest_per_page, order_breaks,
@@ -223,6 +223,31 @@ def test_joins_by_broadcast_and_by_shuffle(spark):
         assert named.count() == 10 and named.where("name = 'c'").count() == 1
 
 
+def test_what_is_broadcast_is_bounded_in_bytes(spark):
+    wide = spark.range(3).selectExpr("id", "repeat('x', 1000) AS name", "array(repeat('y', 1000)) AS more")
+    assert fits(wide, 3, 10_000) and not fits(wide, 3, 5_000) and not fits(wide.select("id", "more"), 3, 2_000)
+    assert fits(wide.limit(0), 0, 0) and fits(wide.selectExpr("CAST(NULL AS string) AS name"), 3, 100)
+
+
+def test_only_heavy_keys_are_repeated(spark):
+    # a third of all rows has one key, a tenth has none, all others are rare
+    rows = spark.range(30_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 10 = 1 THEN NULL ELSE concat('k', id) END AS k", "id AS place"
+    )
+    listed = rows.select("k").distinct()
+    heavy = {r["_key"]: r["_salts"] for r in heavy_keys(rows, ["k"], 100).collect()}
+    hashed = listed.where("k = 'hot' OR k IS NULL").select("k", F.xxhash64("k").alias("h")).collect()
+    shares = {r.k: heavy.pop(r.h) for r in hashed}
+    assert not heavy and 34 <= shares["hot"] <= 35 and 6 <= shares[None] <= 8
+    dealt, copies = spread(rows, listed, ["k"], ["place"], 100)
+    assert copies.count() == listed.count() + sum(shares.values()) - 2
+    per_salt = dealt.groupBy("k", "_salt").count().agg(F.max("count")).first()[0]
+    assert per_salt < 600
+    assert heavy_keys(rows.limit(0), ["k"]).count() == 0
+    kept = only(rows, listed, ["k"], ["place"], 0)
+    assert kept.count() == 30_000
+
+
 def test_hot_keys_are_salted_beyond_the_bound(spark):
     rows = spark.range(300).selectExpr("IF(id % 3 = 0, 7, id) AS k", "id AS place")
     listed = spark.createDataFrame([(7, "hot"), (8, "b")], "k long, name string")

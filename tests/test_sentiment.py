@@ -119,6 +119,21 @@ def test_any_lexicon_size_is_called_alike(spark, lexicon, size):
     assert {r.id: r.sentiment_score > 0 for r in scorer(frame).collect()} == {1: True, 2: False}
 
 
+@pytest.mark.parametrize("bound", [0, 10_000])
+def test_large_dictionaries_are_cut_to_the_words_in_use(spark, lexicon, bound):
+    """A dictionary above the bound, of which the texts use little, and one that stays above it."""
+    rare = spark.range(12_000).selectExpr("concat('rare', id) AS tok", "1.0D AS val")
+    rules = replace(ENGLISH, max_inline_words=0, max_broadcast_words=bound)
+    texts = ["good " * 400, "GOOD but awful", "not rare7 at all", "", None, "isn't bad", "plain words only"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, review_text string")
+    large = lexicon.select("tok", F.col("val").cast("double").alias("val")).unionByName(rare)
+    got = lexicon_score(rows, large, ["id"], rules=rules)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("_salt" in plan) == (bound == 0)
+    expected = lexicon_score(rows, large, ["id"], rules=replace(ENGLISH, max_inline_words=100_000))
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+
+
 def test_words(spark):
     frame = spark.createDataFrame([("I a ok, (ok) 'tis it's ok!? -ok ok...",)], "t string")
     assert frame.select(words(F.col("t"))).first()[0] == split_words("I a ok, (ok) 'tis it's ok!? -ok ok...")
