@@ -331,8 +331,10 @@ errs AS (
     CASE WHEN on_g THEN CASE WHEN (c + 4) % 7 = 0 THEN 'google_play_id_placeholder'
       WHEN (c + 4) % 7 = 3 THEN 'google_play_id_empty' WHEN (c + 4) % 7 IN (1, 2) THEN 'google_play_id_malformed' END END AS eg,
     CASE WHEN NOT on_a AND NOT on_g THEN 'no_platform' END AS ep,
-    CASE WHEN count(*) OVER (PARTITION BY app_id) > 1 THEN 'app_id_repeated' END AS er,
-    CASE WHEN count(*) OVER (PARTITION BY app_name) > 1 THEN 'app_name_repeated' END AS en
+    CASE WHEN coalesce(trim(app_id::VARCHAR), '') = '' THEN 'app_id_missing'
+      WHEN count(*) OVER (PARTITION BY app_id) > 1 THEN 'app_id_repeated' END AS er,
+    CASE WHEN coalesce(trim(app_name), '') = '' THEN 'app_name_missing'
+      WHEN count(*) OVER (PARTITION BY app_name) > 1 THEN 'app_name_repeated' END AS en
   FROM cat),
 checked AS (SELECT *, concat_ws(',', ea, eg, ep, er, en) AS errors FROM errs)
 """

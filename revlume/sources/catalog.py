@@ -42,11 +42,18 @@ def catalog_errors(catalog: DataFrame) -> DataFrame:
 
     Ids of a platform that is not selected are not looked at.  Rows that share
     an id would count reviews twice, and apps that share a name would share an
-    output: both are errors of all rows concerned.  ``platforms`` comes out
-    without repeats.
+    output: both are errors of all rows concerned.  A row without an id or a
+    name, or with a blank one, has an error of its own and repeats nothing.
+    ``platforms`` comes out without repeats.
     """
     platforms = F.array_distinct(F.coalesce("platforms", F.array().cast("array<string>")))
-    several = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c)) > 1
+    blank = lambda c: strip_text(F.col(c)) == ""
+
+    def several(c: str) -> Column:
+        # rows without a value are dealt by the others, so that they do not meet in one task
+        dealt = F.when(blank(c), F.xxhash64("app_id", "app_name", "app_store_id", "google_play_id"))
+        return (F.count(F.lit(1)).over(Window.partitionBy(c, dealt)) > 1) & ~blank(c)
+
     app_store, google = F.col("app_store_id"), F.col("google_play_id")
     found = F.array(
         F.when(
@@ -64,8 +71,8 @@ def catalog_errors(catalog: DataFrame) -> DataFrame:
             ),
         ),
         F.when(F.size(platforms) == 0, F.lit("no_platform")),
-        F.when(F.col("_id_repeated"), F.lit("app_id_repeated")),
-        F.when(F.col("_name_repeated"), F.lit("app_name_repeated")),
+        F.when(blank("app_id"), F.lit("app_id_missing")).when(F.col("_id_repeated"), F.lit("app_id_repeated")),
+        F.when(blank("app_name"), F.lit("app_name_missing")).when(F.col("_name_repeated"), F.lit("app_name_repeated")),
     )
     marked = catalog.withColumns({"_id_repeated": several("app_id"), "_name_repeated": several("app_name")})
     checked = marked.withColumns({"errors": F.array_compact(found), "platforms": platforms})

@@ -173,6 +173,17 @@ def test_repeated_apps_and_names(spark):
     assert found[2].platforms == BOTH
 
 
+def test_rows_without_an_id_or_a_name_repeat_nothing(spark):
+    rows = [(f"app{i}", None if i % 2 else " \t", GOOD_A, GOOD_G, BOTH) for i in range(6)]
+    rows += [(None, "a", GOOD_A, GOOD_G, BOTH), ("", "b", GOOD_A, GOOD_G, BOTH), ("z", "c", GOOD_A, GOOD_G, BOTH)]
+    found = catalog_errors(spark.createDataFrame(rows, schema.APP_CATALOG)).collect()
+    errors = {(r.app_id, r.app_name): r.errors for r in found}
+    assert len(found) == 9 and errors.pop(("z", "c")) == []
+    assert errors.pop((None, "a")) == errors.pop(("", "b")) == ["app_id_missing"]
+    assert set(map(tuple, errors.values())) == {("app_name_missing",)}
+    assert catalog_errors(spark.createDataFrame([], schema.APP_CATALOG)).count() == 0
+
+
 def test_projections(spark):
     rows = parse_app_store(pages(spark, feed(post())))
     assert standard_columns(rows).columns == schema.STANDARD_COLUMNS
