@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +138,14 @@ def test_spans(spark):
     rows = {r.id: (r.n_found, [tuple(s) for s in r.spans]) for r in phrase_spans(frame, phrases, "t").collect()}
     assert rows[1] == (6, [(0, 4, "one two three four"), (4, 2, "one two"), (6, 1, "four")])
     assert rows[2] == (0, []) and rows[3] == (2, [(0, 2, "two three"), (2, 1, "four")])
+
+
+def test_long_text_of_many_phrases(spark):
+    # One look per word and phrase: the square of their numbers would take minutes.
+    text = " ".join(["good bad ass meh"] * 10_000)
+    rows = spark.createDataFrame([(1, text)], "id long, review_text string")
+    lexicon = spark.createDataFrame(list(LEXICON.items()), "tok string, val double")
+    begun = time.monotonic()
+    scored = lexicon_score(rows, lexicon, ["id"], rules=ENGLISH_WITH_PHRASES).first()
+    assert scored.sentiment_score == 1.0
+    assert time.monotonic() - begun < 40
