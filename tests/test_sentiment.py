@@ -180,3 +180,14 @@ def test_choice_of_scorer(spark, lexicon):
     assert name == "lexicon"
     frame = spark.createDataFrame([("good",)], "review_text string")
     assert scorer(frame).first().sentiment_score == score_by_hand("good")
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_joined_scores_cut_words_once(spark, broadcast):
+    rows = spark.createDataFrame([(1, "Good, not bad!"), (2, "awful"), (2, None)], "id long, review_text string")
+    lexicon = spark.createDataFrame(list(LEXICON.items()), "tok string, val double")
+    rules = replace(ENGLISH, max_inline_words=0, max_broadcast_words=broadcast)
+    scored = lexicon_score(rows, lexicon, ["id"], rules=rules)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "split(" not in plan
+    assert scored.count() == 3
