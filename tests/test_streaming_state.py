@@ -1,5 +1,6 @@
 """Incremental jobs with keyed state against the batch operators, for several landing orders."""
 
+import glob
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -105,3 +106,19 @@ def test_walk_in_any_landing_order(spark, order):
     assert got.exceptAll(wanted).count() == 0 and wanted.exceptAll(got).count() == 0
     assert wanted.where("reached").count() > 20 and wanted.where("not reached").count() > 20
     assert given.where("revision = 1 and not reached").count() == 0 and given.where("revision = 1").count() > 0
+
+
+@pytest.mark.parametrize("name", ["stream_dedup", "stream_first_seen"])
+def test_landed_files_grow_with_the_texts(spark, sf_dir, monkeypatch, name):
+    """A landed file, and so what a task of the stream reads, holds a bounded part of the texts."""
+    from revlume.plans import queries
+
+    rows, files = [], []
+    for size in (1 << 14, 1 << 40):
+        paths = []
+        monkeypatch.setattr(queries, "LANDED_BYTES", size, raising=False)
+        monkeypatch.setattr(queries, "scratch_path", lambda *a: paths.append(scratch_path(*a)) or paths[-1])
+        rows.append(sorted(map(str, queries.QUERIES[name](spark, sf_dir).collect())))
+        files.append(len(glob.glob(f"{paths[0].removeprefix('file:')}/part-*.parquet")))
+        monkeypatch.undo()
+    assert rows[0] == rows[1] and files[0] > files[1] == 3
