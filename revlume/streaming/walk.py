@@ -34,28 +34,39 @@ def _processor(columns: list[str], page_schema: StructType):
             from pyspark.sql import Row
 
             made = Row(*columns, "reached", "revision")
-            prefix, stopped = self.place.get() if self.place.exists() else (0, False)
-            landed = {}
+            # Each look at the state is a message: a walk's place and its waiting pages are read once, and a page that
+            # the walk reaches at once never goes there.
+            known = self.place.get()
+            prefix, stopped = known if known is not None else (0, False)
+            held = {} if known is None or stopped else {k[0]: tuple(v) for k, v in self.waiting.iterator()}
+            landed, told, fresh = {}, {}, {}
             for row in rows:
                 landed.setdefault(row["page"], row)
-            told = {}
             for page, row in landed.items():
                 # A page that landed before counts once; beyond the prefix it is already waiting.
-                if page <= prefix or (not stopped and self.waiting.containsKey((page,))):
+                if page <= prefix or page in held:
                     continue
                 if not stopped:
-                    self.waiting.updateValue((page,), tuple(row[c] for c in names))
+                    fresh[page] = tuple(row[c] for c in names)
                 told[page] = made(*(row[c] for c in columns), False, 0)
-            while not stopped and self.waiting.containsKey((prefix + 1,)):
+            left = set(held)
+            while not stopped and (prefix + 1 in fresh or prefix + 1 in left):
                 prefix += 1
-                held = dict(zip(names, self.waiting.getValue((prefix,)), strict=True))
-                self.waiting.removeKey((prefix,))
-                revision = 0 if prefix in told else 1
-                told[prefix] = made(*(held[c] for c in columns), True, revision)
-                stopped = bool(held["stops"])
-            if stopped:
+                new = prefix in fresh
+                found = dict(zip(names, fresh.pop(prefix) if new else held[prefix], strict=True))
+                left.discard(prefix)
+                told[prefix] = made(*(found[c] for c in columns), True, 0 if new else 1)
+                stopped = bool(found["stops"])
+            if held and (stopped or not left):
                 self.waiting.clear()
-            self.place.update((prefix, stopped))
+            else:
+                for page in held.keys() - left:
+                    self.waiting.removeKey((page,))
+            if not stopped:
+                for page, values in fresh.items():
+                    self.waiting.updateValue((page,), values)
+            if known is None or (prefix, stopped) != tuple(known):
+                self.place.update((prefix, stopped))
             yield from told.values()
 
         def close(self) -> None:

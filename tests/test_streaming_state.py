@@ -6,6 +6,7 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from revlume.operators.dedup import dedup_first_seen
 from revlume.operators.filters import within_window
@@ -122,3 +123,46 @@ def test_landed_files_grow_with_the_texts(spark, sf_dir, monkeypatch, name):
         files.append(len(glob.glob(f"{paths[0].removeprefix('file:')}/part-*.parquet")))
         monkeypatch.undo()
     assert rows[0] == rows[1] and files[0] > files[1] == 3
+
+
+def test_walk_looks_at_its_state_once():
+    """Pages that are reached in the batch in which they land never go to the state."""
+    from revlume.streaming.walk import _processor
+
+    schema = StructType([StructField("page", LongType()), StructField("stops", BooleanType())])
+    walk, calls = _processor(["page"], schema), []
+
+    class State:
+        def __init__(self):
+            self.held, self.value = {}, None
+
+        def __getattr__(self, name):
+            def call(*given):
+                calls.append(name)
+                if name in ("get", "exists"):
+                    return self.value if name == "get" else self.value is not None
+                if name == "update":
+                    self.value = given[0]
+                elif name == "iterator":
+                    return iter(self.held.items())
+                elif name == "clear":
+                    self.held.clear()
+                elif name == "containsKey":
+                    return given[0] in self.held
+                elif name == "getValue":
+                    return self.held.get(given[0])
+                elif name == "removeKey":
+                    self.held.pop(given[0], None)
+                else:
+                    self.held[given[0]] = given[1]
+
+            return call
+
+    walk.place, walk.waiting = State(), State()
+    batch = lambda *pages: [(r["page"], r["reached"], r["revision"]) for r in walk.handleInputRows(None, iter([{"page": p, "stops": p == 9} for p in pages]), None)]
+    assert sorted(batch(3, 1, 2, 5)) == [(1, True, 0), (2, True, 0), (3, True, 0), (5, False, 0)]
+    assert sorted(batch(5, 7, 3)) == [(7, False, 0)]
+    assert sorted(batch(6, 4)) == [(4, True, 0), (5, True, 1), (6, True, 0), (7, True, 1)]
+    assert sorted(batch(9, 10, 8)) == [(8, True, 0), (9, True, 0), (10, False, 0)]
+    assert sorted(batch(11, 10)) == [(10, False, 0), (11, False, 0)]
+    assert walk.place.value == (9, True) and not walk.waiting.held and len(calls) < 20
