@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from revlume.sources.app_store import parse_app_store
 from revlume.sources.google_play import parse_google_play
-from revlume.sources.landed import landed_app_store, landed_google_play, landing_report
+from revlume.sources.landed import land_files, landed_app_store, landed_google_play, landing_report
 from revlume.session import scratch_path
 from revlume.streaming.dedup import run_available
 
@@ -89,3 +89,19 @@ def test_google_batches(spark, tmp_path):
     assert json.loads(rows[1].unknown) == {"page": '{"took":"3"}', "elements": [{"appVersion": "1.2"}] * 2}
     reviews = parse_google_play(landed.where("status = 'ok'").drop("file", "status", "corrupt", "unknown")).collect()
     assert [(r.review_text, r.star_rating, r.review_ts) for r in reviews] == [("good", 5, datetime(2024, 6, 1, 10))]
+
+
+def test_land_files(spark):
+    """Rows come back from their files, one each, whatever their keys hold, and no file needs a program of its own."""
+    rows = [("a b/%c+ü=1", "de", "1", "x\r\ny"), (None, "", "2", " "), ("a", None, "p3", "{}"), ("a", "us", "4", "")]
+    root = scratch_path(spark, "land")
+    land_files(spark.createDataFrame(rows, "app_id string, country string, page string, body string"), ["app_id", "country", "page"], "body", root)
+    found = {(r.app_id, r.country, r.page, r.body) for r in landed_app_store(spark, root).collect()}
+    assert found == {("a b/%c+ü=1", "de", 1, "x\r\ny\n"), (None, None, 2, " \n"), ("a", None, None, "{}\n"), ("a", "us", 4, "\n")}
+
+
+def test_landed_files_are_opened_once(spark, sf_dir):
+    from revlume.plans.queries import landed_pages
+
+    plan = landed_pages(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "binaryFile" not in plan and "content#" not in plan
