@@ -291,3 +291,22 @@ def test_stream_in_one_or_many_batches_keeps_the_same_keys(spark, tmp_path):
     b = run_stream(spark, many, many + "-out", many + "-state")
     assert a.count() == b.count() == 18
     assert a.exceptAll(b).count() == 0
+
+
+def test_a_run_reads_catalog_and_batches_once(spark, scorer, tmp_out):
+    """The catalog is checked once for all joins with its apps, the batches are worked out once for walk and reviews."""
+    catalog, pages, batches = landed(spark)
+    read = {"catalog": spark.sparkContext.accumulator(0), "batches": spark.sparkContext.accumulator(0)}
+
+    def counted(df, name):
+        def run_of(rows):
+            for batch in rows:
+                read[name].add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(run_of, df.schema)
+
+    run(counted(catalog, "catalog"), pages, counted(batches, "batches"), tmp_out, RunConfig(**CONFIG), scorer)
+    assert read["catalog"].value == len(CATALOG)
+    assert read["batches"].value == batches.count()
+    assert set(rows_of(tmp_out + "/reviews")) == {"one_reviews", "two_reviews", "four_reviews"}
