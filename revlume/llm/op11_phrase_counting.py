@@ -11,9 +11,12 @@ hash, the scan from which on longer phrases may build on it.  A slot that two ph
 phrase too early, and a phrase's first scan follows from the array alone, so every task counts the same
 phrases.  The array's size is a parameter and does not grow with the corpus; where it fills up, more
 phrases are counted, and the result is the same.  Counts travel as (number, first scan, count) rows,
-summed within a task before they are shuffled.  Numbers have 40 bits: two phrases with the same one are
-counted as one and may pass together, so one last scan gives the phrases that passed by their words and
-separates them; only what reaches the threshold by itself is kept.
+summed within a task before they are shuffled.  With them go a check of the phrase's words, summed too, and
+one of the blocks of texts in which the phrase lies.  At the end each number that passed is looked up in
+its block alone, which gives its words: one row a phrase, whatever the number of tasks.  Two phrases
+with the same number (60 bits) are counted as one and may pass together; then the sum of checks is not
+the count times the check of the words found, and one more scan gives the phrases of such numbers by their
+words and separates them; only what reaches the threshold by itself is kept.
 
 Defined results: null texts are empty and give nothing; texts without words give nothing; null languages
 count as ``und``; a very long text is gone through whole; repeated rows count as often as they stand there;
@@ -25,11 +28,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from revlume.llm.cluster import ship
 from revlume.llm.words import LOWER, NOT_SPACE, find_words, mix, pieces, text_bytes, word_prints
@@ -45,7 +49,13 @@ PARTS = 64
 #: Phrases that a task holds by their words before it gives them out.
 HELD_ROWS = 1 << 20
 #: Bits of a phrase's number; three more hold its length.
-BITS = 40
+BITS = 60
+#: Bits of the check of a phrase's words; its sum over 2 ** 39 occurrences still is a long.
+CHECK_BITS = 24
+#: Bits of the number of a block of texts.
+BLOCK_BITS = 31
+#: Bits of the filter by which a block's words are searched for many numbers.
+FILTER_BITS = 22
 _NEVER = 255
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 # Fixed value: bytes of a bitmap of Spark's bitmap functions.
@@ -78,23 +88,27 @@ def _flat(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text", BATCH_BYTES):
+    task = TaskContext.get().partitionId()
+    for i, batch in enumerate(pieces(batches, "text", BATCH_BYTES)):
         body, n = _flat(batch.column("text"))
-        columns = [batch.column("lang"), batch.column("shard"), body.cast(pa.string()), pa.array(n.astype(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, ["lang", "shard", "body", "n_words"])
+        # Texts that come together are a block; two blocks of one number only make one larger block.
+        block = int(mix(np.array([task << 32 | i], np.uint64))[0] >> np.uint64(64 - BLOCK_BITS))
+        blocks = pa.array(np.full(len(n), block, np.int32))
+        columns = [batch.column("lang"), batch.column("shard"), body.cast(pa.string()), pa.array(n.astype(np.int64)), blocks]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "shard", "body", "n_words", "block"])
 
 
 def flattened(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``lang``, ``body``, ``n_words`` in folders by ``shard``; texts without words are left out."""
+    """``lang``, ``body``, ``n_words``, ``block`` in folders by ``shard``; texts without words are left out."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     shard = F.pmod(F.xxhash64("lang", text), F.lit(shards)).cast("int").alias("shard")
     flat = docs.select(lang, shard, text.alias("text")).mapInArrow(
-        _flatten, "lang string, shard int, body string, n_words long"
+        _flatten, "lang string, shard int, body string, n_words long, block int"
     )
     path = scratch_path(docs.sparkSession, "op11-flat")
     flat.where("n_words > 0").write.option("compression", "zstd").partitionBy("shard").parquet(path)
-    return docs.sparkSession.read.schema("lang string, body string, n_words long, shard int").parquet(path)
+    return docs.sparkSession.read.schema("lang string, body string, n_words long, block int, shard int").parquet(path)
 
 
 class _Words:
@@ -108,6 +122,7 @@ class _Words:
         opens = data[np.maximum(self.starts - 1, 0)] == 0x0A
         opens[first[:-1][first[:-1] < len(opens)]] = True
         self.piece = np.cumsum(opens)
+        self.first = first
         langs = batch.column("lang").dictionary_encode()
         names = langs.dictionary
         self.langs = names.to_pylist()
@@ -126,6 +141,20 @@ class _Words:
                 out ^= out >> np.uint64(29)
             return mix(out + self.mark[at])
 
+    def checks(self, lengths: int) -> Iterator[np.ndarray]:
+        """For each length from 1 on the checks of the phrases of so many words, by the places where they begin."""
+        second = mix(self.prints ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        held = np.zeros(len(second), np.uint64)
+        for length in range(1, lengths + 1):
+            with np.errstate(over="ignore"):
+                held = held[: max(len(second) - length + 1, 0)] * _STEP + second[length - 1 :]
+            yield (held >> np.uint64(64 - CHECK_BITS)).astype(np.int64)
+
+    def within(self, length: int) -> np.ndarray:
+        """Places of all phrases of so many words in one piece."""
+        n = max(len(self.prints) - length + 1, 0)
+        return np.flatnonzero(self.piece[:n] == self.piece[length - 1 : length - 1 + n])
+
     def longer(self, parts: np.ndarray, length: int) -> np.ndarray:
         """Places of phrases of so many words in one piece whose two parts, one word shorter, are both known."""
         n = max(len(self.prints) - length + 1, 0)
@@ -142,28 +171,52 @@ def _array(sent: Broadcast) -> np.ndarray:
     return np.frombuffer(zlib.decompress(sent.value), np.uint8)
 
 
-def _numbers(prints: np.ndarray, length: int) -> np.ndarray:
-    return ((prints >> np.uint64(64 - BITS)) << np.uint64(3)) | np.uint64(length)
+def _numbers(prints: np.ndarray, length: int, bits: int = BITS) -> np.ndarray:
+    return ((prints >> np.uint64(64 - bits)) << np.uint64(3)) | np.uint64(length)
+
+
+def _turned(block: str) -> Column:
+    """The number of a block turned by that of the phrase, and back: each phrase has a least block of its own."""
+    turn = F.xxhash64("number").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+    return F.col(block).bitwiseXOR(turn)
 
 
-def _count(opened: Broadcast, scan: int, shards: int, lengths: list[int]):
-    """Rows (number, first scan, count) of the phrases that are open in this scan."""
+def _count(opened: Broadcast, scan: int, shards: int, lengths: list[int], bits: int = BITS):
+    """Rows (number, first scan, count, sum of checks, a block) of the phrases that are open in this scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _array(opened)
         for batch in pieces(batches, "body", BATCH_BYTES):
             words = _Words(batch)
+            block = np.repeat(batch.column("block").to_numpy(zero_copy_only=False), np.diff(words.first))
+            checks = words.checks(max(lengths))
             # parts[i]: the scan from which on longer phrases may build on the phrase that begins at word i.
             parts = np.zeros(0, np.uint8)
             for length in range(1, max(lengths) + 1):
                 at = words.longer(parts, length) if length > 1 else np.arange(len(words.prints))
                 since = np.maximum(parts[at], parts[at + 1]) if length > 1 else np.zeros(len(at), np.uint8)
-                numbers = _numbers(words.prints_at(at, length), length)
+                numbers = _numbers(words.prints_at(at, length), length, bits)
+                check = next(checks)
                 if length in lengths:
-                    active = (since <= scan) & (since.astype(np.int64) + shards > scan)
-                    found, index, n = np.unique(numbers[active], return_index=True, return_counts=True)
-                    columns = [pa.array(found.astype(np.int64)), pa.array(since[active][index].astype(np.int16)), pa.array(n.astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["number", "since", "n"])
+                    active = np.flatnonzero((since <= scan) & (since.astype(np.int64) + shards > scan))
+                    # Phrases that share a number may be open from different scans on and are counted apart.
+                    open_since = since[active]
+                    order = np.argsort(numbers[active], kind="stable")
+                    if len(np.unique(open_since)) > 1:
+                        order = order[np.argsort(open_since[order], kind="stable")]
+                    active, open_since = active[order], open_since[order]
+                    found = numbers[active]
+                    new = np.ones(len(found), bool)
+                    new[1:] = (found[1:] != found[:-1]) | (open_since[1:] != open_since[:-1])
+                    heads = np.flatnonzero(new)
+                    n = np.diff(np.append(heads, len(found)))
+                    sums = np.add.reduceat(check[at[active]], heads) if len(heads) else np.zeros(0, np.int64)
+                    found = found[heads]
+                    columns = [
+                        pa.array(found.astype(np.int64)), pa.array(open_since[heads].astype(np.int16)), pa.array(n.astype(np.int64)),
+                        pa.array(sums), pa.array(block[at[active[heads]]]),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["number", "since", "n", "check", "block"])
                 if length < max(lengths):
                     # A slot may be older than the phrase itself, which counts from its own first scan.
                     parts = np.full(len(words.prints), _NEVER, np.uint8)
@@ -172,23 +225,61 @@ def _count(opened: Broadcast, scan: int, shards: int, lengths: list[int]):
     return run
 
 
-def _named(passed: Broadcast, slots: int, lengths: int):
-    """The phrases whose number passed, as those of their parts did, by their words, with their counts in this task."""
+def _looked_up(lengths: int, bits: int):
+    """The words of the numbers that are to be found in a block of texts, and whether all their occurrences are of these words."""
+
+    def run(texts: pa.Table, wanted: pa.Table) -> pa.Table:
+        numbers = wanted.column("number").to_numpy().astype(np.uint64)
+        order = np.argsort(numbers)
+        numbers = numbers[order]
+        n, sums = (wanted.column(c).to_numpy()[order] for c in ("n", "check"))
+        missing, out = np.ones(len(numbers), bool), []
+        may = np.zeros(1 << FILTER_BITS, bool)
+        low = lambda x: (x ^ (x >> np.uint64(FILTER_BITS))) & np.uint64((1 << FILTER_BITS) - 1)
+        may[low(numbers)] = True
+        for batch in pieces(iter(texts.to_batches()), "body", BATCH_BYTES):
+            if not missing.any():
+                break
+            words = _Words(batch)
+            checks = words.checks(lengths)
+            for length in range(1, lengths + 1):
+                check, at = next(checks), words.within(length)
+                own = _numbers(words.prints_at(at, length), length, bits)
+                some = np.flatnonzero(may[low(own)])
+                own, at = own[some], at[some]
+                index = np.minimum(np.searchsorted(numbers, own), max(len(numbers) - 1, 0))
+                hit = (numbers[index] == own) & missing[index]
+                index, first = np.unique(index[hit], return_index=True)
+                at = at[hit][first]
+                missing[index] = False
+                begin, end = words.starts[at], words.ends[at + length - 1]
+                sure = pa.array(sums[index] == n[index] * check[at])
+                for x, y in _portions(end - begin):
+                    rows = _phrase_rows(words, begin[x:y], end[x:y], at[x:y], n[index[x:y]], length)
+                    out.append(rows.append_column("number", pa.array(numbers[index[x:y]].astype(np.int64))).append_column("sure", sure[x:y]))
+        lost = pa.array(numbers[missing].astype(np.int64))
+        nothing = [pa.nulls(len(lost), kind) for kind in (pa.string(), pa.string(), pa.int32(), pa.int64())]
+        names = ["lang", "phrase", "words", "n", "number", "sure"]
+        out.append(pa.RecordBatch.from_arrays([*nothing, lost, pa.array(np.zeros(len(lost), bool))], names))
+        return pa.Table.from_batches(out)
+
+    return run
+
+
+def _named(doubtful: Broadcast, slots: int, lengths: int, bits: int):
+    """The phrases whose number is doubtful, by their words, with their counts in this task."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _array(passed)
+        bitmap = _array(doubtful)
         for batch in pieces(batches, "body", BATCH_BYTES):
             words = _Words(batch)
             second = mix(words.prints ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-            parts = np.zeros(0, np.uint8)
             for length in range(1, lengths + 1):
-                at = words.longer(parts, length) if length > 1 else np.arange(len(words.prints))
+                at = words.within(length)
                 one = words.prints_at(at, length)
-                slot = _numbers(one, length) % np.uint64(slots)
-                known = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                slot = _numbers(one, length, bits) % np.uint64(slots)
+                known = (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                 at, one = at[known], one[known]
-                parts = np.full(len(words.prints), _NEVER, np.uint8)
-                parts[at] = 0
                 two = np.zeros(len(at), np.uint64)
                 with np.errstate(over="ignore"):
                     for k in range(length):
@@ -199,10 +290,12 @@ def _named(passed: Broadcast, slots: int, lengths: int):
                 new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
                 heads = np.flatnonzero(new)
                 n = np.diff(np.append(heads, len(at)))
+                number = pa.array(_numbers(one[heads], length, bits).astype(np.int64))
                 at = at[heads]
                 low, high = words.starts[at], words.ends[at + length - 1]
                 for a, b in _portions(high - low):
-                    yield _phrase_rows(words, low[a:b], high[a:b], at[a:b], n[a:b], length)
+                    rows = _phrase_rows(words, low[a:b], high[a:b], at[a:b], n[a:b], length)
+                    yield rows.append_column("number", number[a:b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _combined(found(batches))
@@ -215,8 +308,8 @@ def _combined(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def summed() -> pa.Table:
-        table = pa.Table.from_batches(held).group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")])
-        return table.rename_columns(["lang", "phrase", "words", "n"])
+        table = pa.Table.from_batches(held).group_by(["lang", "phrase", "words", "number"]).aggregate([("n", "sum")])
+        return table.rename_columns(["lang", "phrase", "words", "number", "n"])
 
     for batch in rows:
         held.append(batch)
@@ -275,9 +368,18 @@ def _open(array: np.ndarray, found: list, value: int) -> set[int]:
     return lengths
 
 
+def located(flat: DataFrame, passed: DataFrame, max_words: int = MAX_WORDS, bits: int = BITS) -> DataFrame:
+    """One row for each ``number`` of ``passed``: its ``lang``, ``phrase``, ``words`` and ``n``, looked up in the block that
+    ``passed`` names, and whether it is ``sure`` that the number has no other phrase."""
+    one = passed.groupBy("number").agg(F.sum("n").alias("n"), F.sum("check").alias("check"), F.first("block").alias("block"))
+    texts = flat.select("lang", "body", "block").groupBy("block")
+    kinds = "lang string, phrase string, words int, n long, number long, sure boolean"
+    return texts.cogroup(one.groupBy("block")).applyInArrow(_looked_up(max_words, bits), kinds)
+
+
 def phrase_counts(
     flat: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST, shards: int = SHARDS, slots: int = SLOTS,
-    seen: list | None = None,
+    seen: list | None = None, bits: int = BITS,
 ) -> DataFrame:
     """``lang``, ``phrase``, ``words``, ``n`` of all phrases of 1 to ``max_words`` words that occur ``least`` times.
 
@@ -289,27 +391,29 @@ def phrase_counts(
     spark = flat.sparkSession
     ship(spark)
     opened = np.full(slots, _NEVER, np.uint8)
-    # One bit says that a phrase passed: eight times the slots in the same space.
-    passed, fine = np.zeros(slots + _BITMAP, np.uint8), 8 * slots - 1
+    passed = []
     # A slot set in one scan may open phrases of any length, as slots are shared; they are done a circle later.
     state, scan, until = None, 0, shards
     while scan < until:
         lengths = [k for k in range(1, max_words + 1) if (k > 1 and scan) or (k == 1 and scan < shards)]
         held = _sent(spark, opened)
-        rows = flat.where(F.col("shard") == scan % shards).select("lang", "body")
-        rows = rows.mapInArrow(_count(held, scan, shards, lengths), "number long, since short, n long")
+        rows = flat.where(F.col("shard") == scan % shards).select("lang", "body", "block")
+        kinds = "number long, since short, n long, check long, block int"
+        rows = rows.mapInArrow(_count(held, scan, shards, lengths, bits), kinds)
+        rows = rows.select("number", "since", "n", "check", _turned("block").alias("place"))
         if state is not None:
             rows = rows.unionByName(state)
         # Only what is still open, or has just been done with success, goes on.
         done = F.col("since") + shards <= scan + 1
-        counts = rows.groupBy("number", "since").agg(F.sum("n").alias("n")).where(~done | (F.col("n") >= least))
+        counts = rows.groupBy("number", "since").agg(
+            F.sum("n").alias("n"), F.sum("check").alias("check"), F.min("place").alias("place")
+        )
+        counts = counts.where(~done | (F.col("n") >= least))
         counts = staged(counts, f"op11-scan{scan}")
         held.destroy()
         reached = counts.where(F.col("n") >= least)
         grown = _open(opened, _slots_of(reached.where(F.col("number") % 8 < max_words), slots), scan + 1)
-        for row in _slots_of(reached.where(done), fine):
-            low = (row.bucket - 1) * _BITMAP
-            passed[low : low + _BITMAP] |= np.frombuffer(row.bits, np.uint8)
+        passed.append(reached.where(done))
         if seen is not None:
             counted = counts.groupBy(F.col("number") % 8).count().collect()
             seen.append((scan, scan % shards, sorted(r[0] for r in counted), sorted(grown)))
@@ -317,12 +421,24 @@ def phrase_counts(
             until = scan + 1 + shards
         state = counts.where(~done)
         scan += 1
-    held = _sent(spark, passed)
-    named = flat.select("lang", "body").mapInArrow(_named(held, fine, max_words), "lang string, phrase string, words int, n long")
-    named = named.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    named = staged(named, "op11-phrases")
+    found = reduce(DataFrame.unionByName, passed).select("number", "n", "check", _turned("place").alias("block"))
+    found = staged(located(flat, found, max_words, bits), "op11-phrases")
+    doubtful = found.where(~F.col("sure")).select("number")
+    named = found.where("sure").select("lang", "phrase", "words", "n")
+    if doubtful.isEmpty():
+        return named
+    # One bit says that a number is doubtful: eight times the slots in the same space.
+    bitmap, fine = np.zeros(slots + _BITMAP, np.uint8), 8 * slots - 1
+    for row in _slots_of(doubtful, fine):
+        low = (row.bucket - 1) * _BITMAP
+        bitmap[low : low + _BITMAP] |= np.frombuffer(row.bits, np.uint8)
+    held = _sent(spark, bitmap)
+    kinds = "lang string, phrase string, words int, number long, n long"
+    apart = flat.select("lang", "body").mapInArrow(_named(held, fine, max_words, bits), kinds)
+    apart = apart.groupBy("lang", "phrase", "words", "number").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    apart = staged(apart.join(doubtful, "number", "left_semi").select("lang", "phrase", "words", "n"), "op11-apart")
     held.destroy()
-    return named
+    return named.unionByName(apart)
 
 
 def collocations(

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revlume.llm.op8_hilbert_shards import hilbert_index
-from revlume.llm.op11_phrase_counting import collocations, flattened, phrase_counts
+from revlume.llm.op11_phrase_counting import _count, _sent, collocations, flattened, located, phrase_counts
 from revlume.llm.op12_curve_packing import Sequences, on_curve, packed, placed, sequences, token_ids, tokenised
 from revlume.llm.op13_fill_in_middle import BlockTree, fill_in_middle, restored
 from tests.llm.awkward import check_packing, documents, order, plain_ids, texts
@@ -106,6 +106,39 @@ def test_lengths_are_interleaved_and_each_goes_round_once(spark):
     assert counted[0] == {1} and {1, 2} <= counted[1] and any({2, 3} <= c for c in counted.values())
 
 
+@pytest.mark.parametrize("bits", [3, 9, 60])
+def test_phrases_that_share_a_number_are_told_apart(spark, bits):
+    rows = [(lang, t) for _, t, lang in phrase_rows()]
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    got = {(r.lang, r.phrase): r.n for r in phrase_counts(flattened(frame), 5, 4, slots=10_007, bits=bits).collect()}
+    counts = Counter()
+    for lang, text in rows:
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", lowered):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            counts.update((lang or "und", " ".join(words[i : i + m])) for m in range(1, 6) for i in range(len(words) - m + 1))
+    assert got == {p: n for p, n in counts.items() if n >= 4}
+
+
+def test_words_of_a_number_are_given_out_once_however_many_tasks_have_them(spark):
+    rows = [(f"one two three. n{i}", "en") for i in range(64)]
+    flat = flattened(spark.createDataFrame(rows, "text string, lang string").repartition(8)).repartition(16).cache()
+    assert flat.select("block").distinct().count() == 8
+    parts = list(flat.select("lang", "body", "block").mapInArrow(_count_all(spark), "number long, since short, n long, check long, block int").collect())
+    assert len(parts) > 6 * 8
+    passed = spark.createDataFrame([r for r in parts if r.n > 1], "number long, since short, n long, check long, block int")
+    found = located(flat, passed, 3).collect()
+    assert sorted((r.phrase, r.n) for r in found if r.sure and r.n == 64) == [(p, 64) for p in ["one", "one two", "one two three", "three", "two", "two three"]]
+    # A wrong sum of checks is noticed.
+    assert not any(r.sure for r in located(flat, passed.withColumn("check", F.col("check") + 1), 3).collect())
+    flat.unpersist()
+
+
+def _count_all(spark):
+    """Counts of all phrases of up to three words, as a scan gives them out."""
+    return _count(_sent(spark, np.zeros(10_007, np.uint8)), 0, 1, [1, 2, 3])
+
+
 # Packing
 
 
